@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notegraph.operators.skew import hot_keys, salted_join
+from notegraph.operators.skew import salted_join
+from notegraph.session import written
 
 #: The instant before all others: where a page with null `created` starts to exist.
 ALWAYS = "0001-01-01 00:00:00"
@@ -115,8 +116,8 @@ def missing_references(links: DataFrame, files: DataFrame, removals: DataFrame,
     Empty tables give an empty result (without `files`, every reference is at fault twice).
     Further columns of the tables are ignored. `month` is that of the earliest `indexed_at`.
     """
-    refs = first_references(links)
-    deltas = existence_deltas(files, removals, aliases)
+    refs = written(first_references(links), "references")
+    deltas = written(existence_deltas(files, removals, aliases), "deltas")
     cols = ["source", "target_key", F.date_format("first_at", "yyyy-MM").alias("month")]
     targets = missing_targets(refs, deltas).select(F.lit("target_key").alias("field_name"), *cols)
     sources = missing_sources(refs, files).select(F.lit("source").alias("field_name"), *cols)
@@ -129,6 +130,6 @@ def report_by_month(missing: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "balance", "existence_deltas", "existing_spans", "first_references", "hot_keys", "missing_references",
+    "balance", "existence_deltas", "existing_spans", "first_references", "missing_references",
     "missing_sources", "missing_targets", "orphan_keys", "report_by_month",
 ]
