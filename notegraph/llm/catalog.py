@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("graph_queries", "text_queries", "vector_queries", "leak_queries", "page_queries")
+MODULES = ("graph_queries", "text_queries", "vector_queries", "name_queries", "leak_queries", "page_queries")
 
 
 def _all(attribute: str) -> dict:
