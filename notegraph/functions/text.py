@@ -9,6 +9,9 @@ SUMMARY_CAP = 300
 SUMMARY_DISPLAY = 160
 NO_TEXT = "(no text yet)"
 LINK = r"\[\[([^\]]+)\]\]"
+PIPED = r"\[\[[^\]|]+\|([^\]]+)\]\]"
+#: White space as text editors mean it, the same in every regex engine.
+WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
 
 def _c(x: Column | str) -> Column:
@@ -16,13 +19,13 @@ def _c(x: Column | str) -> Column:
 
 
 def strip_space(x: Column | str) -> Column:
-    """Unicode white space removed at both ends (Spark's trim removes spaces only)."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    """White space removed at both ends (Spark's trim removes spaces only)."""
+    return F.regexp_replace(_c(x), rf"^{WS}+|{WS}+$", "")
 
 
 def squeeze(x: Column | str) -> Column:
     """White space folded to single spaces and removed at both ends."""
-    return strip_space(F.regexp_replace(_c(x), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(_c(x), rf"{WS}+", " "))
 
 
 def fold_plural(x: Column | str) -> Column:
@@ -48,9 +51,8 @@ def tokens(x: Column | str) -> Column:
 
 
 def strip_links(x: Column | str) -> Column:
-    """`[[target|shown]]` becomes `shown` and `[[name]]` becomes `name`, one pass each."""
-    piped = F.regexp_replace(_c(x), r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1")
-    return F.regexp_replace(piped, LINK, "$1")
+    """`[[target|shown]]` becomes `shown` and `[[name]]` becomes `name`, one pass each, over line ends too."""
+    return F.regexp_replace(F.regexp_replace(_c(x), PIPED, "$1"), LINK, "$1")
 
 
 def content_hash(x: Column | str) -> Column:
@@ -59,14 +61,88 @@ def content_hash(x: Column | str) -> Column:
 
 
 def first_sentence(x: Column | str, cap: int = SUMMARY_CAP) -> Column:
-    """The first sentence without heading lines, at most `cap` characters; never empty."""
-    body = squeeze(F.regexp_replace(strip_links(x), r"(?m)^#{1,6}.*$", ""))
-    first = F.regexp_extract(body, r"(?s)^(.*?[.!?])\s", 1)
-    chosen = F.coalesce(F.nullif(first, F.lit("")), body)
-    return F.coalesce(F.nullif(F.substring(chosen, 1, cap), F.lit("")), F.lit(NO_TEXT))
+    """The first sentence of a body without heading lines, at most `cap` characters; never empty, null stays null."""
+    x = _c(x)
+    body = squeeze(F.regexp_replace(strip_links(x), r"(?m)^#{1,6}[^\n]*$", ""))
+    first = F.regexp_extract(body, r"(?s)^(.*?[.!?]) ", 1)
+    chosen = F.trim(F.substring(F.coalesce(F.nullif(first, F.lit("")), body), 1, cap))
+    return F.when(x.isNotNull(), F.coalesce(F.nullif(chosen, F.lit("")), F.lit(NO_TEXT)))
 
 
 def short(x: Column | str, cap: int = SUMMARY_DISPLAY) -> Column:
     """White space folded; more than `cap` characters end in an ellipsis."""
     s = squeeze(x)
     return F.when(F.length(s) > cap, F.concat(F.substring(s, 1, cap - 1), F.lit("…"))).otherwise(s)
+
+
+#: What a concept looks like, labels that only number something, and counted nouns.
+SHAPE = r"^[A-Za-z][A-Za-z0-9\-' ]{2,49}$"
+ORDINAL_LABEL = r"(?i)^(Tier|Cycle|Phase|Stage|Level|Step|Figure|Table|Section)\s*[\dIVX]+$"
+COUNTED_NOUN = r"(?i)^(one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\s+\w+s?$"
+#: Fixed value: characters that make an unquoted frontmatter value ambiguous.
+NEEDS_QUOTES = r": |:$|^[-?\s>|&*!%@`\[\]{}#,'\"]|#\s|\s$|^$"
+
+
+def shape_ok(x: Column | str) -> Column:
+    """Whether a name looks like a concept: 3 to 50 plain characters, at most six words, no mere label or count."""
+    c = strip_space(x)
+    n_words = F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    return F.coalesce(c.rlike(SHAPE) & (n_words <= 6) & ~c.rlike(ORDINAL_LABEL) & ~c.rlike(COUNTED_NOUN), F.lit(False))
+
+
+def gate_summary(x: Column | str) -> Column:
+    """Null if a summary passes, else the reason: empty, too long, or more than one sentence."""
+    s = strip_space(F.coalesce(_c(x), F.lit("")))
+    return (
+        F.when(s == "", F.lit("empty"))
+        .when(F.length(s) > SUMMARY_CAP, F.concat(F.length(s).cast("string"), F.lit(f" chars, over {SUMMARY_CAP}")))
+        .when(F.regexp_count(s, F.lit(r"[.!?](?:\s|$)")) > 1, F.lit("more than one sentence"))
+    )
+
+
+def yaml_value(x: Column | str) -> Column:
+    """A frontmatter value, quoted where it would be ambiguous."""
+    x = _c(x)
+    quoted = F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(x, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    return F.when(x.rlike(NEEDS_QUOTES), quoted).otherwise(x)
+
+
+def yaml_read(x: Column | str) -> Column:
+    """What yaml_value wrote: quotes removed and escapes undone, so that rewriting a page is stable."""
+    x = _c(x)
+    inner = F.regexp_replace(F.regexp_extract(x, r'(?s)^"(.*)"$', 1), r'\\(["\\])', "$1")
+    return F.when(x.rlike(r'(?s)^".*"$') & (F.length(x) >= 2), inner).otherwise(F.regexp_replace(x, "^['\"]+|['\"]+$", ""))
+
+
+def concept_present(body: Column | str, concept: Column | str) -> Column:
+    """Whether a concept stands word for word in a body without link marks; white space and case are free."""
+    words = F.filter(F.split(strip_space(concept), r"\s+"), lambda w: w != "")
+    quoted = F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "\\s+")
+    pattern = F.concat(F.lit("(?iuU)(?<![\\[\\w])"), quoted, F.lit("(?![\\w\\]])"))
+    return F.coalesce((F.size(words) > 0) & F.regexp_like(strip_links(body), pattern), F.lit(False))
+
+
+def count_tokens(x: Column | str) -> Column:
+    """A token estimate: characters by four, halves to the even number."""
+    return F.bround(F.length(_c(x)) / 4).cast("int")
+
+
+def fold_accents(x: Column | str) -> Column:
+    """Lower case without the accents of Latin letters."""
+    return F.translate(F.lower(_c(x)), ACCENTED, PLAIN)
+
+
+def _latin() -> tuple[str, str]:
+    import unicodedata
+
+    pairs = []
+    for code in range(0xC0, 0x250):
+        c = chr(code).lower()
+        base = unicodedata.normalize("NFD", c)
+        if len(c) == 1 and len(base) > 1 and base[0].isascii():
+            pairs.append((c, base[0]))
+    pairs = sorted(set(pairs))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, PLAIN = _latin()

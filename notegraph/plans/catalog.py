@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("references",)
+MODULES = ("references", "graph", "text")
 
 
 def _all(attribute: str) -> dict:
