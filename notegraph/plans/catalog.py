@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("references", "graph", "text", "search")
+MODULES = ("references", "graph", "text", "search", "pages")
 
 
 def _all(attribute: str) -> dict:
