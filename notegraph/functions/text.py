@@ -62,11 +62,10 @@ def content_hash(x: Column | str) -> Column:
 
 def first_sentence(x: Column | str, cap: int = SUMMARY_CAP) -> Column:
     """The first sentence of a body without heading lines, at most `cap` characters; never empty, null stays null."""
-    x = _c(x)
     body = squeeze(F.regexp_replace(strip_links(x), r"(?m)^#{1,6}[^\n]*$", ""))
-    first = F.regexp_extract(body, r"(?s)^(.*?[.!?]) ", 1)
-    chosen = F.trim(F.substring(F.coalesce(F.nullif(first, F.lit("")), body), 1, cap))
-    return F.when(x.isNotNull(), F.coalesce(F.nullif(chosen, F.lit("")), F.lit(NO_TEXT)))
+    # each step uses the one before once, so that nothing is worked out twice
+    first = F.trim(F.substring(F.regexp_replace(body, r"(?s)^(.*?[.!?]) .*$", "$1"), 1, cap))
+    return F.regexp_replace(first, "^$", NO_TEXT)
 
 
 def short(x: Column | str, cap: int = SUMMARY_DISPLAY) -> Column:
