@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from notegraph.operators.skew import salted_join
 from notegraph.session import written
 
 #: Edges of stars that one task may merge (about 100 bytes each in Python).
@@ -75,7 +76,8 @@ def _contract(stars: DataFrame) -> DataFrame:
     linked = low.where(F.col("parent") != F.col("least")).select(F.col("parent").alias("child"), F.col("least").alias("parent"))
     edges = direct.unionByName(linked).groupBy("child", "parent").agg(F.lit(1).alias("one")).drop("one")
     up = direct.select(F.col("child").alias("node"), F.col("parent").alias("above"))
-    return edges.join(up, edges["parent"] == up["node"], "left").select("child", F.coalesce("above", "parent").alias("parent")).where("child <> parent").distinct()
+    # the root of a giant component is the parent of very many nodes
+    return salted_join(edges, up, "parent", "node", "left", salt_by="child").select("child", F.coalesce("above", "parent").alias("parent")).where("child <> parent").distinct()
 
 
 def _settled(stars: DataFrame) -> bool:
@@ -102,11 +104,11 @@ def components(edges: DataFrame, a: str, b: str, max_task_edges: int = MAX_TASK_
         following = max(1, least, -(-parts // FAN_IN))
         if following >= parts:
             break
-        forest = _forest(forest.repartition(following, "parent"), "forest")
+        forest = _forest(forest.repartition(following, "child"), "forest")
         parts, size = following, forest.count()
     if parts > 1 and size > 0:  # too large for one task: contract where it lies
         while not _settled(forest):
-            merged = _forest(_contract(forest).repartition(parts, "parent"), "forest")
+            merged = _forest(_contract(forest).repartition(parts, "child"), "forest")
             forest = written(_contract(merged), "contracted")
     roots = forest.select(F.col("parent").alias("node")).distinct()
     grouped = forest.select(F.col("child").alias("node"), F.col("parent").alias("component"))

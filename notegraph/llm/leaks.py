@@ -24,6 +24,8 @@ LEAST, EDITS = 20, 0.1
 Q, BAND, STRIDE = 12, 64, 32
 #: What a changed, added or missing word costs in the alignment, where an equal word gives 1.
 COST = 2
+#: Pairs of texts and items in a batch up to which their q-grams are counted in a full table.
+DENSE = 4_000_000
 #: Bytes of all passages together for which the index of q-grams is sent to every executor.
 MAX_ITEMS_BYTES = 64 << 20
 
@@ -143,8 +145,11 @@ class Passages:
         entry = np.repeat(self.first[slot], n) + (np.arange(total) - back)
         item = self.item[entry]
         pair = np.repeat(doc, n) * items + item
-        enough = np.bincount(pair, minlength=len(texts) * items) >= np.tile(self.bounds, len(texts))
-        keep = enough[pair]
+        if len(texts) * items <= DENSE:
+            keep = np.bincount(pair, minlength=len(texts) * items)[pair] >= self.bounds[item]
+        else:
+            _, place, counts = np.unique(pair, return_inverse=True, return_counts=True)
+            keep = counts[place] >= self.bounds[item]
         if not keep.any():
             return []
         entry, pair = entry[keep], pair[keep]

@@ -93,3 +93,9 @@ def test_stuffed_pages_without_examples(spark):
     df = spark.createDataFrame([(i, prose(5), "h", "p", "x") for i in range(5)], DOCS)
     assert P.stuffed_pages(df).count() == 0 and P.stuffed_pages(df.limit(0)).count() == 0
     assert len(P.measures("x" * 200_000)) == len(P.FEATURES) == len(P.measures(" "))
+
+
+def test_counting_without_a_full_table(monkeypatch):
+    monkeypatch.setattr(L, "DENSE", 0)
+    p = L.Passages([(7, " ".join(PASSAGE)), (9, " ".join(words(50)))])
+    assert p.leaks([FILL + " " + " ".join(PASSAGE[10:40]), FILL]) == [(0, 0)]
