@@ -9,7 +9,7 @@ from notegraph.operators import analysis as A
 from notegraph.operators import graph as G
 from notegraph.operators import linker as L
 from notegraph.operators import pages as V
-from notegraph.plans.common import BODY, norm, pages, parsed, strip, unlink
+from notegraph.plans.common import BODY, DOC, norm, pages, parsed, strip, unlink
 from notegraph.plans.search import ORACLES as _SEARCH
 from notegraph.session import shared_dir, table
 from notegraph.streaming import ingest as I
@@ -95,8 +95,14 @@ def stream_ingest(spark, d):
     return I.latest_pages(spark, at).select("path", "page_key", "content_hash")
 
 
+def link_hashes(spark, d):
+    """Pages whose content hash is the same after links were placed: all that have a body."""
+    return link_bodies(spark, d).where("same_hash and resolved is not null").select("path")
+
+
 QUERIES = {
     "link_bodies": link_bodies,
+    "link_hashes": link_hashes,
     "repair_brackets": repair_brackets,
     "json_repair": json_repair,
     "analyse_pages": analyse_pages,
@@ -107,6 +113,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "link_hashes": f"WITH {DOC} SELECT path FROM doc WHERE body IS NOT NULL",
     "json_repair": "SELECT event_id, (props::JSON ->> 'k')::INT AS k, CASE event_id % 4 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS repairs FROM events",
     "stream_repeats": _SEARCH["repeat_guard"],
     "stream_ingest": rf"""WITH p AS (SELECT path, max({{'m': mtime, 't': text}}) AS r FROM documents WHERE path IS NOT NULL GROUP BY path)

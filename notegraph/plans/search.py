@@ -8,7 +8,7 @@ from notegraph.operators import graph as G
 from notegraph.operators import resolve as R
 from notegraph.operators import search as S
 from notegraph.operators import sync as Y
-from notegraph.plans.common import DOC, EDGES, PAGES, edges, fold, norm, pages, parsed, resolved, strip, unlink
+from notegraph.plans.common import DOC, EDGES, PAGES, RESOLVED, WS, edges, fold, norm, pages, parsed, resolved, strip, unlink
 from notegraph.session import table
 
 QUERY = "jet harbour well-known notebook"
@@ -155,6 +155,16 @@ _LATEST = f"""hist AS (SELECT *, try_cast(decided_at AS TIMESTAMPTZ) AS d, try_c
 last AS (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY pair_key ORDER BY d DESC NULLS LAST, a DESC NULLS LAST, s DESC NULLS LAST, key_a DESC NULLS LAST, key_b DESC NULLS LAST, display_a DESC NULLS LAST, display_b DESC NULLS LAST, source DESC NULLS LAST, weight DESC NULLS LAST, mentions_at_ask DESC NULLS LAST) = 1)"""
 
 ORACLES = {
+    "mean_vectors": f"""WITH {_CHUNK}, v AS (SELECT stripped_hash, max(vec) AS vec FROM vectors WHERE len(vec) = 384 AND list_bool_and([isfinite(x) FOR x IN vec]) GROUP BY 1),
+        e AS (SELECT path, unnest(vec)::DOUBLE AS x, generate_subscripts(vec, 1) AS i FROM chunk JOIN v USING (stripped_hash)), m AS (SELECT path, i, avg(x) AS x, count(*) AS n FROM e GROUP BY path, i)
+        SELECT path, max(n) AS n, list(round(x, 6) ORDER BY i) AS mean FROM m GROUP BY path""",
+    "near_misses": f"""WITH {RESOLVED}, u AS (SELECT target_key, min(display) AS display, count(*) AS n FROM res WHERE NOT resolved GROUP BY target_key),
+        v AS ({_V} FROM (SELECT *, 'Kamlerhe Centre for Tidal Mechanics' AS a, display AS b, {_toks("'Kamlerhe Centre for Tidal Mechanics'")} AS ta, {_toks("display")} AS tb FROM u WHERE display IS NOT NULL)),
+        w AS (SELECT target_key, display, n, {_VERDICT} AS verdict, regexp_matches({strip("display")}, '^[A-Za-z]{{2,6}}$') OR list_has_any(ta, tb) AS near FROM v)
+        SELECT target_key, display, n, verdict FROM w WHERE verdict = 'same' OR (verdict = 'defer' AND near) QUALIFY verdict = 'same' OR row_number() OVER (PARTITION BY verdict ORDER BY n DESC, target_key) <= 3""",
+    "queue_evidence": f"""WITH {EDGES}, {_LATEST}, o AS (SELECT * FROM last WHERE s = 'open'), k AS (SELECT key, min(shown) AS shown FROM (SELECT key_a AS key, display_a AS shown FROM o UNION ALL SELECT key_b, display_b FROM o) WHERE key IS NOT NULL AND shown IS NOT NULL GROUP BY key),
+        h AS (SELECT key, path, seq, content FROM edge JOIN k ON key = target_key JOIN chunks c ON c.path = source WHERE NOT coalesce(is_summary, false) AND contains(lower(content), lower(shown)))
+        SELECT key, left(trim(regexp_replace(min_by(content, (length(content), path, seq, content)), '{WS}+', ' ', 'g')), 350) AS content FROM h GROUP BY key""",
     "postings": f"WITH {_CHUNK}, t AS (SELECT path, seq, unnest({_TOKENS}) AS term FROM chunk) SELECT term, count(DISTINCT (path, seq)) AS df, count(*) AS tf FROM t GROUP BY term",
     "bm25_topk": f"WITH {_bm25()} SELECT * FROM lit",
     "dense_topk": f"WITH {_CHUNK}, {_DENSE} SELECT * FROM den",

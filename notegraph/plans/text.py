@@ -51,7 +51,30 @@ def tag_presence(spark, d):
     return out.select("path", n.alias("survivors"), (n / F.greatest(words, F.lit(1)) < 0.0025).alias("low"))
 
 
+def split_lossless(spark, d):
+    """Per page: its body put together again from its parts, and whether all fit the budget."""
+    parts = P.split_parts(parsed(spark, d)).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("p"))
+    joined = F.array_join(F.transform("p", lambda x: x["text"]), "")
+    return parts.select("path", F.sha1(joined).alias("sha1"), F.forall("p", lambda x: F.length(x["text"]) <= P.BUDGET).alias("all_fit"))
+
+
+def heading_counts(spark, d):
+    return P.outline(parsed(spark, d)).groupBy("path", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def chunk_sizes(spark, d):
+    """Per page: whether its chunks hold all of its words outside headings, the summary aside."""
+    def words(c):
+        return F.size(F.filter(F.split(F.trim(F.regexp_replace(c, r"[ \t\n\r\f]+", " ")), " "), lambda w: w != ""))
+
+    chunks = P.chunk_pages(parsed(spark, d)).where("not is_summary")
+    return chunks.groupBy("path").agg(F.sum(words(F.col("content"))).alias("words"))
+
+
 QUERIES = {
+    "split_lossless": split_lossless,
+    "heading_counts": heading_counts,
+    "chunk_words": chunk_sizes,
     "norm_keys": norm_keys,
     "plural_fold": plural_fold,
     "shape_filter": lambda s, d: _displays(s, d).select("display", T.shape_ok("display").alias("ok")),
@@ -83,6 +106,10 @@ PARSED = f"""{DOC}, parsed AS (SELECT doc_id, path, mtime, body, nullif({field("
 _INNER = r"regexp_extract_all(body, '\[\[([^\]]+)\]\]', 1)"
 
 ORACLES = {
+    "split_lossless": f"WITH {DOC} SELECT path, sha1(body) AS sha1, true AS all_fit FROM doc WHERE body IS NOT NULL",
+    "heading_counts": rf"""WITH {DOC}, h AS (SELECT path, length(regexp_extract(l, '^(#{{1,6}})', 1)) AS level FROM (SELECT path, unnest(string_split(body, chr(10))) AS l FROM doc) WHERE l LIKE '#%') SELECT path, level, count(*) AS n FROM h GROUP BY path, level""",
+    "chunk_words": rf"""WITH {DOC}, l AS (SELECT path, unnest(string_split(body, chr(10))) AS l FROM doc), w AS (SELECT path, len(list_filter(string_split_regex(l, '[ \t\n\r\f]+'), lambda t: t <> '')) AS n FROM l WHERE l NOT LIKE '#%')
+        SELECT path, sum(n)::BIGINT AS words FROM w GROUP BY path HAVING sum(n) > 0""",
     "norm_keys": f"SELECT display, {norm('display')} AS key FROM {_DISPLAYS}",
     "plural_fold": f"SELECT token, count(*) AS n FROM (SELECT {fold('t')} AS token FROM (SELECT unnest(string_split_regex(lower(display), '[^a-z0-9]+')) AS t FROM {_DISPLAYS}) WHERE t <> '') GROUP BY token",
     "shape_filter": rf"""SELECT display, regexp_matches(c, '^[A-Za-z][A-Za-z0-9\-'' ]{{2,49}}$') AND len(list_filter(string_split_regex(c, '\s+'), lambda w: w <> '')) <= 6
