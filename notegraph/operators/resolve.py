@@ -37,7 +37,8 @@ def rare_token_pairs(names: DataFrame, floor: int = DF_FLOOR, share: float = DF_
     rare = token_df(names).join(F.broadcast(total), F.col("df") <= F.col("cap")).where(~F.col("token").rlike("^[0-9]+$")).select(F.col("token").alias("rare"))
     posting = names.select("key", F.explode(F.array_distinct(T.tokens("name"))).alias("token")).join(rare, F.col("token") == F.col("rare"), "left_semi")
     a, b = posting.select(F.col("key").alias("key_a"), "token"), posting.select(F.col("key").alias("key_b"), "token")
-    return a.join(b, "token").where("key_a < key_b").select("key_a", "key_b").distinct()
+    # estimates leave out the explosion: without the hint a side might be broadcast
+    return a.hint("merge").join(b, "token").where("key_a < key_b").select("key_a", "key_b").distinct()
 
 
 def _grams(key: Column, n: int) -> Column:
@@ -60,7 +61,7 @@ def containment_pairs(names: DataFrame, n: int = GRAM) -> DataFrame:
             lead = of.groupBy("small").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), F.col("gram"))).alias("gram"))
         else:
             lead = inner.select(F.col("key").alias("small"), F.col("key").alias("gram"))
-        pairs = lead.join(posting, "gram").where((F.col("key") != F.col("small")) & F.col("key").contains(F.col("small")))
+        pairs = lead.hint("merge").join(posting, "gram").where((F.col("key") != F.col("small")) & F.col("key").contains(F.col("small")))
         pairs = pairs.select(F.least("key", "small").alias("key_a"), F.greatest("key", "small").alias("key_b"))
         out = pairs if out is None else out.unionByName(pairs)
     return out.distinct()
