@@ -95,7 +95,7 @@ def variety(words: list[str], window: int = 50) -> float:
 
 def measures(text: str) -> list[float]:
     """The FEATURES of a text, from the whole of it without its frontmatter."""
-    body = _FRONT.sub("", text, count=1).replace("\r", "\n")
+    body = _FRONT.sub("", text.replace("\r\n", "\n").replace("\r", "\n"), count=1)
     total = stuffed = linked = tagged = listed = prose = structured = 0
     ends_all = words_all = n_blocks = items_all = repeats_all = 0
     for kind, block in blocks(body):

@@ -99,3 +99,9 @@ def test_counting_without_a_full_table(monkeypatch):
     monkeypatch.setattr(L, "DENSE", 0)
     p = L.Passages([(7, " ".join(PASSAGE)), (9, " ".join(words(50)))])
     assert p.leaks([FILL + " " + " ".join(PASSAGE[10:40]), FILL]) == [(0, 0)]
+
+
+@pytest.mark.parametrize("end", ["\r\n", "\r"])
+def test_line_ends_make_no_difference(end):
+    for text in (stuffed("lines"), stuffed("links"), honest(1), "---\ntype: x\n---\n\n# H\n\n" + stuffed("tags")):
+        assert P.measures(text.replace("\n", end))[:6] == P.measures(text)[:6]
