@@ -5,7 +5,7 @@ accents, titles and fillers, in any order, with nicknames and kinds of bodies wr
 are blocked by their rarest words. Rare words are joined by segments: cut into k + 1 segments, of
 two words within k edits at least one segment is found in the other, shifted by at most k; an
 inverted index of segments gives the candidates and a banded edit distance verifies them. Forms
-under variants of one rare word and with the same initials are then compared word by word.
+under variants of one rare word whose other words may begin alike are then compared word by word.
 """
 
 from __future__ import annotations
@@ -57,8 +57,10 @@ WORD_EDITS, JOIN_EDITS = 1, 2
 #: Words in at most COMMON forms lead a block, and the rarest word of each form; words in at most
 #: RARE forms may be misspellings, so the next rarest leads, too.
 COMMON, RARE = 100, 3
-#: Forms in one block beyond which words must agree in three letters; an initial can't tell there.
+#: Forms of one block that a task compares with others; a larger block is split, which changes no result.
 CROWD = 200
+#: Words of a form up to which blocks are told apart by letters, and beyond it by the number of words.
+LETTERED = 5
 
 
 def _short_forms() -> dict[str, frozenset[str]]:
@@ -242,14 +244,24 @@ def _acronym(short: list[str], long: list[str]) -> bool:
     return False
 
 
+def _firsts(w: str) -> set[str]:
+    """Letters of which two words that `relation` accepts share one: an edit leaves one of the first two."""
+    return {c for x in (w, *GIVEN.get(w, ())) for c in x[:2]}
+
+
 def signatures(form: list[str], anchor: str) -> set[str]:
-    """Initials, sorted, of the words beside the anchor; of an acronym also its letters, of a nickname those of its names."""
+    """Letters, sorted, one of the first two of each word beside the anchor; of an acronym also its own.
+
+    Any two forms that `compare` accepts share one beside words that stand for one another. Forms of
+    many words have their number of words instead, and the initials that an acronym may give.
+    """
     rest = list(form)
     rest.remove(anchor)
-    options = [{f[0] for f in GIVEN[w]} if w in GIVEN else {w[0]} for w in rest]
+    if len(form) > LETTERED:
+        return {str(len(form)), "".join(sorted(w[0] for w in rest))}
     out = {""}
-    for o in options:
-        out = {x + y for x in out for y in o}
+    for w in rest:
+        out = {x + y for x in out for y in _firsts(w)}
     out = {"".join(sorted(x)) for x in out}
     if len(rest) == 1 and 3 <= len(rest[0]) <= 6:
         out.add("".join(sorted(rest[0])))
@@ -347,17 +359,29 @@ def _forms(names: DataFrame) -> DataFrame:
 def _blocked(leaders: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for form, anchor in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                parts = form.split(" ")
-                rest = list(parts)
-                rest.remove(anchor)
-                longer = "|".join(sorted(w[:3] for w in rest))
-                rows += [(form, anchor, s, longer) for s in signatures(parts, anchor)]
-            cols = list(zip(*rows)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["form", "anchor", "initials", "longer"])
+            rows = [(form, anchor, s) for form, anchor in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s in signatures(form.split(" "), anchor)]
+            cols = list(zip(*rows)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["form", "anchor", "block"])
 
-    return leaders.mapInArrow(run, "form string, anchor string, initials string, longer string")
+    return leaders.mapInArrow(run, "form string, anchor string, block string")
+
+
+def _block_pairs(block: DataFrame, variants: DataFrame) -> DataFrame:
+    """(form_a, form_b), form_a < form_b: all forms under one anchor, or variants of it, and one block.
+
+    A block of more than CROWD forms is split: each form is looked up in one part and listed in all.
+    """
+    crowds = block.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n")).where(f"n > {CROWD}")
+    crowds = written(crowds.select(F.col("anchor").alias("a"), F.col("block").alias("b"), F.ceil(F.col("n") / CROWD).cast("int").alias("parts")), "crowds")
+    at = (F.col("anchor") == F.col("a")) & (F.col("block") == F.col("b"))
+    parts = F.coalesce("parts", F.lit(1))
+    other = block.join(variants, F.col("anchor") == F.col("word")).select("form", F.col("other").alias("anchor"), "block")
+    looked = block.select("form", "anchor", "block").unionByName(other).join(crowds, at, "left")
+    looked = looked.select(F.col("form").alias("form_a"), F.col("anchor").alias("anchor_a"), F.col("block").alias("block_a"), F.pmod(F.xxhash64("form"), parts).cast("int").alias("part_a"))
+    listed = block.join(crowds, at, "left").select(F.col("form").alias("form_b"), F.col("anchor").alias("anchor_b"), F.col("block").alias("block_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part_b"))
+    on = (F.col("anchor_a") == F.col("anchor_b")) & (F.col("block_a") == F.col("block_b")) & (F.col("part_a") == F.col("part_b"))
+    # estimates leave out the explosion: without the hint a side might be broadcast
+    return looked.hint("merge").join(listed, on & (F.col("form_a") < F.col("form_b"))).select("form_a", "form_b")
 
 
 def link_names(links: DataFrame, queue: DataFrame) -> DataFrame:
@@ -376,17 +400,8 @@ def link_names(links: DataFrame, queue: DataFrame) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("form").orderBy("n", "word"))
     rarer = F.lag("n").over(Window.partitionBy("form").orderBy("n", "word"))
     leaders = ranked.withColumn("at", order).withColumn("rarer", rarer).where(f"at = 1 or n <= {COMMON} or (at <= 3 and rarer <= {RARE})").select("form", F.col("word").alias("anchor"))
-    blocked = written(_blocked(leaders), "blocked")
-    crowds = blocked.groupBy("anchor", "initials").agg(F.count(F.lit(1)).alias("n")).where(f"n > {CROWD}").select(F.col("anchor").alias("a"), F.col("initials").alias("i"))
-    crowded = blocked.join(crowds, (F.col("anchor") == F.col("a")) & (F.col("initials") == F.col("i")), "left")
-    block = crowded.select("form", "anchor", F.when(F.col("a").isNull(), F.col("initials")).otherwise(F.concat_ws("#", "initials", "longer")).alias("block"))
-    block = written(block, "blocks")
-    variants = similar_words(block, "anchor")
-    left = block.select(F.col("form").alias("form_a"), F.col("anchor").alias("anchor_a"), "block")
-    right = block.select(F.col("form").alias("form_b"), F.col("anchor").alias("anchor_b"), F.col("block").alias("block_b"))
-    same = left.join(right, (F.col("anchor_a") == F.col("anchor_b")) & (F.col("block") == F.col("block_b")))
-    other = left.join(variants, F.col("anchor_a") == F.col("word")).join(right, (F.col("other") == F.col("anchor_b")) & (F.col("block") == F.col("block_b")))
-    pairs = same.select("form_a", "form_b").unionByName(other.select("form_a", "form_b")).where("form_a < form_b")
+    block = written(_blocked(leaders), "blocks")
+    pairs = _block_pairs(block, similar_words(block, "anchor"))
     pairs = _spread_distinct(pairs)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,3 +87,26 @@ def test_crowded_blocks_and_empty_tables(spark, monkeypatch):
     assert len(got) == 4
     links, queue = tables(spark, [])
     assert N.name_pairs(links.limit(0), queue.limit(0)).count() == 0
+
+
+def groups(spark, displays):
+    got = {}
+    for r in N.link_names(*tables(spark, displays)).collect():
+        got.setdefault(r.entity, set()).add(r.key)
+    return sorted(map(sorted, got.values()))
+
+
+def test_crowded_blocks_lose_no_variant(spark, monkeypatch):
+    monkeypatch.setattr(N, "CROWD", 2)
+    people = ["Quentin Nopihem", "Uqentin Nopihem", "Q. Nopihem", "Quentin Noppihem", "Q. Noppihem"]
+    places = ["Nopihem Centre for Tidal Acoustic", "CTA Nopihem", "Nopihem Centre for Tidal Caoustic"]
+    others = [f"Nopihem Centre for {a} {b}" for a in ("Thermal", "Tonal", "Tropical") for b in ("Cargo", "Music")]
+    want = [["ctanopihem", "nopihemcentrefortidalacoustic", "nopihemcentrefortidalcaoustic"], ["qnopihem", "qnoppihem", "quentinnopihem", "quentinnoppihem", "uqentinnopihem"]]
+    assert groups(spark, people + places + others) == want
+
+
+def test_any_two_accepted_forms_share_a_signature():
+    for a, b in SAME + SHORT + [("Quentin Nopihem", "Uqentin Nopihem"), ("Mopihem, Bnthony", "Anthony Nopihem"), ("Nell Nopihem", "Nellson Nopihem"), ("nitial Rudolbir transform", "initial Rudolbir transform")]:
+        a, b = N.words(a), N.words(b)
+        tied = [(x, y) for x in a for y in b if x == y or N.relation(x, y) == N.TYPO]
+        assert N.compare(a, b) and any(N.signatures(a, x) & N.signatures(b, y) for x, y in tied), (a, b)
