@@ -2,10 +2,10 @@
 
 Each key is read through its most frequent fitting display and brought to a form: words without
 accents, titles and fillers, in any order, with nicknames and kinds of bodies written out. Forms
-are blocked by their rarest words. Rare words are joined by segments: cut into k + 1 segments, of
+are blocked by each of their words. Words are joined by segments: cut into k + 1 segments, of
 two words within k edits at least one segment is found in the other, shifted by at most k; an
 inverted index of segments gives the candidates and a banded edit distance verifies them. Forms
-under variants of one rare word whose other words may begin alike are then compared word by word.
+under variants of one word whose other words may begin alike are then compared word by word.
 """
 
 from __future__ import annotations
@@ -16,12 +16,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notegraph.functions.text import normalize
 from notegraph.llm.components import components
-from notegraph.operators.skew import salted_join
 from notegraph.session import written
 
 #: Given names and their common short forms.
@@ -54,9 +53,8 @@ TITLES = frozenset("dr prof mr mrs ms sir dame".split())
 
 #: Edits within a word; edits of the segment join (a swap of neighbours is two of them).
 WORD_EDITS, JOIN_EDITS = 1, 2
-#: Words in at most COMMON forms lead a block, and the rarest word of each form; words in at most
-#: RARE forms may be misspellings, so the next rarest leads, too.
-COMMON, RARE = 100, 3
+#: Letters from which on a word may be misspelled.
+LEAST = 3
 #: Forms of one block that a task compares with others; a larger block is split, which changes no result.
 CROWD = 200
 #: Words of a form up to which blocks are told apart by letters, and beyond it by the number of words.
@@ -270,6 +268,17 @@ def signatures(form: list[str], anchor: str) -> set[str]:
     return out
 
 
+def beginnings(form: list[str]) -> set[str]:
+    """Sorted beginnings of all words, for forms that share no word: three letters each, or the initial of a given name."""
+    if len(form) > LETTERED:
+        return {" ".join(sorted(w[:3] for w in form))}
+    out: set[tuple[str, ...]] = {()}
+    for w in form:
+        options = {x[:3] for x in (w, *GIVEN.get(w, ()))} | ({w[0]} if given(w) else set())
+        out = {(*x, y) for x in out for y in options}
+    return {" ".join(sorted(x)) for x in out}
+
+
 def read_names(links: DataFrame, queue: DataFrame) -> DataFrame:
     """(key, display): every key with the most frequent display that its key can come from.
 
@@ -325,12 +334,12 @@ def _spread_distinct(pairs: DataFrame) -> DataFrame:
     return pairs.repartition(parts, *pairs.columns).distinct()
 
 
-def similar_words(vocabulary: DataFrame, column: str = "word", k: int = JOIN_EDITS, most: int = WORD_EDITS) -> DataFrame:
-    """(word, other): different words of four or more letters within `most` edits, both ways round.
+def similar_words(vocabulary: DataFrame, column: str = "word", k: int = JOIN_EDITS, most: int = WORD_EDITS, least: int = 4) -> DataFrame:
+    """(word, other): different words of `least` or more letters (more than k) within `most` edits, both ways round.
 
     Complete for Levenshtein distance k, and for `most` = 1 edits or swaps of neighbours with k = 2.
     """
-    v = vocabulary.select(F.col(column).alias("word")).where(F.length(column) >= 4).distinct()
+    v = vocabulary.select(F.col(column).alias("word")).where(F.length(column) >= least).distinct()
     index = v.select("word", F.inline(segments(F.col("word"), k)))
     probing = v.select(F.col("word").alias("other"), F.inline(probes(F.col("word"), k)))
     # the sizes that Spark estimates leave out the explosion: without the hint a side might be broadcast
@@ -356,14 +365,20 @@ def _forms(names: DataFrame) -> DataFrame:
     return names.mapInArrow(run, "key string, form string").where("form is not null")
 
 
-def _blocked(leaders: DataFrame) -> DataFrame:
+def _blocked(forms: DataFrame) -> DataFrame:
+    """(form, anchor, block): each word of a form leads; under the empty anchor stand forms that may be cut in all words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(form, anchor, s) for form, anchor in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s in signatures(form.split(" "), anchor)]
+            rows = []
+            for form in b.column(0).to_pylist():
+                parts = form.split(" ")
+                rows += [(form, anchor, s) for anchor in sorted(set(parts)) for s in sorted(signatures(parts, anchor))]
+                rows += [(form, "", s) for s in sorted(beginnings(parts))]
             cols = list(zip(*rows)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["form", "anchor", "block"])
 
-    return leaders.mapInArrow(run, "form string, anchor string, block string")
+    return forms.mapInArrow(run, "form string, anchor string, block string")
 
 
 def _block_pairs(block: DataFrame, variants: DataFrame) -> DataFrame:
@@ -394,14 +409,8 @@ def link_names(links: DataFrame, queue: DataFrame) -> DataFrame:
     """
     named = written(_forms(read_names(links, queue)), "names")
     forms = named.select("form").distinct()
-    tokens = forms.select("form", F.explode(F.array_distinct(F.split("form", " "))).alias("word"))
-    counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select(F.col("word").alias("counted"), "n")
-    ranked = salted_join(tokens, counts, "word", "counted", salt_by="form").where(F.length("word") >= 4)
-    order = F.row_number().over(Window.partitionBy("form").orderBy("n", "word"))
-    rarer = F.lag("n").over(Window.partitionBy("form").orderBy("n", "word"))
-    leaders = ranked.withColumn("at", order).withColumn("rarer", rarer).where(f"at = 1 or n <= {COMMON} or (at <= 3 and rarer <= {RARE})").select("form", F.col("word").alias("anchor"))
-    block = written(_blocked(leaders), "blocks")
-    pairs = _block_pairs(block, similar_words(block, "anchor"))
+    block = written(_blocked(forms), "blocks")
+    pairs = _block_pairs(block, similar_words(block, "anchor", least=LEAST))
     pairs = _spread_distinct(pairs)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,3 +110,12 @@ def test_any_two_accepted_forms_share_a_signature():
         a, b = N.words(a), N.words(b)
         tied = [(x, y) for x in a for y in b if x == y or N.relation(x, y) == N.TYPO]
         assert N.compare(a, b) and any(N.signatures(a, x) & N.signatures(b, y) for x, y in tied), (a, b)
+
+
+def test_words_of_many_forms_still_lead(spark):
+    crowd = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}vule Nopihem" for i in range(110)]
+    people = ["Quentin Nopihem", "Q. Nopihem", "Nopihem Centre for Tidal Acoustic", "CTA Nopihem", "Wolfgang Lim", "W. Lim", "Abig. Gomz.", "Abigail Gomzapul"]
+    rare = [f"Quentin {c}" for c in ("Benulin", "Figindil", "Rammeljer", "Jorpalin", "Salmebon")]
+    got = groups(spark, crowd + people + rare)
+    for pair in (["qnopihem", "quentinnopihem"], ["ctanopihem", "nopihemcentrefortidalacoustic"], ["wlim", "wolfganglim"], ["abigailgomzapul", "abiggomz"]):
+        assert pair in got
