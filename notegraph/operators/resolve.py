@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from notegraph.functions import names as N
 from notegraph.functions import text as T
 
-#: A word is rare in at most DF_FLOOR names or DF_SHARE of them, and never in more than DF_MOST, so that pairs grow with the names.
-DF_FLOOR, DF_SHARE, DF_MOST = 3, 0.02, 100
+#: A word is rare in at most DF_FLOOR names or DF_SHARE of them.
+DF_FLOOR, DF_SHARE = 3, 0.02
+#: Names of one word that a task pairs with others; a longer list is split, which changes no result.
+POSTINGS = 500
 GRAM = 4
 BATCH, PARAGRAPH = 10, 350
 
@@ -28,17 +30,20 @@ def token_df(names: DataFrame) -> DataFrame:
     return names.select("key", F.explode(F.array_distinct(T.tokens("name"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def rare_token_pairs(names: DataFrame, floor: int = DF_FLOOR, share: float = DF_SHARE, most: int = DF_MOST) -> DataFrame:
+def rare_token_pairs(names: DataFrame, floor: int = DF_FLOOR, share: float = DF_SHARE) -> DataFrame:
     """(key_a, key_b): names that share a word, not a mere number, which few names have.
 
-    An inverted index of the rare words joined with itself: each word gives at most most^2 / 2 pairs.
+    An inverted index of the rare words joined with itself. Of a word in more than POSTINGS names
+    each name is looked up in one part and listed in all.
     """
-    total = names.agg(F.least(F.greatest(F.floor(F.count(F.lit(1)) * share), F.lit(floor)), F.lit(most)).alias("cap"))
-    rare = token_df(names).join(F.broadcast(total), F.col("df") <= F.col("cap")).where(~F.col("token").rlike("^[0-9]+$")).select(F.col("token").alias("rare"))
-    posting = names.select("key", F.explode(F.array_distinct(T.tokens("name"))).alias("token")).join(rare, F.col("token") == F.col("rare"), "left_semi")
-    a, b = posting.select(F.col("key").alias("key_a"), "token"), posting.select(F.col("key").alias("key_b"), "token")
+    total = names.agg(F.greatest(F.floor(F.count(F.lit(1)) * share), F.lit(floor)).alias("cap"))
+    rare = token_df(names).join(F.broadcast(total), F.col("df") <= F.col("cap")).where(~F.col("token").rlike("^[0-9]+$"))
+    rare = rare.select(F.col("token").alias("rare"), F.ceil(F.col("df") / POSTINGS).cast("int").alias("parts"))
+    posting = names.select("key", F.explode(F.array_distinct(T.tokens("name"))).alias("token")).join(rare, F.col("token") == F.col("rare"))
+    a = posting.select(F.col("key").alias("key_a"), "token", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+    b = posting.select(F.col("key").alias("key_b"), "token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     # estimates leave out the explosion: without the hint a side might be broadcast
-    return a.hint("merge").join(b, "token").where("key_a < key_b").select("key_a", "key_b").distinct()
+    return a.hint("merge").join(b, ["token", "part"]).where("key_a < key_b").select("key_a", "key_b").distinct()
 
 
 def _grams(key: Column, n: int) -> Column:

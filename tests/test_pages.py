@@ -9,6 +9,7 @@ from notegraph.operators import analysis as A
 from notegraph.operators import linker as L
 from notegraph.operators import pages as V
 from notegraph.operators import parse as P
+from notegraph.operators import resolve as R
 from notegraph.operators import search as S
 from notegraph.operators import sync as Y
 
@@ -90,6 +91,14 @@ def test_json_repair_and_gates(spark):
     assert row.survivors == ["jet break", "GRB"] and row.low is False
 
 
+def test_rare_words_reach_the_share_of_the_names(spark, monkeypatch):
+    monkeypatch.setattr(R, "POSTINGS", 10)
+    names = [(f"k{i}", f"alone{i} {'lantern' if i < 104 else 'drift' if i < 209 else 'x' + str(i)}") for i in range(5200)]
+    got = R.rare_token_pairs(spark.createDataFrame(names, "key string, name string")).collect()
+    keys = [f"k{i}" for i in range(104)]
+    assert len(got) == 104 * 103 // 2 and {tuple(r) for r in got} == {(a, b) for a in keys for b in keys if a < b}
+
+
 def test_analysis_isolates_failures(spark):
     def model(prompt):
         if "boom" in prompt:
