@@ -72,17 +72,33 @@ def ask(df: DataFrame, complete: Callable[[str], str], prompt: str, key: str = "
 def analyse(pages: DataFrame, complete: Callable[[str], str], context: int = 8192) -> DataFrame:
     """(path, status, note, summary, concepts): ok, low_yield or failed for each page, after at most two answers.
 
-    A body beyond the context's room fails at once. An answer that can't be read or whose summary
-    doesn't pass is asked for once more, as is one of too few concepts, which is then accepted.
+    An answer that can't be read or whose summary doesn't pass is asked for once more, as is one of
+    too few concepts, which is then accepted. A body beyond the context's room and a transcript
+    (column `type`) are read window by window; they keep the summary of the column of that name and
+    fail only if no window can be read.
     """
-    ready = pages.where("body is not null").select("path", "body")
-    fits = ready.where(F.length("body") <= room(context))
+    optional = [F.col(c) if c in pages.columns else F.lit(None).cast("string").alias(c) for c in ("type", "summary")]
+    ready = pages.where("body is not null").select("path", "body", *optional)
+    large = F.length("body") > room(context)
+    windowed = large | F.coalesce(F.col("type") == "transcript", F.lit(False))
+    fits = ready.where(~windowed).select("path", "body")
     first = _attempt(fits, complete)
     again = first.where("status <> 'ok'").select("path")
     second = _attempt(fits.join(again.withColumnRenamed("path", "p"), F.col("path") == F.col("p"), "left_semi"), complete)
     done = first.where("status = 'ok'").unionByName(second)
-    large = ready.where(F.length("body") > room(context)).select("path", F.lit("failed").alias("status"), F.lit("larger than the context").alias("note"), F.lit(None).cast("string").alias("summary"), F.array().cast("array<string>").alias("concepts"))
-    return done.unionByName(large)
+    return done.unionByName(_windowed(ready.where(windowed).withColumn("large", large), complete, room(context)))
+
+
+def _windowed(pages: DataFrame, complete: Callable[[str], str], size: int) -> DataFrame:
+    found = window_concepts(pages, complete, size).withColumnRenamed("path", "f")
+    joined = pages.join(found, F.col("path") == F.col("f"), "left").withColumn("c", F.coalesce("concepts", F.array().cast("array<string>"))).drop("concepts")
+    gated = gate_concepts(joined, "c").select(F.col("path").alias("g"), "survivors", "low")
+    out = joined.join(gated, F.col("path") == F.col("g"))
+    none = F.coalesce("failed", F.lit(0)) == F.coalesce("windows", F.lit(0))
+    some = F.when(F.col("failed") > 0, F.concat(F.col("failed").cast("string"), F.lit(" of "), F.col("windows").cast("string"), F.lit(" windows failed")))
+    note = F.when(none, F.when(F.col("large"), "larger than the context").otherwise("every window failed")).otherwise(F.nullif(F.concat_ws("; ", F.when(F.col("large"), "read in windows"), some), F.lit("")))
+    status = F.when(none, "failed").when(F.col("low"), "low_yield").otherwise("ok")
+    return out.select("path", status.alias("status"), note.alias("note"), F.when(~none, F.col("summary")).alias("summary"), F.col("survivors").alias("concepts"))
 
 
 def _attempt(pages: DataFrame, complete: Callable[[str], str]) -> DataFrame:
@@ -97,13 +113,19 @@ def _attempt(pages: DataFrame, complete: Callable[[str], str]) -> DataFrame:
 
 
 def window_concepts(pages: DataFrame, complete: Callable[[str], str], size: int = 4000) -> DataFrame:
-    """(path, concepts): concepts of large pages, asked window by window; of equal keys the first window's holds."""
+    """(path, concepts, windows, failed): concepts of large pages, asked window by window, and how many windows gave none that can be read.
+
+    Of equal keys the first window's holds; names that no concept can have are dropped.
+    """
     parts = pages.where("body is not null").select("path", F.posexplode(windows(F.col("body"), size)).alias("at", "window"))
-    asked = ask(parts.select(F.concat_ws("\n", "path", F.col("at").cast("string")).alias("id"), "window"), complete, "window", "id")
-    read = asked.select(F.substring_index("id", "\n", 1).alias("path"), F.substring_index("id", "\n", -1).cast("int").alias("at"), F.from_json(repair_json(F.col("answer"))["json"], "concepts array<string>")["concepts"].alias("c"))
-    each = read.select("path", "at", F.posexplode("c").alias("pos", "concept")).where(T.normalize("concept") != "")
-    first = each.groupBy("path", T.normalize("concept").alias("key")).agg(F.min(F.struct("at", "pos", "concept")).alias("f"))
-    return first.groupBy("path").agg(F.transform(F.array_sort(F.collect_list("f")), lambda s: s["concept"]).alias("concepts"))
+    asked = ask(parts.select(F.concat_ws("\n", F.col("at").cast("string"), "path").alias("id"), "window"), complete, "window", "id")
+    cut = F.expr("substr(id, instr(id, '\n') + 1)")
+    read = asked.select(cut.alias("path"), F.substring_index("id", "\n", 1).cast("int").alias("at"), F.from_json(repair_json(F.col("answer"))["json"], "concepts array<string>").alias("a"))
+    counted = read.groupBy("path").agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("a").isNull()).alias("failed"))
+    each = read.select(F.col("path").alias("p"), "at", F.posexplode("a.concepts").alias("pos", "concept")).withColumn("concept", T.strip_space(T.strip_links("concept"))).where((T.normalize("concept") != "") & T.shape_ok("concept"))
+    first = each.groupBy("p", T.normalize("concept").alias("key")).agg(F.min(F.struct("at", "pos", "concept")).alias("f"))
+    lists = first.groupBy("p").agg(F.transform(F.array_sort(F.collect_list("f")), lambda s: s["concept"]).alias("concepts"))
+    return counted.join(lists, F.col("path") == F.col("p"), "left").select("path", F.coalesce("concepts", F.array().cast("array<string>")).alias("concepts"), "windows", "failed")
 
 
 def transcript(turns: DataFrame, conversation: str = "conv_id", order: str = "turn") -> DataFrame:

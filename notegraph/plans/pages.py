@@ -39,11 +39,11 @@ def json_repair(spark, d):
 
 
 def stub_model(prompt: str) -> str:
-    """A stand-in for a model: the first sentence and the words of the first links, as JSON."""
+    """A stand-in for a model: the first sentence and the words of the links, as JSON."""
     import re
 
     first = re.split(r"(?<=[.!?])\s", " ".join(re.sub(r"(?m)^#{1,6}.*$", "", prompt).split()), maxsplit=1)[0][:200]
-    return "```json\n" + json.dumps({"summary": first, "concepts": [x.split("|")[-1] for x in re.findall(T.LINK, prompt)][:20]}) + "\n```"
+    return "```json\n" + json.dumps({"summary": first, "concepts": [x.split("|")[-1] for x in re.findall(T.LINK, prompt)]}) + "\n```"
 
 
 def analyse_pages(spark, d):

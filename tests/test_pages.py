@@ -110,6 +110,25 @@ def test_analysis_isolates_failures(spark):
     assert got == {"a": ("ok", None), "b": ("failed", "RuntimeError: down"), "c": ("failed", "unparseable"), "d": ("failed", "larger than the context")}
 
 
+def test_long_pages_and_transcripts_are_read_in_windows(spark):
+    import json
+    import re
+
+    def model(prompt):
+        if len(prompt) > A.room(8192):
+            raise RuntimeError("too long")
+        return "nonsense" if "garble" in prompt else json.dumps({"summary": "New.", "concepts": re.findall(r"early jet|late jet", prompt)})
+
+    long = "early jet " + "y" * 35_000 + " late jet"
+    rows = [("a", long, "concept", "Kept."), ("b", "early jet", "transcript", "Said."), ("c", "garble", "transcript", "Said."), ("d", long + " garble", "concept", "Kept."), ("e", "early jet", None, "Old.")]
+    df = spark.createDataFrame(rows, "path string, body string, type string, summary string")
+    got = {r.path: (r.status, r.note, r.summary, r.concepts) for r in A.analyse(df, model).collect()}
+    assert got == {
+        "a": ("ok", "read in windows", "Kept.", ["early jet", "late jet"]), "b": ("ok", None, "Said.", ["early jet"]), "c": ("failed", "every window failed", None, []),
+        "d": ("ok", "read in windows; 1 of 2 windows failed", "Kept.", ["early jet"]), "e": ("ok", None, "New.", ["early jet"]),
+    }
+
+
 def versions(spark, *rows):
     return spark.createDataFrame([(p, 1, t, None, False) for p, t in rows], V.SCHEMA)
 
