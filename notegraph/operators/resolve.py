@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notegraph.functions import names as N
 from notegraph.functions import text as T
+from notegraph.operators.graph import mention_counts
 
 #: A word is rare in at most DF_FLOOR names or DF_SHARE of them.
 DF_FLOOR, DF_SHARE = 3, 0.02
@@ -115,6 +116,15 @@ def plan_queue(candidates: DataFrame, queue: DataFrame, aliases: DataFrame, ment
     return j.select("pair_key", F.when(F.col("hit").isNotNull(), "skip").when(F.col("known").isNull(), "insert").when(more, "reopen").otherwise("skip").alias("action"))
 
 
+def intake(names: DataFrame, queue: DataFrame, aliases: DataFrame, links: DataFrame) -> DataFrame:
+    """(pair_key, action): plan_queue over the pairs that the names' structure gives and those of the queue, each once."""
+    own = queue.where("key_a is not null and key_b is not null and key_a <> key_b").select("key_a", "key_b")
+    both = structural_pairs(names).select("key_a", "key_b").unionByName(own)
+    pairs = both.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
+    keyed = pairs.select(N.pair_key(F.col("key_a"), F.col("key_b")).alias("pair_key"), "key_a", "key_b")
+    return plan_queue(pairs, queue, aliases, mention_counts(keyed, links))
+
+
 def judged_aliases(queue: DataFrame, pages: DataFrame, links: DataFrame) -> DataFrame:
     """(alias_key, canonical_key) for pairs decided to be the same: the side with a page is canonical, else that with more mentions.
 

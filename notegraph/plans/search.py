@@ -96,6 +96,7 @@ QUERIES = {
     "queue_totals": lambda s, d: R.status_totals(table(s, d, "queue")),
     "queue_batch": lambda s, d: R.next_batch(table(s, d, "queue")),
     "queue_plan": queue_plan,
+    "queue_intake": lambda s, d: R.intake(_names(s, d), table(s, d, "queue"), table(s, d, "aliases"), table(s, d, "links")),
     "judged_aliases": lambda s, d: R.judged_aliases(table(s, d, "queue"), pages(s, d), table(s, d, "links")),
     "near_misses": lambda s, d: R.near_misses(G.unresolved_counts(resolved(s, d)), "Kamlerhe Centre for Tidal Mechanics"),
     "queue_evidence": lambda s, d: R.evidence(R.latest(table(s, d, "queue")).where("status = 'open'"), edges(s, d), table(s, d, "chunks")),

@@ -99,6 +99,17 @@ def test_rare_words_reach_the_share_of_the_names(spark, monkeypatch):
     assert len(got) == 104 * 103 // 2 and {tuple(r) for r in got} == {(a, b) for a in keys for b in keys if a < b}
 
 
+def test_intake_plans_pairs_that_the_queue_does_not_know(spark):
+    names = spark.createDataFrame([("jetbreak", "jet break"), ("jetstop", "jet stop"), ("jetcut", "jet cut"), ("amber", "amber")], "key string, name string")
+    row = lambda a, b, status, asked: ("|".join(sorted((a, b))), a, b, status, asked, None, None)
+    queue = spark.createDataFrame([row("jetstop", "jetbreak", "unclear", 1), row("amber", "old", "open", 0)], "pair_key string, key_a string, key_b string, status string, mentions_at_ask int, asked_at string, decided_at string")
+    aliases = spark.createDataFrame([("jetcut",)], "alias_key string")
+    links = spark.createDataFrame([("jetbreak",), ("jetstop",)], "target_key string")
+    got = {tuple(r) for r in R.intake(names, queue, aliases.where("alias_key = 'none'"), links).collect()}
+    assert got == {("jetbreak|jetstop", "reopen"), ("amber|old", "skip"), ("jetbreak|jetcut", "insert"), ("jetcut|jetstop", "insert")}
+    assert {r.action for r in R.intake(names, queue, aliases, links).collect() if "jetcut" in r.pair_key} == {"skip"}
+
+
 def test_analysis_isolates_failures(spark):
     def model(prompt):
         if "boom" in prompt:
