@@ -1,18 +1,21 @@
-"""Variant spellings of names typed by people: a pigeonhole segment join and a token comparison.
+"""Variant spellings of names typed by people: a pigeonhole segment join over whole names.
 
 Each key is read through its most frequent fitting display and brought to a form: words without
-accents, titles and fillers, in any order, with nicknames and kinds of bodies written out. Forms
-are blocked by each of their words. Words are joined by segments: cut into k + 1 segments, of
-two words within k edits at least one segment is found in the other, shifted by at most k; an
-inverted index of segments gives the candidates and a banded edit distance verifies them. Forms
-under variants of one word whose other words may begin alike are then compared word by word.
+accents, titles and fillers, in any order, with nicknames and kinds of bodies written out. A form
+is cut into two segments a word, its beginning and its end, with a letter or two between them. Of
+two spellings with one edit (or swap of neighbours) a word, one segment of each word is found in
+the other, at the same end but shifted by a letter where the lengths differ. An inverted index
+holds each form under the segments of its two rarest words taken together (one segment of either);
+every form is looked up by the segments of all pairs of its words, cut for words of a letter less
+and more. Words that stand for others (initials, cut words, acronyms) have segments of their own.
+A banded edit distance on both words verifies the candidates, then all words are compared.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from notegraph.functions.text import normalize
 from notegraph.llm.components import components
+from notegraph.operators.skew import salted_join
 from notegraph.session import written
 
 #: Given names and their common short forms.
@@ -51,14 +55,12 @@ FILLERS = frozenset("the of for and de la der von di du des le".split())
 BEFORE_CODES = frozenset("object source target model type no nr".split())
 TITLES = frozenset("dr prof mr mrs ms sir dame".split())
 
-#: Edits within a word; edits of the segment join (a swap of neighbours is two of them).
-WORD_EDITS, JOIN_EDITS = 1, 2
-#: Letters from which on a word may be misspelled.
-LEAST = 3
-#: Forms of one block that a task compares with others; a larger block is split, which changes no result.
-CROWD = 200
-#: Words of a form up to which blocks are told apart by letters, and beyond it by the number of words.
-LETTERED = 5
+#: Edits, or swaps of neighbours, within a word.
+WORD_EDITS = 1
+#: Forms under one key of the index that a task joins; a longer list is split over tasks, which changes no result.
+CROWD = 1000
+#: Words of a form up to which two of them together make a key; names of more words have one word and their number.
+PAIRED = 8
 
 
 def _short_forms() -> dict[str, frozenset[str]]:
@@ -83,23 +85,26 @@ def plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[^\W_]+")
 _POSSESSIVE = re.compile(r"['’`´]s\b")
 _CODE = re.compile(r"\d+[a-z]|[a-z]\d+")
-_TITLE = re.compile(r"[_/\\]|\d{2,}[^a-z]|\d{2,}$|v\d+\b")
+_TITLE = re.compile(r"[_/\\]|\d{3,}|\d$|^\d+[-. ]\d|v\d+\b")
+_INVERTED = re.compile(r"\s*[^\W\d_]+,[\s-]*[^\W\d_]+(?:\s+[^\W\d_]\.?)?\s*")
 
 
 def words(display: str) -> list[str] | None:
     """The words of a name in canonical spelling, sorted; None for what is a page title or a number.
 
-    A letter standing between full words is dropped (a middle initial); figures within a longer
-    word are read as the letters they look like; a nickname of one given name is written out.
+    Page titles are names with figures at the end, long figures, dates or file marks; a figure
+    elsewhere is a word that must be equal. A letter standing between full words is dropped (a
+    middle initial); figures within a longer word are read as the letters they look like; a nickname
+    of one given name is written out. All scripts are read.
     """
     text = _POSSESSIVE.sub("", plain(display))
     found = [w for w in _WORD.findall(text) if w not in TITLES]
     bare = [w for w in found if w not in FILLERS]
     found = bare if len(bare) > 1 else found
-    if _TITLE.search(text.strip()) or any(w.isdigit() for w in found) or not found:
+    if _TITLE.search(text.strip()) or all(w.isdigit() for w in found):
         return None
     out = []
     for w in found:
@@ -124,6 +129,12 @@ def words(display: str) -> list[str] | None:
     return sorted(out)
 
 
+def personal(display: str) -> bool:
+    """Whether a display is written as people are: with a title, or as a family name, a comma and a given name."""
+    first = _WORD.search(plain(display))
+    return (first is not None and first.group() in TITLES and len(_WORD.findall(display)) > 2) or bool(_INVERTED.fullmatch(display))
+
+
 def near(a: str, b: str, most: int = WORD_EDITS) -> bool:
     """Edit distance, a swap of neighbours counting once, of at most `most`, in a band of that width."""
     if a == b:
@@ -165,8 +176,11 @@ SAME, TYPO, A_SHORT, B_SHORT = 0, 1, 2, 3
 
 
 @lru_cache(maxsize=200_000)
-def relation(a: str, b: str) -> int | None:
-    """How two words may stand for one: equal, misspelled, or one a shortening of the other."""
+def relation(a: str, b: str, person_a: bool = False, person_b: bool = False) -> int | None:
+    """How two words may stand for one: equal, misspelled, or one a shortening of the other.
+
+    An initial stands for a given name: one that is known, or any word of a personal name.
+    """
     if a == b:
         return SAME
     if any(c.isdigit() for c in a + b):
@@ -178,8 +192,8 @@ def relation(a: str, b: str) -> int | None:
             return None
     if min(len(a), len(b)) >= 3 and max(len(a), len(b)) >= 4 and near(a, b):
         return TYPO
-    for x, y, how in ((a, b, A_SHORT), (b, a, B_SHORT)):
-        if (len(x) == 1 or (len(x) == 2 and x in GIVEN)) and given(y) and y[0] == x[0]:
+    for x, y, how, person in ((a, b, A_SHORT, person_b), (b, a, B_SHORT, person_a)):
+        if (len(x) == 1 or (len(x) == 2 and x in GIVEN)) and y[0] == x[0] and (given(y) or (person and len(y) > 2)):
             return how
         if 3 <= len(x) <= 6 and len(y) - len(x) >= 1 and x not in KINDS and (y.startswith(x) or (len(x) >= 4 and any(near(x, y[:n]) for n in (len(x) - 1, len(x), len(x) + 1)))):
             return how
@@ -188,7 +202,7 @@ def relation(a: str, b: str) -> int | None:
     return None
 
 
-def compare(a: list[str], b: list[str]) -> str | None:
+def compare(a: list[str], b: list[str], person_a: bool = False, person_b: bool = False) -> str | None:
     """"full" if the words of two forms are the same up to misspellings, "a" or "b" if that one is a shortening.
 
     Each word of one must stand for exactly one of the other, at most two of them misspelled; an
@@ -202,7 +216,7 @@ def compare(a: list[str], b: list[str]) -> str | None:
         return None
     if len(a) == 2 and any(max(len(x), len(y)) <= 4 and x not in GIVEN and y not in GIVEN for x in set(a) - set(b) for y in set(b) - set(a)):
         return None  # other acronyms, not misspellings
-    best = _match(tuple(a), tuple(b))
+    best = _match(tuple(a), tuple(b), person_a, person_b)
     if best is None:
         return None
     typos, short_a, short_b = best
@@ -211,16 +225,16 @@ def compare(a: list[str], b: list[str]) -> str | None:
     return "a" if short_a else "b" if short_b else "full"
 
 
-def _match(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[int, int, int] | None:
+def _match(a: tuple[str, ...], b: tuple[str, ...], person_a: bool = False, person_b: bool = False) -> tuple[int, int, int] | None:
     """Fewest (misspellings, shortenings in a, in b) over the ways to pair all words."""
     if not a:
         return 0, 0, 0
     best = None
     for j, w in enumerate(b):
-        r = relation(a[0], w)
+        r = relation(a[0], w, person_a, person_b)
         if r is None:
             continue
-        rest = _match(a[1:], b[:j] + b[j + 1 :])
+        rest = _match(a[1:], b[:j] + b[j + 1 :], person_a, person_b)
         if rest is None:
             continue
         this = (rest[0] + (r == TYPO), rest[1] + (r == A_SHORT), rest[2] + (r == B_SHORT))
@@ -242,41 +256,80 @@ def _acronym(short: list[str], long: list[str]) -> bool:
     return False
 
 
-def _firsts(w: str) -> set[str]:
-    """Letters of which two words that `relation` accepts share one: an edit leaves one of the first two."""
-    return {c for x in (w, *GIVEN.get(w, ())) for c in x[:2]}
+def _ends(word: str, size: int) -> list[str]:
+    return ["<" + word[:size], ">" + word[-size:]] if size else []
 
 
-def signatures(form: list[str], anchor: str) -> set[str]:
-    """Letters, sorted, one of the first two of each word beside the anchor; of an acronym also its own.
+def cut(word: str, paired: bool) -> list[tuple[str, str]]:
+    """(segment, word) under which the index holds a word: its two ends, or what a shortening shows of the word it stands for.
 
-    Any two forms that `compare` accepts share one beside words that stand for one another. Forms of
-    many words have their number of words instead, and the initials that an acronym may give.
+    The ends leave a letter or two between them, so that one edit or swap spares an end. Words with
+    figures, and short words beside several others, must be equal. Given names of several short
+    forms are held under each full name as well.
     """
-    rest = list(form)
-    rest.remove(anchor)
-    if len(form) > LETTERED:
-        return {str(len(form)), "".join(sorted(w[0] for w in rest))}
-    out = {""}
-    for w in rest:
-        out = {x + y for x in out for y in _firsts(w)}
-    out = {"".join(sorted(x)) for x in out}
-    if len(rest) == 1 and 3 <= len(rest[0]) <= 6:
-        out.add("".join(sorted(rest[0])))
-        if rest[0][0] == "u":  # a university's department
-            out.add("".join(sorted(rest[0][1:])))
+    n = len(word)
+    if any(c.isdigit() for c in word) or not word.isascii() and n < 3:
+        return [("=" + word, word)]
+    out = [(s, x) for x in sorted({word, *GIVEN.get(word, ())}) if len(x) > 2 for s in _ends(x, (len(x) - 1) // 2)]
+    if n <= 2:
+        out.append(("." + word[0], word) if paired else ("=" + word, word))
+    elif n <= 6 and word not in KINDS:
+        out.append(("~" + word[:2], word))
+        if n == 4:  # an edit spares one half, a swap in the middle the outer letters
+            out += [("^" + word[2:], word), ("-" + word[0] + word[3], word)]
+        elif n >= 5:
+            out.append(("^" + word[3:5], word))
     return out
 
 
-def beginnings(form: list[str]) -> set[str]:
-    """Sorted beginnings of all words, for forms that share no word: three letters each, or the initial of a given name."""
-    if len(form) > LETTERED:
-        return {" ".join(sorted(w[:3] for w in form))}
-    out: set[tuple[str, ...]] = {()}
-    for w in form:
-        options = {x[:3] for x in (w, *GIVEN.get(w, ()))} | ({w[0]} if given(w) else set())
-        out = {(*x, y) for x in out for y in options}
-    return {" ".join(sorted(x)) for x in out}
+def lookups(word: str, paired: bool) -> list[tuple[str, str]]:
+    """(segment, word) by which a word is looked up: those that `cut` gives for any word that `relation` ties to it, if that is the shorter one or equally long in kind."""
+    n = len(word)
+    if any(c.isdigit() for c in word) or not word.isascii() and n < 3:
+        return [("=" + word, word)]
+    out = [(s, x) for x in sorted({word, *GIVEN.get(word, ())}) if len(x) > 2 for size in sorted({(len(x) + d) // 2 for d in (-2, -1, 0)}) for s in _ends(x, size)]
+    if n >= 2 and paired:
+        out.append(("." + word[0], word))
+    if n <= 2:
+        out.append(("." + word[0], word) if paired else ("=" + word, word))
+    if n >= 4:
+        out += [("~" + word[:2], word), ("-" + word[0] + word[3], word), *(("^" + word[i : i + 2], word) for i in (1, 2, 3, 4) if i + 2 <= n)]
+    return out
+
+
+def _key(a: tuple[str, str], b: tuple[str, str]) -> tuple[str, str, str]:
+    """Two segments in order as one key, and the words they are of."""
+    (s, x), (t, y) = (a, b) if a <= b else (b, a)
+    return f"{s} {t}", x, y
+
+
+def index_keys(form: list[str], rare: list[str]) -> set[tuple[str, str, str]]:
+    """(key, word, word) under which the index holds a form whose two rarest words are `rare`."""
+    n = len(form)
+    if n == 1 or n > PAIRED:
+        return {(f"{n} {s}", x, "") for s, x in cut(rare[0], False)}
+    pairs = n == 2
+    first, second = cut(rare[0], pairs), cut(rare[1], pairs)
+    out = {_key(a, b) for a in first for b in second}
+    for name, letters in (rare, rare[::-1]) if pairs else ():
+        if 3 <= len(letters) <= 6 and letters.isalpha():
+            options = {letters, letters[1:]} if letters[0] == "u" else {letters}  # a university's department
+            out |= {_key(a, ("!" + "".join(sorted(x)), "")) for a in cut(name, False) for x in options}
+    return out
+
+
+def probe_keys(form: list[str]) -> set[tuple[str, str, str]]:
+    """(key, word, word) by which a form is looked up: for any form it may be a spelling of, or that may be a shortening of it, one is in index_keys."""
+    n = len(form)
+    found = [lookups(w, n == 2) for w in form]
+    if n == 1 or n > PAIRED:
+        return {(f"{n} {s}", x, "") for w in found for s, x in w}
+    out = {_key(a, b) for i in range(n) for j in range(i + 1, n) for a in found[i] for b in found[j]}
+    if n >= 3:
+        for i, w in enumerate(form):
+            letters = "!" + "".join(sorted(x[0] for j, x in enumerate(form) if j != i))
+            out |= {_key(a, (letters, "")) for a in lookups(w, False)}
+    return out
 
 
 def read_names(links: DataFrame, queue: DataFrame) -> DataFrame:
@@ -297,36 +350,6 @@ def read_names(links: DataFrame, queue: DataFrame) -> DataFrame:
     return counted.groupBy("key").agg(best["display"].alias("display")).select("key", F.coalesce("display", "key").alias("display"))
 
 
-def segments(word: Column, k: int) -> Column:
-    """(length, place, text) of the k + 1 segments of a word; the last ones are the longer."""
-    n = F.length(word)
-    base, more = F.floor(n / (k + 1)), n % (k + 1)
-
-    def part(i: int) -> Column:
-        longer = F.greatest(F.lit(0), more - (k + 1 - i))  # segments before i that are one longer
-        size = base + F.when(F.lit(i) >= (k + 1) - more, 1).otherwise(0)
-        return F.struct(n.alias("length"), F.lit(i).alias("place"), F.substring(word, (base * i + longer + 1).cast("int"), size.cast("int")).alias("text"))
-
-    return F.array(*[part(i) for i in range(k + 1)])
-
-
-def probes(word: Column, k: int) -> Column:
-    """(length, place, text) of the substrings that a segment of a word of up to k letters less may equal."""
-    n = F.length(word)
-    out = []
-    for less in range(k + 1):
-        m = n - less
-        base, more = F.floor(m / (k + 1)), m % (k + 1)
-        for i in range(k + 1):
-            longer = F.greatest(F.lit(0), more - (k + 1 - i))
-            size = (base + F.when(F.lit(i) >= (k + 1) - more, 1).otherwise(0)).cast("int")
-            for shift in range(-k, k + 1):
-                at = (base * i + longer + 1 + shift).cast("int")
-                fits = (at >= 1) & (at + size - 1 <= n) & (size >= 1)
-                out.append(F.when(fits, F.struct(m.alias("length"), F.lit(i).alias("place"), F.substring(word, at, size).alias("text"))))
-    return F.filter(F.array_distinct(F.array(*out)), lambda x: x.isNotNull())
-
-
 def _spread_distinct(pairs: DataFrame) -> DataFrame:
     """Different rows, in partitions for all cores: they are few bytes but much work, so their number is set here."""
     spark = pairs.sparkSession
@@ -334,88 +357,92 @@ def _spread_distinct(pairs: DataFrame) -> DataFrame:
     return pairs.repartition(parts, *pairs.columns).distinct()
 
 
-def similar_words(vocabulary: DataFrame, column: str = "word", k: int = JOIN_EDITS, most: int = WORD_EDITS, least: int = 4) -> DataFrame:
-    """(word, other): different words of `least` or more letters (more than k) within `most` edits, both ways round.
-
-    Complete for Levenshtein distance k, and for `most` = 1 edits or swaps of neighbours with k = 2.
-    """
-    v = vocabulary.select(F.col(column).alias("word")).where(F.length(column) >= least).distinct()
-    index = v.select("word", F.inline(segments(F.col("word"), k)))
-    probing = v.select(F.col("word").alias("other"), F.inline(probes(F.col("word"), k)))
-    # the sizes that Spark estimates leave out the explosion: without the hint a side might be broadcast
-    pairs = index.hint("merge").join(probing, ["length", "place", "text"]).where("word <> other and (length(word) < length(other) or word < other)").select("word", "other")
-    pairs = _spread_distinct(pairs)
+def _forms(names: DataFrame) -> DataFrame:
+    """(key, form, person): the form of each name that is none of a page, and whether it is written as people are."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = pa.array([near(x, y, most) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.bool_())
-            yield b.filter(keep)
+            displays = b.column(1).to_pylist()
+            read = [words(d) for d in displays]
+            forms = pa.array([" ".join(w) if w else None for w in read], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), forms, pa.array([personal(d) for d in displays], pa.bool_())], names=["key", "form", "person"])
 
-    found = pairs.mapInArrow(verify, "word string, other string")
-    return found.unionByName(found.select(F.col("other").alias("word"), F.col("word").alias("other")))
+    return names.mapInArrow(run, "key string, form string, person boolean").where("form is not null")
 
 
-def _forms(names: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            read = [words(d) for d in b.column(1).to_pylist()]
-            forms = pa.array([" ".join(w) if w else None for w in read], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), forms], names=["key", "form"])
+def rarest_words(forms: DataFrame, n: int = 2) -> DataFrame:
+    """(form, person, rare): the n words of each form that the fewest forms have; equal ones in order."""
+    each = forms.select("form", "person", F.posexplode(F.split("form", " ")).alias("at", "word"))
+    counts = each.groupBy(F.col("word").alias("counted")).agg(F.count(F.lit(1)).alias("df"))
+    known = salted_join(each, counts, "word", "counted", salt_by="form")
+    lists = known.groupBy("form", "person").agg(F.array_sort(F.collect_list(F.struct("df", "at", "word"))).alias("all"))
+    return lists.select("form", "person", F.transform(F.slice("all", 1, n), lambda x: x["word"]).alias("rare"))
+
 
-    return names.mapInArrow(run, "key string, form string").where("form is not null")
+_KEYED = "form string, person boolean, key string, x string, y string"
 
 
-def _blocked(forms: DataFrame) -> DataFrame:
-    """(form, anchor, block): each word of a form leads; under the empty anchor stand forms that may be cut in all words."""
+def _keyed(forms: DataFrame, keys: Callable[[list[str], list[str]], set[tuple[str, str, str]]]) -> DataFrame:
+    """(form, person, key, x, y) of forms with their rarest words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for form in b.column(0).to_pylist():
-                parts = form.split(" ")
-                rows += [(form, anchor, s) for anchor in sorted(set(parts)) for s in sorted(signatures(parts, anchor))]
-                rows += [(form, "", s) for s in sorted(beginnings(parts))]
-            cols = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["form", "anchor", "block"])
+        for big in batches:
+            for start in range(0, len(big), 2000):
+                b = big.slice(start, 2000)
+                at, rows = [], []
+                for i, (form, rare) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+                    found = keys(form.split(" "), rare)
+                    at += [i] * len(found)
+                    rows += found
+                take, cols = pa.array(at, pa.int64()), list(zip(*rows)) if rows else [[], [], []]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(c, pa.string()) for c in cols)], names=["form", "person", "key", "x", "y"])
+
+    return forms.mapInArrow(run, _KEYED)
+
 
-    return forms.mapInArrow(run, "form string, anchor string, block string")
+def _close(tag: Column, x: Column, other: Column) -> Column:
+    """Whether two words that share an end are within the edits, a swap counting as two; other segments are verified later."""
+    return ~tag.isin("<", ">") | (F.levenshtein(x, other, 2) >= 0)
 
 
-def _block_pairs(block: DataFrame, variants: DataFrame) -> DataFrame:
-    """(form_a, form_b), form_a < form_b: all forms under one anchor, or variants of it, and one block.
+def candidates(ranked: DataFrame) -> DataFrame:
+    """(form_a, form_b, person_a, person_b), form_a < form_b: forms that share a key of the index and whose two words there are close.
 
-    A block of more than CROWD forms is split: each form is looked up in one part and listed in all.
+    Keys of more than CROWD forms are split: each form is listed in one part and looked up in all.
     """
-    crowds = block.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n")).where(f"n > {CROWD}")
-    crowds = written(crowds.select(F.col("anchor").alias("a"), F.col("block").alias("b"), F.ceil(F.col("n") / CROWD).cast("int").alias("parts")), "crowds")
-    at = (F.col("anchor") == F.col("a")) & (F.col("block") == F.col("b"))
+    index = written(_keyed(ranked, index_keys), "index")
+    crowds = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n > {CROWD}")
+    crowds = written(crowds.select(F.col("key").alias("crowd"), F.ceil(F.col("n") / CROWD).cast("int").alias("parts")), "crowds")
     parts = F.coalesce("parts", F.lit(1))
-    other = block.join(variants, F.col("anchor") == F.col("word")).select("form", F.col("other").alias("anchor"), "block")
-    looked = block.select("form", "anchor", "block").unionByName(other).join(crowds, at, "left")
-    looked = looked.select(F.col("form").alias("form_a"), F.col("anchor").alias("anchor_a"), F.col("block").alias("block_a"), F.pmod(F.xxhash64("form"), parts).cast("int").alias("part_a"))
-    listed = block.join(crowds, at, "left").select(F.col("form").alias("form_b"), F.col("anchor").alias("anchor_b"), F.col("block").alias("block_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part_b"))
-    on = (F.col("anchor_a") == F.col("anchor_b")) & (F.col("block_a") == F.col("block_b")) & (F.col("part_a") == F.col("part_b"))
+    held = index.join(crowds, F.col("key") == F.col("crowd"), "left").select("form", "person", "key", "x", "y", F.pmod(F.xxhash64("form"), parts).cast("int").alias("part"))
+    asked = _keyed(ranked, lambda form, rare: probe_keys(form)).join(crowds, F.col("key") == F.col("crowd"), "left")
+    asked = asked.select(F.col("form").alias("form2"), F.col("person").alias("person2"), F.col("key").alias("key2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part2"))
+    on = (F.col("key") == F.col("key2")) & (F.col("part") == F.col("part2")) & (F.col("form") != F.col("form2"))
+    first = F.when(F.col("key").rlike("^[0-9]"), F.substring(F.substring_index("key", " ", -1), 1, 1)).otherwise(F.substring("key", 1, 1))
+    second = F.substring(F.substring_index("key", " ", -1), 1, 1)
+    close = _close(first, F.col("x"), F.col("x2")) & ((F.col("y") == "") | _close(second, F.col("y"), F.col("y2")))
     # estimates leave out the explosion: without the hint a side might be broadcast
-    return looked.hint("merge").join(listed, on & (F.col("form_a") < F.col("form_b"))).select("form_a", "form_b")
+    met = held.hint("merge").join(asked, on & close)
+    lower = F.col("form") < F.col("form2")
+    pick = lambda a, b, name: F.when(lower, F.col(a)).otherwise(F.col(b)).alias(name)
+    return _spread_distinct(met.select(pick("form", "form2", "form_a"), pick("form2", "form", "form_b"), pick("person", "person2", "person_a"), pick("person2", "person", "person_b")))
 
 
 def link_names(links: DataFrame, queue: DataFrame) -> DataFrame:
     """(key, entity): keys that share their entity with another key, with the entity's smallest form.
 
-    Full spellings are tied by words that are equal, misspelled or nicknames. Shortenings
-    (initials, cut words, acronyms) are tied to the one entity they can stand for; where several
-    can, they stay alone. Page titles and numbered names are never tied, nor are names that differ
-    in a figure or code. Empty tables give an empty result.
+    Full spellings are tied by words that are equal, misspelled (one edit or swap a word, in at most
+    two words) or nicknames. Shortenings (initials, cut words, acronyms) are tied to the one entity
+    they can stand for; where several can, they stay alone. Page titles are never tied, nor are names
+    that differ in a figure or code. Empty tables give an empty result.
     """
     named = written(_forms(read_names(links, queue)), "names")
-    forms = named.select("form").distinct()
-    block = written(_blocked(forms), "blocks")
-    pairs = _block_pairs(block, similar_words(block, "anchor", least=LEAST))
-    pairs = _spread_distinct(pairs)
+    forms = named.groupBy("form").agg(F.max("person").alias("person"))
+    pairs = candidates(written(rarest_words(forms), "forms"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(x, y, compare(x.split(" "), y.split(" "))) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            rows = [(x, y, compare(x.split(" "), y.split(" "), p, q)) for x, y, p, q in zip(*(c.to_pylist() for c in b.columns))]
             rows = [r for r in rows if r[2]]
             cols = list(zip(*rows)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["form_a", "form_b", "how"])
