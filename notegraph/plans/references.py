@@ -4,21 +4,20 @@ from notegraph.operators import references as R
 from notegraph.session import table
 
 
-def _all(spark, d):
-    return [table(spark, d, t) for t in ("links", "files", "removals", "aliases")]
+def _state(spark, d):
+    return R.advance(*(table(spark, d, t) for t in ("links", "files", "removals")))
 
 
 def p2_found(spark, d):
-    return R.missing_references(*_all(spark, d)).select("field_name", "source", "target_key")
+    return R.missing_references(_state(spark, d), table(spark, d, "aliases")).select("field_name", "source", "target_key")
 
 
 def p2_report(spark, d):
-    return R.report_by_month(R.missing_references(*_all(spark, d)))
+    return R.report_by_month(R.missing_references(_state(spark, d), table(spark, d, "aliases")))
 
 
 def p2_orphan_keys(spark, d):
-    links, files, removals, aliases = _all(spark, d)
-    return R.orphan_keys(R.balance(R.first_references(links), R.existence_deltas(files, removals, aliases)))
+    return R.orphan_keys(_state(spark, d), table(spark, d, "aliases"))
 
 
 _FOUND = """

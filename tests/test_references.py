@@ -22,6 +22,10 @@ def tables(spark, links, files, removals, aliases):
     )
 
 
+def report(links, files, removals, aliases, before=None):
+    return R.missing_references(R.advance(links, files, removals, before), aliases)
+
+
 def expected(links, files, removals, aliases):
     first = {}
     for s, t, at in links:
@@ -40,8 +44,8 @@ def expected(links, files, removals, aliases):
     return out
 
 
-def test_against_loop(spark):
-    rng = random.Random(5)
+def case(seed):
+    rng = random.Random(seed)
     day = lambda: T0 + timedelta(hours=rng.randrange(9000))
     keys = [f"k{i}" for i in range(25)]
     files = [(f"p{i}", rng.choice(keys[:18]), None if rng.random() < 0.2 else day()) for i in range(30)] * 2
@@ -51,25 +55,45 @@ def test_against_loop(spark):
         removals.append((f"r{i}", rng.choice(keys), c, (c or T0) + timedelta(hours=rng.randrange(0, 3000))))
     aliases = [("k20", "k3"), ("k21", "k20"), ("k22", "none"), ("k4", "k5")]
     links = [(rng.choice([f"p{i}" for i in range(35)] + [None]), rng.choice(keys + ["", None, "k1", "k1", "k1"]), day()) for _ in range(1500)]
-    got = R.missing_references(*tables(spark, links, files, removals, aliases))
-    assert {(r.field_name, r.source, r.target_key) for r in got.collect()} == expected(links, files, removals, aliases)
+    return links, files, removals, aliases
+
+
+def test_against_loop(spark):
+    data = case(5)
+    assert {(r.field_name, r.source, r.target_key) for r in report(*tables(spark, *data)).collect()} == expected(*data)
+
+
+def test_state_fed_in_batches(spark):
+    links, files, removals, aliases = case(6)
+    extra = ("p3", "k9", T0)  # a page that is there at first, withdrawn with the last batch and known as removed from then on
+    state = None
+    for i in range(3):  # later batches repeat rows, and bring references at earlier instants
+        some = (links[i * 500 : i * 500 + 600], [*files[i * 20 : i * 20 + 25], *([extra] if i == 0 else [])], removals[i * 10 : i * 10 + 12], aliases)
+        l, f, r, a = tables(spark, *some)
+        state = R.advance(l, f, r, state)
+    l, f, r, a = tables(spark, [], [extra], [("p3", "k9", T0, T0 + timedelta(hours=700))], aliases)
+    state = R.advance(l, f.limit(0), r, state, withdrawn=f)
+    whole = (links, [x for x in files if x in set(files[:65])], [*removals, ("p3", "k9", T0, T0 + timedelta(hours=700))], aliases)
+    assert {(r.field_name, r.source, r.target_key) for r in R.missing_references(state, a).collect()} == expected(*whole)
+    direct = R.advance(*tables(spark, *whole)[:3])
+    assert sorted(map(tuple, state.counts.collect()), key=repr) == sorted(map(tuple, direct.counts.collect()), key=repr)
+    assert sorted(map(tuple, R.orphan_keys(state, a).collect())) == sorted(map(tuple, R.orphan_keys(direct, a).collect()))
 
 
 def test_empty_tables(spark):
     link = [("p", "k", T0)]
-    assert R.missing_references(*tables(spark, [], [], [], [])).count() == 0
-    assert {r.field_name for r in R.missing_references(*tables(spark, link, [], [], [])).collect()} == {"target_key", "source"}
-    assert R.missing_references(*tables(spark, link, [("p", "k", None)], [], [])).count() == 0
-
-
-def test_balance_from_changes(spark):
-    refs = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1)], "target_key string, delta int")
-    pages = spark.createDataFrame([("b", T0, 1, 1)], "name string, at timestamp, delta int, current int")
-    state = R.balance(refs, pages)
-    assert {(r.name, r.refs) for r in R.orphan_keys(state).collect()} == {("a", 2)}
-    taken_back = spark.createDataFrame([("a", -1), ("a", -1), ("c", 1)], "target_key string, delta int")
-    later = R.balance(taken_back, spark.createDataFrame([("b", T0, -1, 0)], pages.schema), before=state)
-    assert {(r.name, r.refs) for r in R.orphan_keys(later).collect()} == {("b", 1), ("c", 1)}
+    assert report(*tables(spark, [], [], [], [])).count() == 0
+    assert {r.field_name for r in report(*tables(spark, link, [], [], [])).collect()} == {"target_key", "source"}
+    assert report(*tables(spark, link, [("p", "k", None)], [], [])).count() == 0
+    assert {r.field_name for r in report(*tables(spark, [(None, "k", None)], [("p", "k", None)], [], [])).collect()} == {"source"}
+
+
+def test_orphan_keys_follow_the_counts(spark):
+    links, files, removals, aliases = tables(spark, [("x", "a", T0), ("y", "a", T0), ("x", "b", T0), ("x", "c", T0)], [("b", "b", T0)], [], [("c", "b")])
+    state = R.advance(links, files, removals)
+    assert {tuple(r) for r in R.orphan_keys(state, aliases).collect()} == {("a", 2)}
+    later = R.advance(links.limit(0), files.limit(0), removals, state, withdrawn=files)
+    assert {tuple(r) for r in R.orphan_keys(later, aliases).collect()} == {("a", 2), ("b", 1), ("c", 1)}
 
 
 def test_salted_join_equals_plain_join(spark, monkeypatch):
