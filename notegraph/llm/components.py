@@ -107,8 +107,9 @@ def components(edges: DataFrame, a: str, b: str, max_task_edges: int = MAX_TASK_
         forest = _forest(forest.repartition(following, "child"), "forest")
         parts, size = following, forest.count()
     if parts > 1 and size > 0:  # too large for one task: contract where it lies
+        spread = max(parts, -(-size // max_task_edges))
         while not _settled(forest):
-            merged = _forest(_contract(forest).repartition(parts, "child"), "forest")
+            merged = _forest(_contract(forest).repartition(spread, "child"), "forest")
             forest = written(_contract(merged), "contracted")
     roots = forest.select(F.col("parent").alias("node")).distinct()
     grouped = forest.select(F.col("child").alias("node"), F.col("parent").alias("component"))

@@ -12,6 +12,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ COST = 2
 #: Pairs of texts and items in a batch up to which their q-grams are counted in a full table.
 DENSE = 4_000_000
 #: Bytes of all passages together for which the index of q-grams is sent to every executor.
-MAX_ITEMS_BYTES = 64 << 20
+MAX_ITEMS_BYTES = 16 << 20
 
 _LINK = re.compile(r"\[\[[^\[\]|]*\|")
 _TARGET = re.compile(r"\]\([^()\s]*\)")
@@ -230,11 +231,17 @@ def leaked_items(documents: DataFrame, items: DataFrame, text: str = "text", pas
     return out.distinct() if passes > 1 else out
 
 
+@lru_cache(maxsize=2)
+def _indexed(items: tuple[tuple[int, str], ...]) -> Passages:
+    """The index of the passages, built once in a worker that runs many tasks."""
+    return Passages(list(items))
+
+
 def _search(spark: SparkSession, documents: DataFrame, items: list[tuple[int, str]], text: str) -> DataFrame:
-    shared = spark.sparkContext.broadcast(sorted(items))
+    shared = spark.sparkContext.broadcast(tuple(sorted(items)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages = Passages(shared.value)
+        passages = _indexed(shared.value)
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             at = 0

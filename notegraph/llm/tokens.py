@@ -90,23 +90,39 @@ class PrefixEncoder:
 
     def append(self, more: bytes) -> None:
         """Lengthens the piece; what is stored for the prefixes so far stays as it is."""
-        v, last = self.v, self.last
-        start, data = len(self.bytes), self.bytes + more
-        for end in range(start + 1, len(data) + 1):
-            for begin in range(max(0, end - v.longest), end):
-                token = v.by_bytes.get(data[begin:end])
-                if token is not None and (begin == 0 or v.compatible(last[begin], token)) and v.whole(token):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"no token ends at byte {end}")
-        self.bytes = data
-
-    def edit(self, start: int, end: int, new: bytes) -> None:
-        """Replaces bytes start..end; prefixes before the edit keep their tokens."""
-        rest = self.bytes[end:]
+        start, self.bytes = len(self.bytes), self.bytes + more
+        for end in range(start + 1, len(self.bytes) + 1):
+            self.last.append(self._last_of(end))
+
+    def _last_of(self, end: int) -> int:
+        """The last token of the prefix that ends at a byte, from those of shorter prefixes."""
+        v, last, data = self.v, self.last, self.bytes
+        for begin in range(max(0, end - v.longest), end):
+            token = v.by_bytes.get(data[begin:end])
+            if token is not None and (begin == 0 or v.compatible(last[begin], token)) and v.whole(token):
+                return token
+        raise ValueError(f"no token ends at byte {end}")
+
+    def edit(self, start: int, end: int, new: bytes) -> int:
+        """Replaces bytes start..end; gives the number of prefixes that were worked out again.
+
+        Prefixes before the edit keep their tokens. Behind it the old ones hold again as soon as
+        they agree with the new ones over a stretch as long as the longest token, because a prefix's
+        token depends on no others.
+        """
+        old, kept = self.last, self.bytes[end:]
         self.bytes, self.last = self.bytes[:start], self.last[: start + 1]
-        self.append(new + rest)
+        self.append(new)
+        at, self.bytes = len(self.bytes), self.bytes + kept
+        done, agreed = len(new), 0
+        while len(self.last) <= len(self.bytes):
+            here = len(self.last)
+            self.last.append(self._last_of(here))
+            done += 1
+            agreed = agreed + 1 if self.last[here] == old[here - at + end] else 0
+            if agreed >= self.v.longest and here - at >= self.v.longest:
+                self.last += old[here - at + end + 1 :]
+        return done
 
     def ids(self) -> list[int]:
         out, end = [], len(self.bytes)

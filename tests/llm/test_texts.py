@@ -83,3 +83,16 @@ def test_null_and_empty_texts(spark):
     got = sorted((r.doc_id or 0, r.ids) for r in K.encode_corpus(df).collect())
     assert [x[1] for x in got] == [K.Encoder().encode("hi"), [], [], got[3][1], got[3][1]] and got[0][1] == got[3][1]
     assert K.encode_corpus(df.limit(0)).count() == 0
+
+
+@needs_vocabulary
+def test_edits_stop_near_the_edit():
+    v = K.encoder(K.VOCABULARY).v
+    piece = ("the quick brown fox jumps over lazy dogs " * 60).encode()
+    p = K.PrefixEncoder(v, piece)
+    done = p.edit(1000, 1003, b"zqx")
+    whole = piece[:1000] + b"zqx" + piece[1003:]
+    assert p.ids() == K.PrefixEncoder(v, whole).ids() and p.bytes == whole and done < 20 + 4 * v.longest
+    p.edit(5, 5, b"")
+    p.edit(len(whole) - 2, len(whole), b"")
+    assert p.ids() == K.PrefixEncoder(v, whole[:-2]).ids()
