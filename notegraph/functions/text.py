@@ -57,12 +57,22 @@ def strip_links(x: Column | str) -> Column:
 
 def content_hash(x: Column | str) -> Column:
     """sha1 of the text without link marks and outer white space: placing links doesn't move it."""
-    return F.sha1(F.encode(strip_space(strip_links(x)), "utf-8"))
+    return hash_plain(strip_links(x))
+
+
+def hash_plain(x: Column | str) -> Column:
+    """content_hash of a text that has no link marks any more."""
+    return F.sha1(F.encode(strip_space(x), "utf-8"))
 
 
 def first_sentence(x: Column | str, cap: int = SUMMARY_CAP) -> Column:
     """The first sentence of a body without heading lines, at most `cap` characters; never empty, null stays null."""
-    body = squeeze(F.regexp_replace(strip_links(x), r"(?m)^#{1,6}[^\n]*$", ""))
+    return first_sentence_plain(strip_links(x), cap)
+
+
+def first_sentence_plain(x: Column | str, cap: int = SUMMARY_CAP) -> Column:
+    """first_sentence of a text that has no link marks any more."""
+    body = squeeze(F.regexp_replace(_c(x), r"(?m)^#{1,6}[^\n]*$", ""))
     # each step uses the one before once, so that nothing is worked out twice
     first = F.trim(F.substring(F.regexp_replace(body, r"(?s)^(.*?[.!?]) .*$", "$1"), 1, cap))
     return F.regexp_replace(first, "^$", NO_TEXT)

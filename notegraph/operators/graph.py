@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notegraph.functions import text as T
 from notegraph.operators.skew import salted_join
+from notegraph.session import written
 
 GROWTH_LIMIT, GRAPH_LIMIT, LISTING_LIMIT, TAG_LIMIT = 8, 10, 20, 50
 #: References from which an unwritten page is called a gap, among the first GAP_TOP of the growth queue.
@@ -121,7 +122,8 @@ def recent(pages: DataFrame, limit: int = LISTING_LIMIT) -> DataFrame:
 def by_tag(pages: DataFrame, tags: DataFrame, tag: str, limit: int = LISTING_LIMIT) -> DataFrame:
     """The latest pages under a tag, with the number of all of them."""
     tagged = tags.where(F.col("tag") == tag).select(F.col("path").alias("__p")).distinct()
-    return _with_total(pages.join(tagged, F.col("path") == F.col("__p")), [F.desc_nulls_last("mtime"), F.col("path")], limit).select("path", "mtime", "total")
+    found = written(pages.select("path", "mtime").join(tagged, F.col("path") == F.col("__p")), "tagged")
+    return _with_total(found, [F.desc_nulls_last("mtime"), F.col("path")], limit).select("path", "mtime", "total")
 
 
 def _with_total(df: DataFrame, order: list, limit: int) -> DataFrame:

@@ -19,20 +19,18 @@ BUDGET = 6400
 FLOOR = 0.25
 
 
-def frontmatter(x: Column) -> Column:
-    """map<string,string> of flat `key: value` lines; the last of equal keys holds.
+def block_of(x: Column) -> Column:
+    """The lines of the frontmatter; empty if there is none."""
+    return F.regexp_extract(F.coalesce(x, F.lit("")), FRONTMATTER, 1)
 
-    Indented lines, list items, comments and lines without a colon are skipped. No block, no map
-    entries; null text gives an empty map.
+
+def field(block: Column, key: str) -> Column:
+    """The value of a flat `key: value` line of a frontmatter block; the last of equal keys holds, null if there is none.
+
+    Indented lines, list items and comments are no such lines.
     """
-    block = F.regexp_extract(F.coalesce(x, F.lit("")), FRONTMATTER, 1)
-    lines = F.filter(F.split(block, "\n"), lambda l: l.contains(":") & ~l.rlike(r"^(?:\s|-|#)"))
-    entries = F.transform(lines, lambda l: F.struct(
-        T.strip_space(F.substring_index(l, ":", 1)).alias("key"),
-        T.yaml_read(T.strip_space(F.substring(l, F.instr(l, ":") + 1, F.length(l)))).alias("value"),
-    ))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
+    found = F.nullif(F.regexp_extract(block, rf"(?s)\A(?:.*\n)?{key}(?:(?!\n){T.WS})*(:[^\n]*)", 1), F.lit(""))
+    return T.yaml_read(T.strip_space(F.substring(found, 2, 1_000_000)))
 
 
 def body_of(x: Column) -> Column:
@@ -47,24 +45,21 @@ def parse_pages(pages: DataFrame, path: str = "path", text: str = "text") -> Dat
     unset or affirmative flag. Null texts give null bodies and summaries; other columns are kept.
     """
     stem = F.regexp_replace(F.substring_index(F.col(path), "/", -1), r"\.md$", "")
-    fm = frontmatter(F.col(text))
-    named = F.nullif(fm["summary"], F.lit(""))
-    flag = F.lower(F.coalesce(fm["summary_provisional"], F.lit("1")))
-    body = body_of(F.col(text))
-    tags = F.filter(
-        F.transform(F.split(F.regexp_replace(F.coalesce(fm["tags"], F.lit("")), r"^\[|\]$", ""), ","), lambda t: F.regexp_replace(T.strip_space(t), "^#+", "")),
-        lambda t: t != "",
-    )
-    return pages.withColumns({
+    # one projection a step: what later steps use several times is worked out once
+    cut = pages.withColumns({"__block": block_of(F.col(text)), "body": body_of(F.col(text))})
+    block = F.col("__block")
+    read = cut.withColumns({
+        "__plain": T.strip_links("body"), "__named": F.nullif(field(block, "summary"), F.lit("")), "__flag": F.lower(F.coalesce(field(block, "summary_provisional"), F.lit("1"))),
+        "__tags": F.split(F.regexp_replace(F.coalesce(field(block, "tags"), F.lit("")), r"^\[|\]$", ""), ","), "type": field(block, "type"), "origin": field(block, "origin"),
+    })
+    tags = F.filter(F.transform("__tags", lambda t: F.regexp_replace(T.strip_space(t), "^#+", "")), lambda t: t != "")
+    return read.withColumns({
         "page_key": T.normalize(stem),
-        "body": body,
-        "summary": F.coalesce(named, T.first_sentence(body)),
-        "summary_provisional": named.isNull() | flag.isin("1", "true", "yes"),
-        "type": fm["type"],
-        "origin": fm["origin"],
-        "content_hash": T.content_hash(body),
+        "summary": F.coalesce("__named", T.first_sentence_plain("__plain")),
+        "summary_provisional": F.col("__named").isNull() | F.col("__flag").isin("1", "true", "yes"),
+        "content_hash": T.hash_plain("__plain"),
         "tags": F.array_distinct(tags),
-    })
+    }).drop("__block", "__plain", "__named", "__flag", "__tags")
 
 
 def extract_links(pages: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
@@ -75,16 +70,16 @@ def extract_links(pages: DataFrame, path: str = "path", body: str = "body") -> D
     return each.select("source", T.normalize(target).alias("target_key"), display.alias("display"), "pos").groupBy("source", "target_key").agg(F.min_by("display", "pos").alias("display"))
 
 
-def _per_row(df: DataFrame, keys: list[str], source: str, split: Callable, fields: list[tuple[str, str]]) -> DataFrame:
-    """Rows that a small function makes of each text, beside the key columns."""
+def _per_row(df: DataFrame, keys: list[str], sources: list[str], split: Callable, fields: list[tuple[str, str]]) -> DataFrame:
+    """Rows that a small function makes of the columns `sources` of each row, beside the key columns. Where the first is null there are none."""
     types = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
     schema = ", ".join([*(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys), *(f"{n} {t}" for n, t in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, rows = [], []
-            for i, x in enumerate(b.column(len(keys)).to_pylist()):
-                found = split(x) if x is not None else []
+            for i, xs in enumerate(zip(*(c.to_pylist() for c in b.columns[len(keys) :]))):
+                found = split(*xs) if xs[0] is not None else []
                 at += [i] * len(found)
                 rows += found
             take = pa.array(at, pa.int64())
@@ -94,7 +89,7 @@ def _per_row(df: DataFrame, keys: list[str], source: str, split: Callable, field
                 names=[*keys, *(n for n, _ in fields)],
             )
 
-    return df.select(*keys, source).mapInArrow(run, schema)
+    return df.select(*keys, *sources).mapInArrow(run, schema)
 
 
 _ANY_HEADING = re.compile(r"^(#{1,6})\s*(.*)$")
@@ -130,9 +125,9 @@ def pack(text: str, cap: int = WORD_CAP) -> list[str]:
     return [*out, "\n\n".join(held)] if held else out
 
 
-def _chunks(body: str) -> list[tuple[int, str | None, str]]:
+def _chunks(body: str, summary: str | None) -> list[tuple[int, str | None, str, bool]]:
     found = [(h, p) for h, content, _ in sections(body) if content.strip() for p in pack(content.strip())]
-    return [(i + 1, h, p) for i, (h, p) in enumerate(found)]
+    return [(0, None, summary, True)] * (summary is not None) + [(i + 1, h, p, False) for i, (h, p) in enumerate(found)]
 
 
 def chunk_pages(parsed: DataFrame, path: str = "path") -> DataFrame:
@@ -141,26 +136,33 @@ def chunk_pages(parsed: DataFrame, path: str = "path") -> DataFrame:
     seq 0 is the summary; sections follow under their headings, those of more than 400 words cut
     at paragraphs. Empty sections give no rows. The hash covers heading and content without links.
     """
-    body = _per_row(parsed, [path], "body", _chunks, [("seq", "int"), ("heading", "string"), ("content", "string")])
-    top = parsed.where("summary is not null").select(path, F.lit(0).alias("seq"), F.lit(None).cast("string").alias("heading"), F.col("summary").alias("content"))
-    both = top.withColumn("is_summary", F.lit(True)).unionByName(body.withColumn("is_summary", F.lit(False)))
+    both = _per_row(parsed, [path], ["body", "summary"], _chunks, [("seq", "int"), ("heading", "string"), ("content", "string"), ("is_summary", "boolean")])
     title = F.regexp_replace(F.substring_index(F.col(path), "/", -1), r"\.md$", "")
     shown = F.concat_ws("\n", F.when(F.col("is_summary"), F.nullif(title, F.lit(""))), F.nullif("heading", F.lit("")), F.nullif("content", F.lit("")))
     return both.withColumn("stripped_hash", T.content_hash(shown))
 
 
 def outline(parsed: DataFrame, path: str = "path") -> DataFrame:
-    """(path, at, level, heading, size): the headings of each page and the characters under them."""
+    """(path, at, level, heading, size): the headings of each page and the characters from each to the next or the end, its own line included."""
+
     def split(body: str) -> list[tuple[int, int, str, int]]:
-        return [(i, level, h, len(content)) for i, (h, content, level) in enumerate(sections(body)) if h is not None]
+        lines = body.split("\n")
+        starts, at = [], 0
+        for line in lines:
+            m = _ANY_HEADING.match(line)
+            if m:
+                starts.append((at, len(m[1]), m[2].strip()))
+            at += len(line) + 1
+        ends = [s for s, _, _ in starts[1:]] + [len(body)]
+        return [(i + 1, level, h, end - start) for i, ((start, level, h), end) in enumerate(zip(starts, ends))]
 
-    return _per_row(parsed, [path], "body", split, [("at", "int"), ("level", "int"), ("heading", "string"), ("size", "int")])
+    return _per_row(parsed, [path], ["body"], split, [("at", "int"), ("level", "int"), ("heading", "string"), ("size", "int")])
 
 
 def section(parsed: DataFrame, heading: str, path: str = "path") -> DataFrame:
     """(path, content): the first section of each page under a heading of that key, to the next heading."""
     fields = [("at", "int"), ("heading", "string"), ("content", "string")]
-    all_of = _per_row(parsed, [path], "body", lambda b: [(i, h, c) for i, (h, c, _) in enumerate(sections(b)) if h is not None], fields)
+    all_of = _per_row(parsed, [path], ["body"], lambda b: [(i, h, c) for i, (h, c, _) in enumerate(sections(b)) if h is not None], fields)
     same = all_of.where(T.normalize("heading") == T.normalize(F.lit(heading)))
     return same.groupBy(path).agg(F.min_by("content", "at").alias("content"))
 
@@ -197,4 +199,4 @@ def parts_of(text: str, budget: int = BUDGET) -> list[tuple[int, str, bool]]:
 
 def split_parts(parsed: DataFrame, path: str = "path", budget: int = BUDGET) -> DataFrame:
     """(path, part, text, hard) of every body."""
-    return _per_row(parsed, [path], "body", lambda b: parts_of(b, budget), [("part", "int"), ("text", "string"), ("hard", "boolean")])
+    return _per_row(parsed, [path], ["body"], lambda b: parts_of(b, budget), [("part", "int"), ("text", "string"), ("hard", "boolean")])

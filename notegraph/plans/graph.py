@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from notegraph.operators import graph as G
 from notegraph.plans.common import EDGES, PAGES, RESOLVED, edges, names, pages, parsed, resolved
-from notegraph.session import table
+from notegraph.session import table, written
 
 HUB, HUB_NAME, TAG, FOLDER = "lanterndrift", "Lantern Drift", "kiln", "wiki"
 
@@ -13,12 +13,23 @@ def _tags(spark, d):
     return parsed(spark, d).select("path", F.explode("tags").alias("tag"))
 
 
+def _micros(df):
+    """Instants as microseconds, which both engines write alike."""
+    return df.withColumn("mtime", F.unix_micros(F.col("mtime").cast("timestamp")))
+
+
+def by_tag(spark, d):
+    """The documents are parsed once, into their path, mtime and tags."""
+    p = written(parsed(spark, d).select("path", "mtime", "tags"), "tags")
+    return _micros(G.by_tag(p, p.select("path", F.explode("tags").alias("tag")), TAG))
+
+
 def _cite(spark, d):
     return edges(spark, d), pages(spark, d)
 
 
 def links_in_topk(spark, d):
-    return G.links_in(*_cite(spark, d), HUB).drop("mtime")
+    return _micros(G.links_in(*_cite(spark, d), HUB))
 
 
 def vault_shape(spark, d):
@@ -63,8 +74,8 @@ QUERIES = {
     "known_keys": lambda s, d: G.known_keys(*_cite(s, d)),
     "resolution_index": lambda s, d: G.resolution_index(pages(s, d), table(s, d, "aliases")),
     "by_path": lambda s, d: G.folder(pages(s, d), FOLDER),
-    "recent": lambda s, d: G.recent(pages(s, d)).drop("mtime"),
-    "by_tag": lambda s, d: G.by_tag(parsed(s, d), _tags(s, d), TAG).drop("mtime"),
+    "recent": lambda s, d: _micros(G.recent(pages(s, d))),
+    "by_tag": by_tag,
     "all_tags": lambda s, d: G.tag_histogram(_tags(s, d)),
     "vault_shape": vault_shape,
     "page_created": lambda s, d: G.page_created(edges(s, d), HUB).select("source", "display"),
@@ -92,7 +103,7 @@ ORACLES = {
     "resolved_links": f"WITH {RESOLVED} SELECT * FROM res",
     "links_out": f"WITH {EDGES} SELECT * FROM edge",
     "link_counts": f"WITH {RESOLVED} SELECT source, count(*) FILTER (resolved) AS existing, count(*) FILTER (NOT resolved) AS missing FROM res GROUP BY source",
-    "links_in_topk": f"WITH {PAGES}, {EDGES} SELECT source, display, summary, count(*) OVER () AS total FROM edge JOIN page ON path = source WHERE target_key = '{HUB}' ORDER BY mtime DESC NULLS LAST, source LIMIT 10",
+    "links_in_topk": f"WITH {PAGES}, {EDGES} SELECT source, display, summary, epoch_us(mtime) AS mtime, count(*) OVER () AS total FROM edge JOIN page ON path = source WHERE target_key = '{HUB}' ORDER BY page.mtime DESC NULLS LAST, source LIMIT 10",
     "in_degrees": f"WITH {PAGES}, {EDGES} SELECT path, page_key, (SELECT count(*) FROM edge WHERE target_key = page_key) AS n_in FROM page",
     "no_inlinks": f"WITH {PAGES}, {EDGES} SELECT path FROM page WHERE NOT EXISTS (SELECT 1 FROM edge WHERE target_key = page_key)",
     "orphans": f"WITH {PAGES}, {EDGES} SELECT path FROM page WHERE NOT EXISTS (SELECT 1 FROM edge WHERE target_key = page_key) AND NOT EXISTS (SELECT 1 FROM edge WHERE source = path)",
@@ -104,8 +115,8 @@ ORACLES = {
     "resolution_index": rf"""WITH {PAGES}, own AS (SELECT page_key AS key, min_by(regexp_replace(split_part(path, '/', -1), '\.md$', ''), (NOT coalesce(lower(trim(type)) = 'concept', false), path)) AS canonical FROM page WHERE page_key IS NOT NULL GROUP BY page_key)
         SELECT * FROM own UNION ALL SELECT alias_key, canonical FROM aliases JOIN own ON key = canonical_key WHERE alias_key NOT IN (SELECT key FROM own)""",
     "by_path": f"WITH {PAGES} SELECT path, summary, count(*) OVER () AS total FROM page WHERE starts_with(path, '{FOLDER}/') ORDER BY path LIMIT 20",
-    "recent": f"WITH {PAGES} SELECT path, count(*) OVER () AS total FROM page ORDER BY mtime DESC NULLS LAST, path LIMIT 20",
-    "by_tag": f"WITH {_parsed_sql()}, {_TAGS} SELECT p.path, count(*) OVER () AS total FROM parsed p JOIN tag t ON t.path = p.path AND t.tag = '{TAG}' ORDER BY mtime DESC NULLS LAST, p.path LIMIT 20",
+    "recent": f"WITH {PAGES} SELECT path, epoch_us(mtime) AS mtime, count(*) OVER () AS total FROM page ORDER BY page.mtime DESC NULLS LAST, path LIMIT 20",
+    "by_tag": f"WITH {_parsed_sql()}, {_TAGS} SELECT p.path, epoch_us(p.mtime) AS mtime, count(*) OVER () AS total FROM parsed p JOIN tag t ON t.path = p.path AND t.tag = '{TAG}' ORDER BY p.mtime DESC NULLS LAST, p.path LIMIT 20",
     "all_tags": f"WITH {_parsed_sql()}, {_TAGS} SELECT tag, count(*) AS n FROM tag GROUP BY tag ORDER BY n DESC, tag LIMIT 50",
     "vault_shape": f"""WITH {RESOLVED} SELECT (SELECT count(*) FROM page) AS pages, (SELECT count(DISTINCT page_key) FROM page) AS page_keys, count(*) AS links,
         count(*) FILTER (resolved) AS resolved_links, count(DISTINCT target_key) FILTER (NOT resolved) AS unresolved_names,

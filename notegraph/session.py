@@ -16,16 +16,28 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors share.
 
-    A folder of our own is set only where none is configured (tests, local sessions).
+    Only where driver and executors are one process (tests, local sessions) is a folder of our own
+    set if none is configured; on a cluster that would lose data, so it is an error there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="notegraph-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, under one folder an application, which goes when the driver ends."""
+    base = f"{shared_dir(spark)}/notegraph/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` written once as a table in the shared folder and read back.
 
@@ -33,6 +45,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     and use the statistics of the files.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/notegraph/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
