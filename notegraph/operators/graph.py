@@ -145,6 +145,21 @@ def vault_shape(e: DataFrame, pages: DataFrame, names: DataFrame) -> DataFrame:
     return p.crossJoin(F.broadcast(links)).crossJoin(F.broadcast(o)).crossJoin(F.broadcast(a))
 
 
+def bloated(parsed: DataFrame, most: int = BLOAT_SECTIONS) -> DataFrame:
+    """(path, sections, bloated): concept pages with their second-level sections, and whether those are more than `most`."""
+    concept = parsed.where("type = 'concept' and body is not null")
+    n = F.regexp_count("body", F.lit("(?m)^## "))
+    return concept.select("path", n.alias("sections"), (n > most).alias("bloated"))
+
+
+def isolation(e: DataFrame, pages: DataFrame) -> DataFrame:
+    """(path, cites, cited): whether each page cites others and is cited; orphans do neither."""
+    citing = e.select(F.col("source").alias("__s")).distinct()
+    cited = e.select(F.col("target_key").alias("__t")).distinct()
+    both = pages.select("path", "page_key").join(citing, F.col("path") == F.col("__s"), "left").join(cited, F.col("page_key") == F.col("__t"), "left")
+    return both.select("path", F.col("__s").isNotNull().alias("cites"), F.col("__t").isNotNull().alias("cited"))
+
+
 def page_created(e: DataFrame, key: str) -> DataFrame:
     """The links that come to life when a page of that key is made."""
     return e.where(F.col("target_key") == key)

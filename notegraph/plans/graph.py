@@ -69,6 +69,7 @@ QUERIES = {
     "in_degrees": lambda s, d: G.in_degrees(*_cite(s, d)),
     "no_inlinks": lambda s, d: G.in_degrees(*_cite(s, d)).where("n_in = 0").select("path"),
     "orphans": lambda s, d: G.orphans(*_cite(s, d)),
+    "isolation": lambda s, d: G.isolation(*_cite(s, d)),
     "ambiguous_keys": lambda s, d: G.ambiguous_keys(pages(s, d)),
     "alias_resolve": lambda s, d: G.resolve_names(table(s, d, "aliases").select(F.col("alias_key").alias("key")).unionByName(edges(s, d).select(F.col("target_key").alias("key"))), pages(s, d), table(s, d, "aliases")),
     "known_keys": lambda s, d: G.known_keys(*_cite(s, d)),
@@ -107,6 +108,7 @@ ORACLES = {
     "in_degrees": f"WITH {PAGES}, {EDGES} SELECT path, page_key, (SELECT count(*) FROM edge WHERE target_key = page_key) AS n_in FROM page",
     "no_inlinks": f"WITH {PAGES}, {EDGES} SELECT path FROM page WHERE NOT EXISTS (SELECT 1 FROM edge WHERE target_key = page_key)",
     "orphans": f"WITH {PAGES}, {EDGES} SELECT path FROM page WHERE NOT EXISTS (SELECT 1 FROM edge WHERE target_key = page_key) AND NOT EXISTS (SELECT 1 FROM edge WHERE source = path)",
+    "isolation": f"WITH {PAGES}, {EDGES} SELECT path, path IN (SELECT source FROM edge WHERE source IS NOT NULL) AS cites, page_key IS NOT NULL AND page_key IN (SELECT target_key FROM edge) AS cited FROM page",
     "ambiguous_keys": f"WITH {PAGES} SELECT page_key, count(*) AS n, min(path) AS first, max(path) AS last FROM page GROUP BY page_key HAVING count(*) > 1",
     "alias_resolve": f"""WITH {PAGES}, {EDGES}, k AS (SELECT alias_key AS key FROM aliases UNION SELECT target_key FROM edge),
         c AS (SELECT key, coalesce(canonical_key, key) AS canonical FROM k LEFT JOIN aliases ON alias_key = key)

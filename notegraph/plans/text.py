@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from notegraph.functions import text as T
+from notegraph.operators import graph as G
 from notegraph.operators import parse as P
 from notegraph.plans.common import DOC, PAGES, WS, field, fold, norm, pages, parsed, strip, unlink
 from notegraph.session import table
@@ -85,7 +86,7 @@ QUERIES = {
     "extract_links": link_forms,
     "chunk_pages": lambda s, d: P.chunk_pages(parsed(s, d)),
     "outline": lambda s, d: P.outline(parsed(s, d)),
-    "bloat": lambda s, d: parsed(s, d).select("path", F.regexp_count("body", F.lit("(?m)^## ")).alias("sections")).where("sections > 4"),
+    "bloat": lambda s, d: G.bloated(parsed(s, d)),
     "section_part": lambda s, d: P.section(parsed(s, d), "Background"),
     "text_window": lambda s, d: parsed(s, d).select("path", P.around(F.col("body"), "lantern drift").alias("around")).where("around is not null"),
     "text_windows": window_counts,
@@ -105,6 +106,23 @@ PARSED = f"""{DOC}, parsed AS (SELECT doc_id, path, mtime, body, nullif({field("
   list_distinct({_TAGLIST}) AS tags, CASE WHEN body IS NOT NULL THEN {_FIRST} END AS sentence FROM doc)"""
 _INNER = r"regexp_extract_all(body, '\[\[([^\]]+)\]\]', 1)"
 
+#: Lines of each body with their number and start, and the sections between headings.
+_LINES = """split AS (SELECT path, length(body) AS total, unnest(string_split(body, chr(10))) AS l, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM doc),
+line AS (SELECT *, sum(length(l) + 1) OVER (PARTITION BY path ORDER BY i) - length(l) - 1 AS start, count(*) FILTER (l LIKE '#%') OVER (PARTITION BY path ORDER BY i) AS sec FROM split)"""
+_SECTIONS = rf"""section AS (SELECT path, sec, max({strip("regexp_extract(l, '^#{1,6}((?s:.*))$', 1)")}) FILTER (l LIKE '#%') AS heading, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (l NOT LIKE '#%'), '') AS content FROM line GROUP BY path, sec)"""
+
+
+def _words(x: str) -> str:
+    return f"len(list_filter(string_split_regex({x}, '{WS}+'), lambda t: t <> ''))"
+
+
+def _cut(x: str, budget: int = 6400) -> str:
+    """Where the first part of a text ends: 0 if it fits, negative if the cut is hard."""
+    w, ws, inline = f"left({x}, {budget})", WS[1:-1], r"[ \t\f\r\x0b\x1c-\x1f\x{85}\p{Z}]"
+    spots = [rf"length(regexp_extract({w}, '^((?s:.*)\n)#{{1,6}} ', 1))", rf"length(regexp_extract({w}, '^((?s:.*)[^{ws}]{inline}*)\n{WS}*\n', 1))", rf"length(regexp_extract({w}, '^((?s:.*)[.!?]){WS}', 1))"]
+    return f"CASE WHEN length({x}) <= {budget} THEN 0 " + " ".join(f"WHEN {s} > {budget // 4} THEN {s}" for s in spots) + f" ELSE -{budget} END"
+
+
 ORACLES = {
     "split_lossless": f"WITH {DOC} SELECT path, sha1(body) AS sha1, true AS all_fit FROM doc WHERE body IS NOT NULL",
     "heading_counts": rf"""WITH {DOC}, h AS (SELECT path, length(regexp_extract(l, '^(#{{1,6}})', 1)) AS level FROM (SELECT path, unnest(string_split(body, chr(10))) AS l FROM doc) WHERE l LIKE '#%') SELECT path, level, count(*) AS n FROM h GROUP BY path, level""",
@@ -124,7 +142,25 @@ ORACLES = {
     "extract_links": f"""WITH {DOC}, each AS (SELECT path, unnest({_INNER}) AS i, generate_subscripts({_INNER}, 1) AS pos FROM doc),
         n AS (SELECT path AS source, {norm("split_part(i, '|', 1)")} AS target_key, pos, trim(regexp_replace(CASE WHEN contains(i, '|') THEN substr(i, instr(i, '|') + 1) ELSE i END, '{WS}+', ' ', 'g')) AS display FROM each)
         SELECT source, target_key, min_by(display, pos) AS display FROM n GROUP BY source, target_key""",
-    "bloat": rf"WITH {DOC} SELECT path, len(regexp_extract_all(body, '(?m)^## ')) AS sections FROM doc WHERE len(regexp_extract_all(body, '(?m)^## ')) > 4",
+    "bloat": rf"WITH {PARSED} SELECT path, len(regexp_extract_all(body, '(?m)^## ')) AS sections, len(regexp_extract_all(body, '(?m)^## ')) > 12 AS bloated FROM parsed WHERE type = 'concept' AND body IS NOT NULL",
+    "outline": rf"""WITH {DOC}, {_LINES}, h AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY i) AS pos, length(regexp_extract(l, '^(#{{1,6}})', 1)) AS level, start, {strip("regexp_extract(l, '^#{1,6}((?s:.*))$', 1)")} AS heading, total FROM line WHERE l LIKE '#%')
+        SELECT path, pos AS "at", level, heading, lead(start, 1, total) OVER (PARTITION BY path ORDER BY pos) - start AS size FROM h""",
+    "section_part": rf"""WITH {DOC}, {_LINES}, {_SECTIONS} SELECT path, min_by(content, sec) AS content FROM section WHERE sec > 0 AND {norm('heading')} = 'background' GROUP BY path""",
+    "chunk_pages": rf"""WITH RECURSIVE {PARSED}, {_LINES}, {_SECTIONS}, body AS (SELECT path, sec, heading, {strip('content')} AS text, {_words('content')} AS words FROM section WHERE NOT regexp_matches(content, '^{WS}*$')),
+        para AS (SELECT path, sec, unnest(string_split(text, chr(10) || chr(10))) AS text, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM body WHERE words > 400), sized AS (SELECT *, {_words('text')} AS w FROM para),
+        walk AS (SELECT path, sec, i, w AS n, 0 AS piece FROM sized WHERE i = 1 UNION ALL
+          SELECT p.path, p.sec, p.i, CASE WHEN n + p.w > 400 THEN p.w ELSE n + p.w END, CASE WHEN n + p.w > 400 THEN piece + 1 ELSE piece END FROM walk w JOIN sized p ON p.path = w.path AND p.sec = w.sec AND p.i = w.i + 1),
+        packed AS (SELECT path, sec, piece, string_agg(text, chr(10) || chr(10) ORDER BY i) AS content FROM walk JOIN sized USING (path, sec, i) GROUP BY path, sec, piece),
+        piece AS (SELECT path, sec, 0 AS piece, heading, text AS content FROM body WHERE words <= 400 UNION ALL SELECT path, sec, p.piece, heading, content FROM packed p JOIN body USING (path, sec)),
+        chunk AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY sec, piece)::INT AS seq, heading, content, false AS is_summary FROM piece
+          UNION ALL SELECT path, 0, NULL, coalesce(named, sentence), true FROM parsed WHERE body IS NOT NULL)
+        SELECT path, seq, heading, content, is_summary, sha1({strip(unlink("concat_ws(chr(10), CASE WHEN is_summary THEN regexp_replace(path, '.md$', '') END, nullif(heading, ''), nullif(content, ''))"))}) AS stripped_hash FROM chunk""",
+    "split_parts": rf"""WITH RECURSIVE {DOC}, cut AS (SELECT path, 0 AS part, body AS rest, {_cut('body')} AS pos FROM doc WHERE body IS NOT NULL
+          UNION ALL SELECT path, part + 1, r, {_cut('r')} FROM (SELECT path, part, substr(rest, abs(pos) + 1) AS r FROM cut WHERE pos <> 0) WHERE r <> '')
+        SELECT path, part, CASE WHEN pos = 0 THEN rest ELSE left(rest, abs(pos)) END AS text, pos < 0 AS hard FROM cut""",
+    "tag_presence": rf"""WITH {PARSED}, plain AS (SELECT path, tags, {unlink('body')} AS plain FROM parsed WHERE body IS NOT NULL), tag AS (SELECT path, plain, unnest(tags) AS tag FROM plain),
+        found AS (SELECT path, count(DISTINCT {norm('tag')}) AS n FROM tag WHERE {norm('tag')} <> '' AND regexp_matches(plain, '(?i)(?:^|[^\[\p{{L}}\p{{M}}\p{{N}}_])' || regexp_replace(regexp_escape({strip('tag')}), '(\?\s)+', '\\s+', 'g') || '(?:$|[^\p{{L}}\p{{M}}\p{{N}}_\]])') GROUP BY path)
+        SELECT p.path, coalesce(n, 0) AS survivors, coalesce(n, 0) / greatest({_words('plain')}, 1) < 0.0025 AS low FROM plain p LEFT JOIN found f ON f.path = p.path""",
     "text_window": f"WITH {DOC}, x AS (SELECT path, body, instr(lower(body), 'lantern drift') AS p FROM doc) SELECT path, substr(body, greatest(p - 3200, 1), p - greatest(p - 3200, 1) + 13 + 3200) AS around FROM x WHERE p > 0",
     "text_windows": f"""WITH {DOC}, w AS (SELECT path, list_filter([substr(body, i + 1, 1000) FOR i IN CASE WHEN length(body) > 1000 THEN range(0, length(body), 900) ELSE [0] END], lambda w: NOT regexp_matches(w, '^{WS}*$')) AS w FROM doc WHERE body IS NOT NULL)
         SELECT path, len(w) AS n, sha1(array_to_string(w, '|')) AS sha1 FROM w""",
