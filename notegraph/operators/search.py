@@ -1,19 +1,28 @@
-"""Hybrid retrieval: BM25, dense similarity, reciprocal rank fusion and the fold to pages."""
+"""Hybrid retrieval for a table of queries: BM25 over an inverted index, cosine, rank fusion and the fold to pages.
+
+queries: (query_id, text[, vec]). Every list is ranked per query; no query's work passes one task.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions import text as T
+from notegraph.session import written
 
 K1, B = 1.2, 0.75
 TOP, RRF_K, PER_PAGE, LIMIT = 50, 60, 2, 5
 #: What stands in for the weight of a term found in half the chunks or more.
 LEAST_IDF = 1e-6
+#: Query vectors sent to all tasks at once (3 kB each at 384 dimensions); more are asked in several passes.
+SENT = 4000
 
 
 def indexed_text(chunks: DataFrame) -> DataFrame:
@@ -27,99 +36,130 @@ def terms(x: Column) -> Column:
     return F.filter(F.split(T.fold_accents(x), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def phrases(query: str) -> list[list[str]]:
-    """The phrases of a query: one for each word between white space, of several terms if it has marks inside.
+def phrases(query: Column) -> Column:
+    """array<array<string>>: the phrases of a query, one for each word between white space, of several terms if it has marks inside.
 
     A word holding a quotation mark makes the whole query void, as it would end its own quotation.
     """
-    words = query.split()
-    if any('"' in w.strip('"') or (w.strip('"') and w != w.strip('"')) for w in words):
-        return []
-    table = str.maketrans(T.ACCENTED, T.PLAIN)
-    split = [re.findall(r"[^\W_]+", w.lower().translate(table)) for w in words]
-    return [list(p) for p in dict.fromkeys(tuple(p) for p in split if p)]
+    words = F.filter(F.split(query, rf"{T.WS}+"), lambda w: w != "")
+    void = F.exists(words, lambda w: w.contains('"') & (F.replace(w, F.lit('"'), F.lit("")) != ""))
+    found = F.array_distinct(F.filter(F.transform(words, terms), lambda p: F.size(p) > 0))
+    return F.when(~void, found)
+
 
+@dataclass
+class Index:
+    """postings: (term, path, seq, places, dl), in order of terms, so that a few terms are read from few files. size: one row (N, avgdl)."""
 
-def spaced(x: Column) -> Column:
-    """The terms of a text as one string in which each stands between spaces of its own."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(T.fold_accents(x), r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
+    postings: DataFrame
+    size: DataFrame
 
 
-def _length(spaced_text: Column) -> Column:
-    return F.when(spaced_text == "  ", 0).otherwise((F.length(spaced_text) - F.length(F.replace(spaced_text, F.lit("  "), F.lit("")))) / 2 + 1).cast("int")
+def build_index(chunks: DataFrame) -> Index:
+    """The inverted index of (path, seq, text), written once."""
+    words = chunks.select("path", "seq", terms(F.coalesce("text", F.lit(""))).alias("words")).withColumn("dl", F.size("words"))
+    each = words.select("path", "seq", "dl", F.posexplode("words").alias("at", "term"))
+    postings = each.groupBy("term", "path", "seq", "dl").agg(F.array_sort(F.collect_list("at")).alias("places"))
+    ordered = postings.repartitionByRange("term", "path").sortWithinPartitions("term")
+    size = words.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"))
+    return Index(written(ordered.select("term", "path", "seq", "places", "dl"), "postings"), written(size, "size"))
 
 
-def _frequency(spaced_text: Column, phrase: list[str]) -> Column:
-    wanted = " " + "  ".join(phrase) + " "
-    return ((F.length(spaced_text) - F.length(F.replace(spaced_text, F.lit(wanted), F.lit("")))) / len(wanted)).cast("int")
+def document_frequency(index: Index) -> DataFrame:
+    """(term, df, tf): chunks that hold each term, and its occurrences."""
+    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("places")).alias("tf"))
 
 
-def bm25(chunks: DataFrame, query: str) -> DataFrame:
-    """(path, seq, score) of the chunks that hold a phrase of the query; higher is better.
+def bm25(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, path, seq, score) of the chunks that hold a phrase of the query; higher is better.
 
-    One pass over the chunks counts the phrases; nothing is exploded, and only matching rows and
-    one row of corpus statistics are kept. A query without phrases gives no rows.
+    Only postings of the queries' terms are read. A phrase counts once for each place from which its
+    terms stand side by side. Queries without phrases, void or null ones give no rows.
     """
-    wanted = phrases(query)
-    words = chunks.select("path", "seq", spaced(F.col("text")).alias("words"))
-    counted = words.select("path", "seq", _length(F.col("words")).alias("dl"), *[_frequency(F.col("words"), p).alias(f"f{i}") for i, p in enumerate(wanted)])
-    if not wanted:
-        return counted.select("path", "seq", F.lit(0.0).alias("score")).where(F.lit(False))
-    stats = counted.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(wanted))])
+    asked = queries.select("query_id", F.posexplode(phrases(F.col("text"))).alias("phrase", "words"))
+    asked = asked.select("query_id", "phrase", F.size("words").alias("n"), F.posexplode("words").alias("k", "wanted"))
+    met = index.postings.join(asked, F.col("term") == F.col("wanted")).select("query_id", "phrase", "n", "k", "path", "seq", "dl", "places")
+    key = ["query_id", "phrase", "path", "seq", "dl"]
+    single = met.where("n = 1").select(*key, F.size("places").alias("f"))
+    starts = F.collect_list(F.transform("places", lambda x: x - F.col("k")))
+    several = met.where("n > 1").groupBy(*key, "n").agg(starts.alias("starts")).where(F.size("starts") == F.col("n"))
+    common = F.size(F.aggregate("starts", F.col("starts")[0], lambda a, x: F.array_intersect(a, x)))
+    hits = written(single.unionByName(several.select(*key, common.alias("f")).where("f > 0")), "hits")
+    counts = hits.groupBy(F.col("query_id").alias("q"), F.col("phrase").alias("p")).agg(F.count(F.lit(1)).alias("df"))
+    both = hits.join(counts, (F.col("query_id") == F.col("q")) & (F.col("phrase") == F.col("p"))).crossJoin(F.broadcast(index.size))
+    idf = F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.when(idf <= 0, LEAST_IDF).otherwise(idf) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return both.groupBy("query_id", "path", "seq").agg(F.round(F.sum(part), 6).alias("score"))
 
-    def part(i: int) -> Column:
-        n, f = F.col(f"n{i}"), F.col(f"f{i}")
-        idf = F.log((F.col("N") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
-    any_hit = reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in range(len(wanted))])
-    scored = counted.where(any_hit).crossJoin(F.broadcast(stats))
-    return scored.select("path", "seq", F.round(sum(part(i) for i in range(len(wanted))), 6).alias("score"))
+def top(scored: DataFrame, limit: int = TOP) -> DataFrame:
+    """(query_id, path, seq, score, rank) of the best of each query; equal scores are ordered by path and seq; rank begins at 0."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path", "seq"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= limit).withColumn("rank", F.col("rank") - 1)
 
 
-def top(scored: DataFrame, limit: int = TOP) -> DataFrame:
-    """(path, seq, score, rank) of the best; equal scores are ordered by path and seq; rank begins at 0."""
-    best = scored.orderBy(F.desc("score"), "path", "seq").limit(limit)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path", "seq")) - 1)
+def usable(vec: Column, dim: int) -> Column:
+    """Exactly `dim` numbers, all finite, not all zero."""
+    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return F.coalesce((F.size(vec) == dim) & finite & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Dot product in double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def _unit(column: pa.Array, dim: int) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def dense(chunks: DataFrame, vectors: DataFrame, query: list[float]) -> DataFrame:
-    """(path, seq, score): cosine of every chunk that has a usable vector with the query vector.
+def dense(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, dim: int = 384, limit: int = TOP) -> DataFrame:
+    """(query_id, path, seq, score): cosine of chunks that have a usable vector with the query's, at least the `limit` best of each query.
 
-    Vectors of another length, with nulls or not finite, are skipped; each hash counts once.
+    All vectors are compared, block by block as matrix products; each block keeps what may be among
+    the best. Vectors of another length, with nulls or not finite, are skipped; each hash counts once.
     """
-    n = len(query)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    usable = vectors.where((F.size("vec") == n) & finite & F.exists("vec", lambda x: x != 0))
-    norm = sum(float(x) ** 2 for x in query) ** 0.5
-    sims = usable.groupBy("stripped_hash").agg(F.max(dot(F.col("vec"), q) / F.sqrt(dot(F.col("vec"), F.col("vec"))) / norm).alias("score"))
-    return chunks.select("path", "seq", "stripped_hash").join(sims, "stripped_hash").select("path", "seq", F.round("score", 6).alias("score"))
+    spark = vectors.sparkSession
+    used = chunks.where("stripped_hash is not null").select(F.col("stripped_hash").alias("used")).distinct()
+    one = vectors.where(usable(F.col("vec"), dim)).join(used, F.col("stripped_hash") == F.col("used"), "left_semi").groupBy("stripped_hash").agg(F.max("vec").alias("vec"))
+    asked = queries.where(usable(F.col("vec"), dim)).select("query_id", "vec")
+    passes = max(1, -(-asked.count() // SENT))
+    kind = asked.schema["query_id"].dataType.simpleString()
+
+    def search(part: DataFrame) -> DataFrame:
+        rows = part.toArrow()  # at most about SENT rows
+        ids = rows.column("query_id").combine_chunks()
+        shared = spark.sparkContext.broadcast(_unit(rows.column("vec").combine_chunks(), dim) if len(rows) else np.zeros((0, dim)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not len(b) or not len(ids):
+                    continue
+                sims = shared.value @ _unit(b.column(1), dim).T
+                least = np.partition(sims, -limit, axis=1)[:, [-limit]] - 1e-6 if sims.shape[1] > limit else np.full((len(sims), 1), -9.0)
+                q, at = np.nonzero(sims >= least)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column(0).take(pa.array(at)), pa.array(sims[q, at])], names=["query_id", "hash", "sim"])
+
+        return one.select("stripped_hash", "vec").mapInArrow(run, f"query_id {kind}, hash string, sim double")
+
+    found = reduce(lambda a, b: a.unionByName(b), [search(asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)) for i in range(passes)])
+    here = chunks.select("path", "seq", "stripped_hash")
+    return found.join(here, F.col("hash") == F.col("stripped_hash")).select("query_id", "path", "seq", F.round("sim", 6).alias("score"))
 
 
 def fuse(*rankings: DataFrame) -> DataFrame:
-    """(path, seq, score, first): reciprocal rank fusion of (path, seq, rank) lists.
+    """(query_id, path, seq, score, first): reciprocal rank fusion of (query_id, path, seq, rank) lists.
 
     `first` orders equal scores: the smallest list and rank at which the chunk appears.
     """
-    parts = [r.select("path", "seq", (1.0 / (RRF_K + F.col("rank") + 1)).alias("part"), (F.lit(i) * 1_000_000 + F.col("rank")).alias("at")) for i, r in enumerate(rankings)]
-    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("path", "seq").agg(F.round(F.sum("part"), 9).alias("score"), F.min("at").alias("first"))
+    parts = [r.select("query_id", "path", "seq", (1.0 / (RRF_K + F.col("rank") + 1)).alias("part"), (F.lit(i) * 1_000_000 + F.col("rank")).alias("at")) for i, r in enumerate(rankings)]
+    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("query_id", "path", "seq").agg(F.round(F.sum("part"), 9).alias("score"), F.min("at").alias("first"))
 
 
 def fold(fused: DataFrame, limit: int = LIMIT, per_page: int = PER_PAGE) -> DataFrame:
-    """(rank, path, seqs): the pages of the best chunks, each with its first chunks in fused order."""
-    order = [F.desc("score"), F.col("first")]
-    at = fused.withColumn("at", F.row_number().over(Window.orderBy(*order)))
-    kept = at.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("at"))).where(F.col("n") <= per_page)
-    pages = kept.groupBy("path").agg(F.min("at").alias("best"), F.array_sort(F.collect_list(F.struct("at", "seq"))).alias("chunks"))
-    ranked = pages.orderBy("best").limit(limit)
-    return ranked.select((F.row_number().over(Window.orderBy("best"))).alias("rank"), "path", F.transform("chunks", lambda c: c["seq"]).alias("seqs"))
+    """(query_id, rank, path, seqs): the pages of each query's best chunks, each with its first chunks in fused order."""
+    at = fused.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "first")))
+    kept = at.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "path").orderBy("at"))).where(F.col("n") <= per_page)
+    pages = kept.groupBy("query_id", "path").agg(F.min("at").alias("best"), F.array_sort(F.collect_list(F.struct("at", "seq"))).alias("chunks"))
+    ranked = pages.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("best"))).where(F.col("rank") <= limit)
+    return ranked.select("query_id", "rank", "path", F.transform("chunks", lambda c: c["seq"]).alias("seqs"))
 
 
 def quiet_paths(pages: DataFrame, folders: tuple[str, ...] = ("sources", "conversations")) -> DataFrame:
@@ -128,41 +168,91 @@ def quiet_paths(pages: DataFrame, folders: tuple[str, ...] = ("sources", "conver
     return pages.where(under | F.coalesce(F.lower(F.trim("type")) == "transcript", F.lit(False))).select(F.col("path").alias("quiet"))
 
 
-def search(chunks: DataFrame, pages: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: list[float] | None = None, quiet: bool = True, limit: int = LIMIT) -> DataFrame:
-    """(rank, path, summary, provisional, from_conversation, literal, seqs): the pages found for a query.
+def without_quiet(ranked: DataFrame, pages: DataFrame) -> DataFrame:
+    """A ranked list without chunks of quiet pages, ranked anew: they have used up places already."""
+    kept = ranked.join(quiet_paths(pages), F.col("path") == F.col("quiet"), "left_anti")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1)
+
+
+def search(text: DataFrame, index: Index, pages: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, depth: str = "summary", limit: int = LIMIT) -> DataFrame:
+    """(query_id, rank, path, summary, provisional, from_conversation, literal, seqs[, chunks]): the pages found for each query.
 
-    Both lists are cut to their best chunks first and quiet pages taken out afterwards, so quiet
-    chunks use up places. Pages without a row count as provisional. Scores are not shown.
+    Both lists are cut to their best chunks first. At depth `summary` quiet pages are taken out
+    afterwards, so they use up places; at depth `body` they stay, and `chunks` has heading and
+    content of what was found. Without vectors the literal list stands alone. Pages without a row
+    count as provisional. Scores are not shown.
     """
-    text = indexed_text(chunks)
-    lists = [top(bm25(text, query))]
-    if vectors is not None and query_vector is not None:
-        lists.append(top(dense(text, vectors, query_vector)))
-    literal = lists[0].select(F.col("path").alias("hit")).distinct()
-    if quiet:
-        skip = quiet_paths(pages)
-        rank = Window.orderBy("rank")
-        lists = [x.join(skip, F.col("path") == F.col("quiet"), "left_anti").withColumn("rank", F.row_number().over(rank) - 1) for x in lists]
+    if depth not in ("summary", "body"):
+        raise ValueError("depth is one of summary, body")
+    lists = [written(top(bm25(index, queries)), "literal")]
+    if vectors is not None:
+        lists.append(written(top(dense(text, vectors, queries)), "dense"))
+    literal = lists[0].select(F.col("query_id").alias("lq"), F.col("path").alias("hit")).distinct()
+    if depth == "summary":
+        lists = [without_quiet(x, pages) for x in lists]
     found = fold(fuse(*lists), limit)
     meta = pages.select(F.col("path").alias("page"), "summary", "summary_provisional", "origin")
-    out = found.join(meta, F.col("path") == F.col("page"), "left").join(literal, F.col("path") == F.col("hit"), "left")
-    return out.select(
-        "rank", "path", T.short("summary").alias("summary"), F.coalesce("summary_provisional", F.lit(True)).alias("provisional"),
+    out = found.join(meta, F.col("path") == F.col("page"), "left").join(literal, (F.col("path") == F.col("hit")) & (F.col("query_id") == F.col("lq")), "left")
+    shown = out.select(
+        "query_id", "rank", "path", T.short("summary").alias("summary"), F.coalesce("summary_provisional", F.lit(True)).alias("provisional"),
         F.coalesce(F.col("origin") == "conversation", F.lit(False)).alias("from_conversation"), F.col("hit").isNotNull().alias("literal"), "seqs",
     )
+    if depth == "summary":
+        return shown
+    each = shown.select(F.col("query_id").alias("q"), F.col("path").alias("p"), F.posexplode("seqs").alias("at", "s"))
+    bodies = each.join(text.select("path", "seq", "heading", "content"), (F.col("p") == F.col("path")) & (F.col("s") == F.col("seq")))
+    lists = bodies.groupBy("q", "p").agg(F.array_sort(F.collect_list(F.struct("at", "heading", "content"))).alias("c"))
+    chunks = F.transform("c", lambda x: F.struct(x["heading"].alias("heading"), x["content"].alias("content")))
+    return shown.join(lists.select("q", "p", chunks.alias("chunks")), (F.col("query_id") == F.col("q")) & (F.col("path") == F.col("p")), "left").drop("q", "p")
 
 
-def document_frequency(chunks: DataFrame) -> DataFrame:
-    """(term, df, tf): chunks that hold each term, and its occurrences."""
-    each = chunks.select("path", "seq", F.explode(terms(F.col("text"))).alias("term"))
-    per = each.groupBy("path", "seq", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return per.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+def retrieval_metrics(expected: DataFrame, found: dict[str, DataFrame], k: int = LIMIT) -> DataFrame:
+    """(config, queries, top1, topk, mrr): how high the expected page of each query stands in each configuration's pages.
+
+    expected: (query_id, page), one a query; found: (query_id, rank, path) by name. A page that is not found counts 0.
+    """
+    out = None
+    for name, pages in found.items():
+        hit = pages.select(F.col("query_id").alias("q"), F.col("path").alias("p"), "rank").where(F.col("rank") <= k)
+        both = expected.join(hit, (F.col("query_id") == F.col("q")) & (F.col("page") == F.col("p")), "left")
+        row = both.agg(
+            F.count(F.lit(1)).alias("queries"), F.count_if(F.col("rank") == 1).alias("top1"), F.count_if(F.col("rank").isNotNull()).alias("topk"),
+            F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"),
+        ).select(F.lit(name).alias("config"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def disagreements(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(query_id, page_a, page_b): queries whose first page differs between two configurations; null where there is none."""
+    first = lambda x, n: x.where("rank = 1").select(F.col("query_id").alias(f"q{n}"), F.col("path").alias(f"page_{n}"))
+    both = first(a, "a").join(first(b, "b"), F.col("qa") == F.col("qb"), "full_outer")
+    return both.where(~F.col("page_a").eqNullSafe(F.col("page_b"))).select(F.coalesce("qa", "qb").alias("query_id"), "page_a", "page_b")
 
 
 def mean_vectors(chunks: DataFrame, vectors: DataFrame, dim: int = 384) -> DataFrame:
-    """(path, n, mean): the mean of the vectors of each page's chunks, by sums over positions in the JVM."""
+    """(path, n, mean): the mean of the usable vectors of each page's chunks.
+
+    Sums are made in Arrow batches, so that a page of very many chunks reaches its last step as a few sums.
+    """
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     one = vectors.where((F.size("vec") == dim) & finite).groupBy("stripped_hash").agg(F.max("vec").alias("vec"))
-    each = chunks.select("path", "stripped_hash").join(one, "stripped_hash").select("path", F.posexplode("vec").alias("pos", "x"))
-    means = each.groupBy("path", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count(F.lit(1)).alias("n"))
-    return means.groupBy("path").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: F.round(s["x"], 6)).alias("mean"))
+    each = chunks.select("path", "stripped_hash").join(one, "stripped_hash").select("path", "vec")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths, at = np.unique(np.array(b.column(0).to_pylist(), object), return_inverse=True)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+            order = np.argsort(at, kind="stable")
+            starts = np.searchsorted(at[order], np.arange(len(paths)))
+            total = np.add.reduceat(x[order], starts, axis=0) if len(paths) else x
+            yield pa.RecordBatch.from_arrays([pa.array(paths.tolist(), pa.string()), pa.array(np.bincount(at, minlength=len(paths)), pa.int64()), pa.array([t.tobytes() for t in total], pa.binary())], names=["path", "n", "total"])
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column(1).to_pylist()
+            out = [(sum(np.frombuffer(t) for t in ts) / k).tolist() for ts, k in zip(b.column(2).to_pylist(), n)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.float64()))], names=["path", "n", "mean"])
+
+    part = each.mapInArrow(sums, "path string, n bigint, total binary").groupBy("path").agg(F.sum("n").alias("n"), F.collect_list("total").alias("totals"))
+    return part.mapInArrow(means, "path string, n bigint, mean array<double>").select("path", "n", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))

@@ -9,29 +9,50 @@ from notegraph.operators import resolve as R
 from notegraph.operators import search as S
 from notegraph.operators import sync as Y
 from notegraph.plans.common import DOC, EDGES, PAGES, RESOLVED, WS, edges, fold, norm, pages, parsed, resolved, strip, unlink
-from notegraph.session import table
+from notegraph.session import table, written
 
-QUERY = "jet harbour well-known notebook"
+def _text(spark, d):
+    return written(S.indexed_text(table(spark, d, "chunks")), "text")
 
 
-def _text(spark, d):
-    return S.indexed_text(table(spark, d, "chunks"))
+def _eval_queries(spark, d):
+    return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("query").alias("text"))
 
 
-def _query_vector(spark, d):
-    """The usable vector of the smallest hash stands for the query."""
-    v = table(spark, d, "vectors").where((F.size("vec") == 384) & F.forall("vec", lambda x: ~F.isnan(x) & (F.abs(x) < 1e30)) & F.exists("vec", lambda x: x != 0))
-    row = v.orderBy("stripped_hash").limit(1).collect()
-    return [float(x) for x in row[0]["vec"]] if row else [1.0] * 384
+def _known(spark, d, text):
+    """(query_id, text, vec, page): passages whose hash as a number is divisible by 100, asked for by their first eight words and their vector."""
+    chosen = F.pmod(F.conv(F.substring("stripped_hash", 1, 8), 16, 10).cast("long"), F.lit(100)) == 0
+    first = text.where(chosen).groupBy("stripped_hash").agg(F.min_by(F.struct("path", "text"), F.struct("path", "seq")).alias("c"))
+    vec = table(spark, d, "vectors").where(chosen & S.usable(F.col("vec"), 384)).groupBy(F.col("stripped_hash").alias("h")).agg(F.max("vec").alias("vec"))
+    both = first.join(vec, F.col("stripped_hash") == F.col("h"))
+    words = F.array_join(F.slice(S.terms(F.col("c.text")), 1, 8), " ")
+    return written(both.select(F.col("stripped_hash").alias("query_id"), words.alias("text"), "vec", F.col("c.path").alias("page")), "queries")
 
 
 def _lists(spark, d):
     text = _text(spark, d)
-    return S.top(S.bm25(text, QUERY)), S.top(S.dense(text, table(spark, d, "vectors"), _query_vector(spark, d)))
+    q = _known(spark, d, text)
+    return S.top(S.bm25(S.build_index(text), q)), S.top(S.dense(text, table(spark, d, "vectors"), q))
+
+
+def search_pages(spark, d, depth="summary"):
+    text = _text(spark, d)
+    found = S.search(text, S.build_index(text), pages(spark, d), _known(spark, d, text), table(spark, d, "vectors"), depth)
+    if depth == "summary":
+        return found
+    return found.select("query_id", "rank", "path", F.sha1(F.array_join(F.transform("chunks", lambda c: F.concat_ws("|", F.coalesce(c["heading"], F.lit("-")), F.coalesce(c["content"], F.lit("-")))), "||")).alias("sha1"))
 
 
-def search_pages(spark, d):
-    return S.search(table(spark, d, "chunks"), pages(spark, d), QUERY, table(spark, d, "vectors"), _query_vector(spark, d))
+def _configs(spark, d):
+    text = _text(spark, d)
+    q = _known(spark, d, text)
+    lists = [written(x, "list") for x in (S.top(S.bm25(S.build_index(text), q)), S.top(S.dense(text, table(spark, d, "vectors"), q)))]
+    return q.select("query_id", "page"), {"literal": written(S.fold(S.fuse(lists[0])), "folded"), "fused": written(S.fold(S.fuse(*lists)), "folded")}
+
+
+def disagreements(spark, d):
+    _, found = _configs(spark, d)
+    return S.disagreements(found["literal"], found["fused"])
 
 
 def _names(spark, d):
@@ -73,12 +94,15 @@ def sync_diff(spark, d):
 
 
 QUERIES = {
-    "postings": lambda s, d: S.document_frequency(_text(s, d)),
-    "bm25_topk": lambda s, d: _lists(s, d)[0],
+    "postings": lambda s, d: S.document_frequency(S.build_index(_text(s, d))),
+    "bm25_topk": lambda s, d: S.top(S.bm25(S.build_index(_text(s, d)), _eval_queries(s, d))),
     "dense_topk": lambda s, d: _lists(s, d)[1],
     "rrf_fused": lambda s, d: S.fuse(*_lists(s, d)),
     "page_fold": lambda s, d: S.fold(S.fuse(*_lists(s, d))),
     "search_pages": search_pages,
+    "search_bodies": lambda s, d: search_pages(s, d, "body"),
+    "retrieval_metrics": lambda s, d: S.retrieval_metrics(*_configs(s, d)),
+    "disagreements": disagreements,
     "quiet_pages": lambda s, d: S.quiet_paths(pages(s, d)),
     "mean_vectors": lambda s, d: S.mean_vectors(_text(s, d), table(s, d, "vectors")),
     "pending_embed": lambda s, d: Y.pending_embed(table(s, d, "chunks"), table(s, d, "vectors")),
@@ -99,38 +123,44 @@ QUERIES = {
     "queue_intake": lambda s, d: R.intake(_names(s, d), table(s, d, "queue"), table(s, d, "aliases"), table(s, d, "links")),
     "judged_aliases": lambda s, d: R.judged_aliases(table(s, d, "queue"), pages(s, d), table(s, d, "links")),
     "near_misses": lambda s, d: R.near_misses(G.unresolved_counts(resolved(s, d)), "Kamlerhe Centre for Tidal Mechanics"),
-    "queue_evidence": lambda s, d: R.evidence(R.latest(table(s, d, "queue")).where("status = 'open'"), edges(s, d), table(s, d, "chunks")),
+    "queue_evidence": lambda s, d: R.evidence(R.latest(table(s, d, "queue")), edges(s, d), table(s, d, "chunks")),
     "repeat_guard": repeat_guard,
 }
 
 _CHUNK = f"""one AS (SELECT path, seq, max({{'heading': heading, 'content': content, 'is_summary': is_summary, 'stripped_hash': stripped_hash}}) AS c FROM chunks GROUP BY path, seq),
-chunk AS (SELECT path, seq, c.stripped_hash AS stripped_hash, {unlink("concat_ws(chr(10), nullif(c.heading, ''), nullif(c.content, ''))")} AS text FROM one)"""
-_TOKENS = r"list_filter(string_split_regex(translate(lower(text), '{a}', '{p}'), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')".format(a=T.ACCENTED, p=T.PLAIN)
-
-
-def _bm25() -> str:
-    wanted = S.phrases(QUERY)
-    tf = []
-    for p in wanted:
-        if len(p) == 1:
-            tf.append(f"len(list_filter(tok, lambda t: t = '{p[0]}'))")
-        else:
-            tf.append(f"len(list_filter(range(1, len(tok) - {len(p)} + 2), lambda i: tok[i:i+{len(p) - 1}] = {p!r}))")
-    f = ", ".join(f"{t} AS f{i}" for i, t in enumerate(tf))
-    n = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(wanted)))
-    idf = lambda i: f"greatest(ln((N - n{i} + 0.5) / (n{i} + 0.5)), 0)"
-    score = " + ".join(f"CASE WHEN {idf(i)} <= 0 THEN 1e-6 ELSE {idf(i)} END * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(wanted)))
-    hit = " OR ".join(f"f{i} > 0" for i in range(len(wanted)))
-    return f"""{_CHUNK}, tok AS (SELECT path, seq, {_TOKENS} AS tok FROM chunk), cnt AS (SELECT path, seq, len(tok) AS dl, {f} FROM tok),
-    st AS (SELECT count(*) AS N, avg(dl) AS avgdl, {n} FROM cnt),
-    lit AS (SELECT *, row_number() OVER (ORDER BY score DESC, path, seq) - 1 AS rank FROM (SELECT path, seq, round({score}, 6) AS score FROM cnt, st WHERE {hit}) QUALIFY rank < 50)"""
-
-
+chunk AS (SELECT path, seq, c.heading AS heading, c.content AS content, c.stripped_hash AS stripped_hash, {unlink("concat_ws(chr(10), nullif(c.heading, ''), nullif(c.content, ''))")} AS text FROM one)"""
+_FOLDED = lambda x: r"list_filter(string_split_regex(translate(lower({x}), '{a}', '{p}'), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')".format(x=x, a=T.ACCENTED, p=T.PLAIN)
+_TOKENS = _FOLDED("text")
 _OK = "len(vec) = 384 AND list_bool_and([isfinite(x) FOR x IN vec]) AND list_bool_or([x <> 0 FOR x IN vec])"
-_DENSE = f"""q AS (SELECT vec::DOUBLE[] AS q FROM vectors WHERE {_OK} ORDER BY stripped_hash LIMIT 1),
-sim AS (SELECT stripped_hash, max(list_cosine_similarity(vec::DOUBLE[], q)) AS score FROM vectors, q WHERE {_OK} GROUP BY 1),
-den AS (SELECT path, seq, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, path, seq) - 1 AS rank FROM chunk JOIN sim USING (stripped_hash) QUALIFY rank < 50)"""
-_FUSED = "fused AS (SELECT path, seq, round(sum(1.0::DOUBLE / (61 + rank)), 9) AS score, min(ord) AS first FROM (SELECT path, seq, rank, rank AS ord FROM lit UNION ALL SELECT path, seq, rank, 1000000 + rank FROM den) GROUP BY path, seq)"
+_KNOWN = f"""vec AS (SELECT stripped_hash, max(vec) AS vec FROM vectors WHERE {_OK} GROUP BY 1),
+pick AS (SELECT c.stripped_hash AS query_id, min_by(path, (path, seq)) AS page, min_by(text, (path, seq)) AS text, any_value(vec) AS vec FROM chunk c JOIN vec USING (stripped_hash)
+  WHERE ('0x' || left(c.stripped_hash, 8))::BIGINT % 100 = 0 GROUP BY 1), q AS (SELECT query_id, page, vec, list_slice({_TOKENS}, 1, 8) AS words FROM pick),
+phrase AS (SELECT DISTINCT query_id, [unnest(words)] AS phrase FROM q)"""
+_EVAL = f"""split AS (SELECT item_id AS query_id, list_filter(string_split_regex(query, '{WS}+'), lambda w: w <> '') AS words FROM eval_items),
+each AS (SELECT query_id, unnest(words) AS w FROM split WHERE len(list_filter(words, lambda w: contains(w, '"') AND replace(w, '"', '') <> '')) = 0), phrase AS (SELECT DISTINCT query_id, {_FOLDED("w")} AS phrase FROM each)"""
+_BM25 = f"""words AS (SELECT path, seq, {_TOKENS} AS toks FROM chunk), tok AS (SELECT path, seq, toks, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM words), st AS (SELECT count(*) AS total, avg(len(toks)) AS avgdl FROM words),
+occ AS (SELECT query_id, phrase, path, seq, len(toks) AS dl, count(*) AS f FROM phrase JOIN tok ON len(phrase) > 0 AND term = phrase[1] AND (len(phrase) = 1 OR toks[pos:pos + len(phrase) - 1] = phrase) GROUP BY ALL),
+df AS (SELECT query_id, phrase, count(*) AS n FROM occ GROUP BY ALL),
+part AS (SELECT query_id, path, seq, CASE WHEN ln((total - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((total - n + 0.5) / (n + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS x FROM occ JOIN df USING (query_id, phrase), st),
+lit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, seq) - 1 AS rank FROM (SELECT query_id, path, seq, round(sum(x), 6) AS score FROM part GROUP BY ALL) QUALIFY rank < 50)"""
+_DENSE = """den AS (SELECT query_id, path, seq, round(list_cosine_similarity(v.vec::DOUBLE[], q.vec::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(v.vec::DOUBLE[], q.vec::DOUBLE[]), 6) DESC, path, seq) - 1 AS rank
+  FROM q, chunk c JOIN vec v USING (stripped_hash) QUALIFY rank < 50)"""
+
+
+def _fused(name: str, *lists: str) -> str:
+    rows = " UNION ALL ".join(f"SELECT query_id, path, seq, rank, {i} * 1000000 + rank AS ord FROM {x}" for i, x in enumerate(lists))
+    return f"{name} AS (SELECT query_id, path, seq, round(sum(1.0::DOUBLE / (61 + rank)), 9) AS score, min(ord) AS first FROM ({rows}) GROUP BY ALL)"
+
+
+def _folded(name: str, fused: str) -> str:
+    return f"""{name}_o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS ord FROM {fused}), {name}_k AS (SELECT * FROM {name}_o QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY ord) <= 2),
+    {name} AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY min(ord)) AS rank, path, list(seq ORDER BY ord) AS seqs FROM {name}_k GROUP BY query_id, path QUALIFY rank <= 5)"""
+
+
+_QUIET = "quiet AS (SELECT path FROM page WHERE starts_with(path, 'sources/') OR starts_with(path, 'conversations/') OR lower(trim(type)) = 'transcript')"
+_AUDIBLE = ", ".join(f"{x}2 AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS rank) FROM {x} WHERE path NOT IN (SELECT path FROM quiet))" for x in ("lit", "den"))
+_HYBRID = f"{_CHUNK}, {_KNOWN}, {_BM25}, {_DENSE}"
+_SHORT = f"trim(regexp_replace(summary, '{WS}+', ' ', 'g'))"
 _CAND = rf"""lk AS (SELECT target_key AS key, min(display) AS name, 0 AS ord FROM edge WHERE target_key <> '' GROUP BY target_key),
 shape AS (SELECT * FROM (SELECT *, {strip("name")} AS c FROM (SELECT * FROM lk UNION ALL SELECT page_key, regexp_replace(split_part(path, '/', -1), '\.md$', ''), 1 FROM page WHERE page_key <> '')) WHERE
   regexp_matches(c, '^[A-Za-z][A-Za-z0-9\-'' ]{{2,49}}$') AND len(list_filter(string_split_regex(c, '\s+'), lambda w: w <> '')) <= 6
@@ -163,16 +193,23 @@ ORACLES = {
         v AS ({_V} FROM (SELECT *, 'Kamlerhe Centre for Tidal Mechanics' AS a, display AS b, {_toks("'Kamlerhe Centre for Tidal Mechanics'")} AS ta, {_toks("display")} AS tb FROM u WHERE display IS NOT NULL)),
         w AS (SELECT target_key, display, n, {_VERDICT} AS verdict, regexp_matches({strip("display")}, '^[A-Za-z]{{2,6}}$') OR list_has_any(ta, tb) AS near FROM v)
         SELECT target_key, display, n, verdict FROM w WHERE verdict = 'same' OR (verdict = 'defer' AND near) QUALIFY verdict = 'same' OR row_number() OVER (PARTITION BY verdict ORDER BY n DESC, target_key) <= 3""",
-    "queue_evidence": f"""WITH {EDGES}, {_LATEST}, o AS (SELECT * FROM last WHERE s = 'open'), k AS (SELECT key, min(shown) AS shown FROM (SELECT key_a AS key, display_a AS shown FROM o UNION ALL SELECT key_b, display_b FROM o) WHERE key IS NOT NULL AND shown IS NOT NULL GROUP BY key),
+    "queue_evidence": f"""WITH {EDGES}, {_LATEST}, o AS (SELECT * FROM last), k AS (SELECT key, min(shown) AS shown FROM (SELECT key_a AS key, display_a AS shown FROM o UNION ALL SELECT key_b, display_b FROM o) WHERE key IS NOT NULL AND shown IS NOT NULL GROUP BY key),
         h AS (SELECT key, path, seq, content FROM edge JOIN k ON key = target_key JOIN chunks c ON c.path = source WHERE NOT coalesce(is_summary, false) AND contains(lower(content), lower(shown)))
         SELECT key, left(trim(regexp_replace(min_by(content, (length(content), path, seq, content)), '{WS}+', ' ', 'g')), 350) AS content FROM h GROUP BY key""",
     "postings": f"WITH {_CHUNK}, t AS (SELECT path, seq, unnest({_TOKENS}) AS term FROM chunk) SELECT term, count(DISTINCT (path, seq)) AS df, count(*) AS tf FROM t GROUP BY term",
-    "bm25_topk": f"WITH {_bm25()} SELECT * FROM lit",
-    "dense_topk": f"WITH {_CHUNK}, {_DENSE} SELECT * FROM den",
-    "rrf_fused": f"WITH {_bm25()}, {_DENSE}, {_FUSED} SELECT * FROM fused",
-    "page_fold": f"""WITH {_bm25()}, {_DENSE}, {_FUSED}, o AS (SELECT *, row_number() OVER (ORDER BY score DESC, first) AS ord FROM fused),
-        k AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY path ORDER BY ord) <= 2), p AS (SELECT path, min(ord) AS best, list(seq ORDER BY ord) AS seqs FROM k GROUP BY path)
-        SELECT row_number() OVER (ORDER BY best) AS rank, path, seqs FROM p QUALIFY rank <= 5""",
+    "bm25_topk": f"WITH {_CHUNK}, {_EVAL}, {_BM25} SELECT * FROM lit",
+    "dense_topk": f"WITH {_CHUNK}, {_KNOWN}, {_DENSE} SELECT * FROM den",
+    "rrf_fused": f"WITH {_HYBRID}, {_fused('fused', 'lit', 'den')} SELECT * FROM fused",
+    "page_fold": f"WITH {_HYBRID}, {_fused('fused', 'lit', 'den')}, {_folded('pg', 'fused')} SELECT * FROM pg",
+    "search_pages": f"""WITH {PAGES}, {_QUIET}, {_HYBRID}, {_AUDIBLE}, {_fused('fused', 'lit2', 'den2')}, {_folded('pg', 'fused')}
+        SELECT g.query_id, g.rank, g.path, CASE WHEN length({_SHORT}) > 160 THEN left({_SHORT}, 159) || '…' ELSE {_SHORT} END AS summary, coalesce(summary_provisional, true) AS provisional, coalesce(origin = 'conversation', false) AS from_conversation,
+        EXISTS (SELECT 1 FROM lit l WHERE l.query_id = g.query_id AND l.path = g.path) AS literal, seqs FROM pg g LEFT JOIN page p ON p.path = g.path""",
+    "search_bodies": f"""WITH {_HYBRID}, {_fused('fused', 'lit', 'den')}, {_folded('pg', 'fused')}, e AS (SELECT query_id, rank, path, unnest(seqs) AS seq, generate_subscripts(seqs, 1) AS i FROM pg)
+        SELECT query_id, rank, path, sha1(string_agg(coalesce(heading, '-') || '|' || coalesce(content, '-'), '||' ORDER BY i)) AS sha1 FROM e JOIN chunk USING (path, seq) GROUP BY query_id, rank, path""",
+    "retrieval_metrics": f"""WITH {_HYBRID}, {_fused('f1', 'lit')}, {_fused('f2', 'lit', 'den')}, {_folded('p1', 'f1')}, {_folded('p2', 'f2')}, r AS (SELECT 'literal' AS config, * FROM p1 UNION ALL SELECT 'fused', * FROM p2), c AS (SELECT * FROM (VALUES ('literal'), ('fused')) t(config), q)
+        SELECT c.config, count(*) AS queries, count(*) FILTER (rank = 1) AS top1, count(rank) AS topk, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM c LEFT JOIN r ON r.config = c.config AND r.query_id = c.query_id AND r.path = c.page GROUP BY c.config""",
+    "disagreements": f"""WITH {_HYBRID}, {_fused('f1', 'lit')}, {_fused('f2', 'lit', 'den')}, {_folded('p1', 'f1')}, {_folded('p2', 'f2')}
+        SELECT coalesce(a.query_id, b.query_id) AS query_id, a.path AS page_a, b.path AS page_b FROM (SELECT * FROM p1 WHERE rank = 1) a FULL JOIN (SELECT * FROM p2 WHERE rank = 1) b ON a.query_id = b.query_id WHERE a.path IS DISTINCT FROM b.path""",
     "quiet_pages": f"WITH {PAGES} SELECT path AS quiet FROM page WHERE starts_with(path, 'sources/') OR starts_with(path, 'conversations/') OR lower(trim(type)) = 'transcript'",
     "pending_embed": "SELECT DISTINCT stripped_hash FROM chunks WHERE stripped_hash IS NOT NULL AND stripped_hash NOT IN (SELECT stripped_hash FROM vectors WHERE stripped_hash IS NOT NULL)",
     "prune_vectors": "SELECT stripped_hash FROM vectors WHERE stripped_hash IN (SELECT stripped_hash FROM chunks)",
@@ -188,7 +225,7 @@ ORACLES = {
     "candidate_names": f"WITH {PAGES}, {EDGES}, {_CAND} SELECT * FROM cand",
     "token_df": f"WITH {PAGES}, {EDGES}, {_CAND} SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({_toks('name')})) AS token FROM cand) GROUP BY token",
     "containment": f"WITH {PAGES}, {EDGES}, {_CAND} SELECT least(a.key, b.key) AS key_a, greatest(a.key, b.key) AS key_b FROM cand a JOIN cand b ON a.key <> b.key AND contains(b.key, a.key)",
-    "structural_partners": f"""WITH {PAGES}, {EDGES}, {_CAND}, tok AS (SELECT key, name, {_toks("name")} AS tk FROM cand), cap AS (SELECT least(greatest(floor(count(*) * 0.02), 3), 100) AS cap FROM cand),
+    "structural_partners": f"""WITH {PAGES}, {EDGES}, {_CAND}, tok AS (SELECT key, name, {_toks("name")} AS tk FROM cand), cap AS (SELECT greatest(floor(count(*) * 0.02), 3) AS cap FROM cand),
         rare AS (SELECT token FROM (SELECT unnest(list_distinct(tk)) AS token FROM tok), cap GROUP BY token, cap HAVING count(*) <= cap AND NOT regexp_matches(token, '^[0-9]+$')),
         post AS (SELECT key, token FROM (SELECT key, unnest(list_distinct(tk)) AS token FROM tok) WHERE token IN (SELECT token FROM rare)),
         pr AS (SELECT a.key AS ka, b.key AS kb FROM post a JOIN post b ON a.token = b.token AND a.key < b.key UNION SELECT least(a.key, b.key), greatest(a.key, b.key) FROM cand a JOIN cand b ON a.key <> b.key AND contains(b.key, a.key)),
