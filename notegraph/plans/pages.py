@@ -9,9 +9,10 @@ from notegraph.operators import analysis as A
 from notegraph.operators import graph as G
 from notegraph.operators import linker as L
 from notegraph.operators import pages as V
-from notegraph.plans.common import BODY, DOC, norm, pages, parsed, strip, unlink
+from notegraph.plans.common import BODY, DOC, WS, edges, norm, pages, parsed, strip, unlink
 from notegraph.plans.search import ORACLES as _SEARCH
-from notegraph.session import shared_dir, table
+from notegraph.plans.text import PARSED
+from notegraph.session import scratch, table, written
 from notegraph.streaming import ingest as I
 
 
@@ -21,13 +22,13 @@ def link_bodies(spark, d):
     p = parsed(spark, d).withColumn("concepts", F.concat("tags", F.array(F.lit("lantern drift"), F.lit("harbour"))))
     out = L.link_pages(p, "concepts", index)
     same = p.select(F.col("path").alias("p"), "content_hash")
-    return out.join(same, F.col("path") == F.col("p")).select("path", "resolved", "unresolved", "in_protected", "suppressed", T.content_hash("linked").eqNullSafe(F.col("content_hash")).alias("same_hash"))
+    return out.join(same, F.col("path") == F.col("p")).select("path", *L.OUTCOMES, T.content_hash("linked").eqNullSafe(F.col("content_hash")).alias("same_hash"))
 
 
 def repair_brackets(spark, d):
     """Links damaged on purpose by a third bracket on each side are set right again."""
     damaged = F.regexp_replace("body", r"\[\[([^\[\]|]+)\]\]", "[[[$1]]]")
-    return L.repair_pages(parsed(spark, d).withColumn("body", damaged)).select("path", "fixed")
+    return L.repair_pages(parsed(spark, d).withColumn("body", damaged)).select("path", "fixed", F.sha1("repaired").alias("sha1"))
 
 
 def json_repair(spark, d):
@@ -42,12 +43,40 @@ def stub_model(prompt: str) -> str:
     """A stand-in for a model: the first sentence and the words of the links, as JSON."""
     import re
 
-    first = re.split(r"(?<=[.!?])\s", " ".join(re.sub(r"(?m)^#{1,6}.*$", "", prompt).split()), maxsplit=1)[0][:200]
+    first = re.split(r"(?<=[.!?])\s", " ".join(re.sub(r"(?m)^#{1,6}.*$", "", prompt).split()), maxsplit=1)[0]
     return "```json\n" + json.dumps({"summary": first, "concepts": [x.split("|")[-1] for x in re.findall(T.LINK, prompt)]}) + "\n```"
 
 
+#: A context so small that many pages have to be read in windows.
+CONTEXT = 2048
+
+
+def _analysed(spark, d):
+    p = written(parsed(spark, d), "parsed")
+    return p, A.analyse(p, stub_model, CONTEXT)
+
+
 def analyse_pages(spark, d):
-    return A.analyse(parsed(spark, d), stub_model, 8192).select("path", "status", F.size("concepts").alias("n"))
+    return _analysed(spark, d)[1].select("path", "status", F.size("concepts").alias("n"))
+
+
+def commit_pages(spark, d):
+    """Analysis, links and the check of the hash; a page whose hash moved would come out as failed."""
+    p, a = _analysed(spark, d)
+    known = G.known_keys(edges(spark, d), pages(spark, d))
+    return A.commit(p, a, G.resolution_index(pages(spark, d), table(spark, d, "aliases")), known).select("path", "status", T.content_hash("linked").alias("hash"))
+
+
+def analysis_counts(spark, d):
+    p, a = _analysed(spark, d)
+    tried = a.join(p.select(F.col("path").alias("p"), "content_hash"), F.col("path") == F.col("p")).select("path", "content_hash", "status", "note")
+    none = tried.withColumn("at", F.lit("")).limit(0)
+    return A.pass_counts(A.record(none, tried, F.lit("2024-01-01")))
+
+
+def first_calls(spark, d):
+    """Of events of one user with equal type and properties the first, and how many there are."""
+    return I.first_calls(table(spark, d, "events"), "user_id", "event_type", "props", "event_id").select("event_id", "calls")
 
 
 def _versions(spark, d):
@@ -74,11 +103,9 @@ def transcript_turns(spark, d):
 
 def stream_repeats(spark, d):
     """The repeat guard as a stream over the events, read from files and run until nothing is left."""
-    import uuid
-
-    at = f"{shared_dir(spark)}/notegraph/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 8).parquet(f"{d}/events.parquet*")
     q = I.repeats(source).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("event_id bigint, before bigint").parquet(f"{at}/out")
@@ -86,9 +113,7 @@ def stream_repeats(spark, d):
 
 def stream_ingest(spark, d):
     """Documents arriving as a stream, turned into pages; as many as there are paths."""
-    import uuid
-
-    at = f"{shared_dir(spark)}/notegraph/ingest-{uuid.uuid4().hex}"
+    at = scratch(spark, "ingest")
     schema = spark.read.parquet(f"{d}/documents.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/documents.parquet*").where("path is not null").select("path", "text", "mtime")
     I.ingest(source, at, f"{at}/state").awaitTermination()
@@ -97,7 +122,7 @@ def stream_ingest(spark, d):
 
 def link_hashes(spark, d):
     """Pages whose content hash is the same after links were placed: all that have a body."""
-    return link_bodies(spark, d).where("same_hash and resolved is not null").select("path")
+    return link_bodies(spark, d).where("same_hash and to_page is not null").select("path")
 
 
 QUERIES = {
@@ -106,14 +131,42 @@ QUERIES = {
     "repair_brackets": repair_brackets,
     "json_repair": json_repair,
     "analyse_pages": analyse_pages,
+    "summarise_pages": lambda s, d: A.summarise(parsed(s, d), stub_model).select("path", "status", "summary"),
+    "commit_pages": commit_pages,
+    "analysis_counts": analysis_counts,
+    "first_calls": first_calls,
     "relocate_hub": relocate_hub,
     "transcript_turns": transcript_turns,
     "stream_repeats": stream_repeats,
     "stream_ingest": stream_ingest,
 }
 
+_SAID = rf"trim(regexp_replace(regexp_replace(body, '(?m)^#{{1,6}}[^\n]*$', '', 'g'), '{WS}+', ' ', 'g'))"
+_STUB = rf"""stub AS (SELECT path, body, type, coalesce(nullif(regexp_extract({_SAID}, '^((?s:.*?)[.!?]) ', 1), ''), {_SAID}) AS said FROM parsed WHERE body IS NOT NULL)"""
+_PASSES = r"said <> '' AND length(said) <= 300 AND len(regexp_extract_all(said, '[.!?](?:\s|$)')) <= 1"
+_SHAPED = rf"""(regexp_matches(c, '^[A-Za-z][A-Za-z0-9\-'' ]{{2,49}}$') AND len(list_filter(string_split_regex(c, '\s+'), lambda w: w <> '')) <= 6
+  AND NOT regexp_matches(c, '(?i)^(Tier|Cycle|Phase|Stage|Level|Step|Figure|Table|Section)\s*[\dIVX]+$') AND NOT regexp_matches(c, '(?i)^(one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\s+\w+s?$'))"""
+#: Pages as the stand-in analyses them: whole, or window by window where they are transcripts or have no room.
+_ROOM = A.room(CONTEXT)
+_ANALYSED = rf"""{PARSED}, {_STUB}, cut AS (SELECT path, body, said, length(body) > {_ROOM} OR coalesce(type = 'transcript', false) AS windowed, CASE WHEN length(body) > {_ROOM} THEN range(0, length(body), {int(_ROOM * 0.9)}) ELSE [0] END AS starts FROM stub),
+win AS (SELECT path, body, said, windowed, CASE WHEN windowed THEN substr(body, unnest(starts) + 1, {_ROOM}) ELSE body END AS w FROM cut WHERE windowed UNION ALL SELECT path, body, said, windowed, body FROM cut WHERE NOT windowed),
+raw AS (SELECT path, body, windowed, unnest([split_part(x, '|', -1) FOR x IN regexp_extract_all(w, '\[\[([^\]]+)\]\]', 1)]) AS shown FROM win),
+con AS (SELECT DISTINCT path, body, windowed, {strip(unlink("shown"))} AS c FROM raw),
+good AS (SELECT path, count(DISTINCT {norm("c")}) AS n FROM con WHERE {norm("c")} <> '' AND (NOT windowed OR {_SHAPED})
+  AND regexp_matches({unlink("body")}, '(?i)(?:^|[^\[\p{{L}}\p{{M}}\p{{N}}_])' || regexp_replace(regexp_escape(c), '(\\?\s)+', '\\s+', 'g') || '(?:$|[^\p{{L}}\p{{M}}\p{{N}}_\]])') GROUP BY path),
+live AS (SELECT path, count(*) FILTER (NOT regexp_matches(w, '^{WS}*$')) AS windows FROM win GROUP BY path),
+analysed AS (SELECT c.path AS path, coalesce(n, 0) AS n, CASE WHEN windowed AND windows = 0 THEN 'failed' WHEN NOT windowed AND NOT ({_PASSES}) THEN 'failed'
+  WHEN coalesce(n, 0) / greatest(len(list_filter(string_split_regex({unlink("body")}, '{WS}+'), lambda t: t <> '')), 1) < 0.0025 THEN 'low_yield' ELSE 'ok' END AS status FROM cut c LEFT JOIN good g ON g.path = c.path LEFT JOIN live l ON l.path = c.path)"""
+
 ORACLES = {
     "link_hashes": f"WITH {DOC} SELECT path FROM doc WHERE body IS NOT NULL",
+    "repair_brackets": rf"""WITH {DOC}, d AS (SELECT path, regexp_replace(body, '\[\[([^\[\]|]+)\]\]', '[[[\1]]]', 'g') AS body FROM doc), r AS (SELECT *, regexp_replace(body, '({L.VERBATIM})|{L.BRACKETS}', '\1\2\3\4', 'g') AS repaired FROM d)
+        SELECT path, len(regexp_extract_all(regexp_replace(body, '{L.VERBATIM}', ' ', 'g'), '{L.DAMAGED}')) AS fixed, sha1(repaired) AS sha1 FROM r WHERE repaired <> body""",
+    "analyse_pages": f"WITH {_ANALYSED} SELECT path, status, n FROM analysed",
+    "commit_pages": f"WITH {_ANALYSED} SELECT a.path AS path, status, CASE WHEN status <> 'failed' THEN sha1({strip(unlink('body'))}) END AS hash FROM analysed a JOIN parsed p ON p.path = a.path",
+    "analysis_counts": f"WITH {_ANALYSED} SELECT count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'low_yield') AS low_yield, count(*) FILTER (status = 'failed') AS failed FROM analysed",
+    "summarise_pages": f"WITH {PARSED}, {_STUB} SELECT path, CASE WHEN {_PASSES} THEN 'ok' ELSE 'failed' END AS status, CASE WHEN {_PASSES} THEN said END AS summary FROM stub",
+    "first_calls": "SELECT min(event_id) AS event_id, count(*) AS calls FROM events GROUP BY user_id, event_type, props",
     "json_repair": "SELECT event_id, (props::JSON ->> 'k')::INT AS k, CASE event_id % 4 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS repairs FROM events",
     "stream_repeats": _SEARCH["repeat_guard"],
     "stream_ingest": rf"""WITH p AS (SELECT path, max({{'m': mtime, 't': text}}) AS r FROM documents WHERE path IS NOT NULL GROUP BY path)

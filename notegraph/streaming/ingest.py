@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from notegraph.operators.parse import extract_links, parse_pages
 
 WINDOW_US = 120_000_000
+#: Stretch of time whose events of one user and type are one task's group.
+STRETCH_US = 86_400_000_000
 #: How late an event may be.
 LATE = "10 minutes"
 PAGE_COLUMNS = ("path", "page_key", "mtime", "summary", "summary_provisional", "type", "origin", "content_hash")
@@ -34,36 +37,47 @@ def ingest(arriving: DataFrame, folder: str, checkpoint: str):
 
 
 def latest_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest version of every page that was ingested."""
+    """The newest version of every page that was ingested, by mtime; of equal ones that of the later batch. A null mtime is older than any."""
     rows = spark.read.parquet(f"{folder}/pages")
     cols = [c for c in rows.columns if c not in ("path", "batch")]
-    return rows.groupBy("path").agg(F.max_by(F.struct(*cols), "batch").alias("r")).select("path", "r.*")
+    order = F.struct(F.col("mtime").isNotNull(), "mtime", "batch")
+    return rows.groupBy("path").agg(F.max_by(F.struct(*cols), order).alias("r")).select("path", "r.*")
 
 
 def _guard(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
-    seen = list(state.get[0]) if state.exists else []
+    seen = [int(x) for x in state.get[0]] if state.exists else []
     rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
-    out = []
-    for event, at in zip(rows["event_id"], rows["at"]):
-        before = sum(1 for x in seen if at - WINDOW_US <= x < at)
-        seen = [x for x in seen if x >= at - WINDOW_US] + [int(at)]
-        if before:
-            out.append((event, before))
-    state.update((seen,))
-    state.setTimeoutTimestamp(max(seen[-1] // 1000 + WINDOW_US // 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=["event_id", "before"]).astype({"event_id": "int64", "before": "int64"})
+    known = sorted([*seen, *rows["at"].tolist()])
+    asking = rows[rows["asks"]]
+    times, at = np.array(known, np.int64), asking["at"].to_numpy(np.int64)
+    before = np.searchsorted(times, at) - np.searchsorted(times, at - WINDOW_US)
+    state.update((known,))
+    state.setTimeoutTimestamp(max((int(key[2]) + 1) * STRETCH_US // 1000, state.getCurrentWatermarkMs() + 1))
+    out = pd.DataFrame({"event_id": asking["event_id"].to_numpy(np.int64), "before": before.astype(np.int64)})
+    yield out[out["before"] > 0]
 
 
 def repeats(events: DataFrame) -> DataFrame:
     """(event_id, before): events of a stream that repeat one of their user and type within 120 seconds.
 
-    The state of a user and type is the instants of the last 120 seconds and goes once the watermark
-    has passed them; a micro-batch's size bounds what one group holds. Events later than the
-    watermark allows are left out.
+    The state is kept per user, type and day: an event is put to its own day and, in its last 120
+    seconds, as a past to the following one, so a user of very many events is spread over time. A
+    day's state goes once the watermark has passed it, so an event that is late, but not later
+    than the watermark allows, still finds its past. Each event counts those that had arrived with
+    or before it; later ones are left out.
     """
     timed = events.where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
     at = timed.select("event_id", "user_id", "event_type", "ts", F.unix_micros("ts").alias("at"))
-    return at.groupBy("user_id", "event_type").applyInPandasWithState(_guard, "event_id bigint, before bigint", "seen array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    stretch, next_one = F.floor(F.col("at") / STRETCH_US), F.floor((F.col("at") + WINDOW_US) / STRETCH_US)
+    own, later = F.struct(stretch.alias("stretch"), F.lit(True).alias("asks")), F.struct(next_one.alias("stretch"), F.lit(False).alias("asks"))
+    roles = F.when(stretch == next_one, F.array(own)).otherwise(F.array(own, later))
+    placed = at.withColumn("r", F.explode(roles)).select("event_id", "user_id", "event_type", "ts", "at", "r.stretch", "r.asks")
+    return placed.groupBy("user_id", "event_type", "stretch").applyInPandasWithState(_guard, "event_id bigint, before bigint", "seen array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def first_calls(calls: DataFrame, generation: str, name: str, arguments: str, order: str) -> DataFrame:
+    """Of calls of one generation with equal names and arguments the first, with the number of all of them as `calls`. Null arguments equal each other."""
+    return calls.groupBy(generation, name, arguments).agg(F.min(order).alias(order), F.count(F.lit(1)).alias("calls"))

@@ -30,3 +30,22 @@ def test_stream_ingest_twice(spark, tmp_path):
         ingest.ingest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
         now = {r.path: r.summary for r in ingest.latest_pages(spark, str(tmp_path / "out")).collect()}
         assert now == {"a.md": ["one", "two"][i], "b.md": "see a"}
+
+
+def test_late_versions_and_late_events(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    schema = "path string, text string, mtime timestamp"
+    for rows in ([("a.md", "new text.", datetime(2024, 2, 1))], [("a.md", "old text.", datetime(2024, 1, 1)), ("b.md", "b.", None)], [("b.md", "later b.", datetime(2023, 1, 1))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.ingest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+    assert {r.path: r.summary for r in ingest.latest_pages(spark, str(tmp_path / "out")).collect()} == {"a.md": "new text.", "b.md": "later b."}
+
+    events, t = "event_id long, user_id long, event_type string, ts timestamp", datetime(2024, 1, 1)
+    at = lambda s: t + timedelta(seconds=s)
+    batches = [[(1, 1, "x", at(0)), (2, 1, "x", at(50)), (3, 1, "y", at(60))], [(4, 1, "x", at(500)), (5, 2, "x", at(500))], [(6, 1, "x", at(100)), (7, 1, "x", at(560))], [(8, 1, "x", at(5000))], [(9, 1, "x", at(0))]]
+    for rows in batches:
+        spark.createDataFrame(rows, events).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        source = spark.readStream.schema(events).parquet(str(tmp_path / "events"))
+        ingest.repeats(source).writeStream.format("parquet").option("path", str(tmp_path / "repeats")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(60)
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "repeats")).collect()} == {(2, 1), (6, 2), (7, 1)}
