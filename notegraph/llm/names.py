@@ -172,47 +172,53 @@ def _near_given(w: str) -> bool:
     return any(abs(len(g) - len(w)) <= 1 and near(g, w) for g in _FULL)
 
 
-SAME, TYPO, A_SHORT, B_SHORT = 0, 1, 2, 3
+SAME, A_SHORT, B_SHORT = 0, 1, 2
 
 
 @lru_cache(maxsize=200_000)
-def relation(a: str, b: str, person_a: bool = False, person_b: bool = False) -> int | None:
-    """How two words may stand for one: equal, misspelled, or one a shortening of the other.
+def relation(a: str, b: str, person_a: bool = False, person_b: bool = False) -> tuple[int, int] | None:
+    """How two words may stand for one: the same, or one a shortening of the other; and the misspellings (0 or 1) in that.
 
     An initial stands for a given name: one that is known, or any word of a personal name.
     """
     if a == b:
-        return SAME
+        return SAME, 0
     if any(c.isdigit() for c in a + b):
         return None
     if a in GIVEN and b in GIVEN:
         if GIVEN[a] & GIVEN[b]:
-            return A_SHORT if len(GIVEN[a]) > 1 else B_SHORT if len(GIVEN[b]) > 1 else SAME
+            return A_SHORT if len(GIVEN[a]) > 1 else B_SHORT if len(GIVEN[b]) > 1 else SAME, 0
         if min(len(a), len(b)) > 4 or not (GIVEN[b].issubset({b}) and b.startswith(a) or GIVEN[a].issubset({a}) and a.startswith(b)):
             return None
     if min(len(a), len(b)) >= 3 and max(len(a), len(b)) >= 4 and near(a, b):
-        return TYPO
+        return SAME, 1
     for x, y, how, person in ((a, b, A_SHORT, person_b), (b, a, B_SHORT, person_a)):
         if (len(x) == 1 or (len(x) == 2 and x in GIVEN)) and y[0] == x[0] and (given(y) or (person and len(y) > 2)):
-            return how
+            return how, 0
         if 3 <= len(x) <= 6 and len(y) - len(x) >= 1 and x not in KINDS and (y.startswith(x) or (len(x) >= 4 and any(near(x, y[:n]) for n in (len(x) - 1, len(x), len(x) + 1)))):
-            return how
+            return how, int(not y.startswith(x))
         if x in GIVEN and len(y) >= 5 and any(near(f, y) for f in GIVEN[x]):  # a short form against a misspelled full name
-            return how if len(GIVEN[x]) > 1 else TYPO
+            return how if len(GIVEN[x]) > 1 else SAME, 1
     return None
 
 
 def compare(a: list[str], b: list[str], person_a: bool = False, person_b: bool = False) -> str | None:
-    """"full" if the words of two forms are the same up to misspellings, "a" or "b" if that one is a shortening.
+    """The first of `judged`."""
+    said = judged(a, b, person_a, person_b)
+    return said and said[0]
+
+
+def judged(a: list[str], b: list[str], person_a: bool = False, person_b: bool = False) -> tuple[str, int] | None:
+    """"full" if the words of two forms are the same up to misspellings, "a" or "b" if that one is a shortening; and the misspellings.
 
     Each word of one must stand for exactly one of the other, at most two of them misspelled; an
     acronym stands for all words but one.
     """
     if len(a) != len(b):
         if len(a) == 2 and len(b) >= 3:
-            return "a" if _acronym(a, b) else None
+            return ("a", 0) if _acronym(a, b) else None
         if len(b) == 2 and len(a) >= 3:
-            return "b" if _acronym(b, a) else None
+            return ("b", 0) if _acronym(b, a) else None
         return None
     if len(a) == 2 and any(max(len(x), len(y)) <= 4 and x not in GIVEN and y not in GIVEN for x in set(a) - set(b) for y in set(b) - set(a)):
         return None  # other acronyms, not misspellings
@@ -222,7 +228,7 @@ def compare(a: list[str], b: list[str], person_a: bool = False, person_b: bool =
     typos, short_a, short_b = best
     if typos > 2 or (short_a and short_b):
         return None
-    return "a" if short_a else "b" if short_b else "full"
+    return "a" if short_a else "b" if short_b else "full", typos
 
 
 def _match(a: tuple[str, ...], b: tuple[str, ...], person_a: bool = False, person_b: bool = False) -> tuple[int, int, int] | None:
@@ -237,10 +243,10 @@ def _match(a: tuple[str, ...], b: tuple[str, ...], person_a: bool = False, perso
         rest = _match(a[1:], b[:j] + b[j + 1 :], person_a, person_b)
         if rest is None:
             continue
-        this = (rest[0] + (r == TYPO), rest[1] + (r == A_SHORT), rest[2] + (r == B_SHORT))
+        this = (rest[0] + r[1], rest[1] + (r[0] == A_SHORT), rest[2] + (r[0] == B_SHORT))
         if best is None or (this[1] + this[2], this[0]) < (best[1] + best[2], best[0]):
             best = this
-        if r == SAME:
+        if r == (SAME, 0):
             break
     return best
 
@@ -438,27 +444,30 @@ def link_names(links: DataFrame, queue: DataFrame) -> DataFrame:
     """
     named = written(_forms(read_names(links, queue)), "names")
     forms = named.groupBy("form").agg(F.max("person").alias("person"))
-    pairs = candidates(written(rarest_words(forms), "forms"))
+    # few bytes but much work: their partitions are set here
+    parts = max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * links.sparkSession.sparkContext.defaultParallelism)
+    pairs = candidates(written(rarest_words(forms).repartition(parts, "form"), "forms"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(x, y, compare(x.split(" "), y.split(" "), p, q)) for x, y, p, q in zip(*(c.to_pylist() for c in b.columns))]
-            rows = [r for r in rows if r[2]]
-            cols = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["form_a", "form_b", "how"])
+            rows = [(x, y, judged(x.split(" "), y.split(" "), p, q)) for x, y, p, q in zip(*(c.to_pylist() for c in b.columns))]
+            rows = [(x, y, *said) for x, y, said in rows if said]
+            cols = list(zip(*rows)) if rows else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int32())], names=["form_a", "form_b", "how", "typos"])
 
-    matched = written(pairs.mapInArrow(verify, "form_a string, form_b string, how string"), "matched")
+    matched = written(pairs.mapInArrow(verify, "form_a string, form_b string, how string, typos int"), "matched")
     tied = components(matched.where("how = 'full'"), "form_a", "form_b")
     short = matched.where("how <> 'full'").select(
         F.when(F.col("how") == "a", F.col("form_a")).otherwise(F.col("form_b")).alias("short"),
-        F.when(F.col("how") == "a", F.col("form_b")).otherwise(F.col("form_a")).alias("long"),
+        F.when(F.col("how") == "a", F.col("form_b")).otherwise(F.col("form_a")).alias("long"), "typos",
     )
     # what is itself a shortening of something can't decide between entities
     shortened = short.select(F.col("short").alias("cut")).distinct()
     tied = written(tied, "tied")
     cluster = short.join(shortened, F.col("long") == F.col("cut"), "left_anti").join(tied, F.col("long") == F.col("node"), "left")
-    entity = F.coalesce("component", "long")
-    only = cluster.groupBy("short").agg(F.min(entity).alias("entity"), F.max(entity).alias("last")).where("entity = last")
+    # of the entities that a shortening can stand for, those count that need the fewest misspellings
+    by_typos = cluster.groupBy("short", "typos").agg(F.min(F.coalesce("component", "long")).alias("entity"), F.max(F.coalesce("component", "long")).alias("last"))
+    only = by_typos.groupBy("short").agg(F.min(F.struct("typos", "entity", "last")).alias("r")).where("r.entity = r.last").select("short", "r.entity")
     edges = tied.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(only.select(F.col("short").alias("x"), F.col("entity").alias("y")))
     groups = components(edges, "x", "y")
     entities = named.join(groups, F.col("form") == F.col("node"), "left").select("key", F.coalesce("component", "form").alias("entity"))
