@@ -29,13 +29,12 @@ def repair_json(x: Column) -> Column:
     Thoughts are dropped; a code fence, text before and behind the object and commas before closing
     brackets are mended and named. Null answers give null and no repairs.
     """
-    t = T.strip_space(F.regexp_replace(T.strip_space(x), r"(?s)<think>.*?</think>", ""))
-    fence = t.startswith("```")
-    t = F.when(fence, T.strip_space(F.regexp_replace(t, r"^```[a-z]*\n?|```$", ""))).otherwise(t)
-    before = ~t.startswith("{") & t.contains("{")
-    t = F.when(before, F.substring(t, F.instr(t, "{"), F.length(t))).otherwise(t)
-    behind = ~t.endswith("}") & t.contains("}")
-    t = F.when(behind, F.regexp_extract(t, r"(?s)^(.*\})", 1)).otherwise(t)
+    # each step reads the one before once, so that the expression doesn't grow with every step
+    told = T.strip_space(F.regexp_replace(T.strip_space(x), r"(?s)<think>.*?</think>", ""))
+    bare = T.strip_space(F.regexp_replace(told, r"(?s)^```[a-z]*\n?(.*?)(?:```)?$", "$1"))
+    led = F.regexp_replace(bare, r"(?s)^[^{]+(?=\{)", "")
+    t = F.regexp_replace(led, r"(?s)(?<=\})[^}]+$", "")
+    fence, before, behind = told.startswith("```"), bare != led, led != t
     patched = F.regexp_replace(t, r",(\s*[}\]])", "$1")
     whole, mended = F.try_parse_json(t).isNotNull(), F.try_parse_json(patched).isNotNull()
     json = F.when(whole, t).when(mended, patched)
