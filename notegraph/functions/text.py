@@ -131,6 +131,40 @@ def concept_present(body: Column | str, concept: Column | str) -> Column:
     return F.coalesce((F.size(words) > 0) & F.regexp_like(strip_links(body), pattern), F.lit(False))
 
 
+#: Fixed value: the order in which known frontmatter fields are written.
+FIELD_ORDER = ("type", "tags", "summary", "summary_provisional", "origin", "created", "updated")
+
+
+def render_page(fields: dict[str, Column], body: Column | str) -> Column:
+    """Frontmatter and body as a text: known fields in their order, then the others as given; null ones are left out."""
+    names = [f for f in FIELD_ORDER if f in fields] + [f for f in fields if f not in FIELD_ORDER]
+    lines = [F.when(fields[n].isNotNull(), F.concat(F.lit(f"{n}: "), yaml_value(fields[n]))) for n in names]
+    return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), F.regexp_replace(_c(body), rf"^{WS}+", ""))
+
+
+def write_path(x: Column | str, folder: str = "notes") -> Column:
+    """Where a page of that name is written: names without a folder go to the folder of pages."""
+    x = _c(x)
+    return F.when(x.contains("/"), x).otherwise(F.concat(F.lit(folder + "/"), x))
+
+
+def opaque(x: Column | str) -> Column:
+    """Whether a name says little to a reader: three or more figures in a row."""
+    return F.coalesce(_c(x).rlike("[0-9]{3,}"), F.lit(False))
+
+
+def query_words(x: Column | str) -> Column:
+    """array<string>: the different keys of the words of a query, those of more than two characters."""
+    words = F.transform(F.split(F.coalesce(_c(x), F.lit("")), rf"{WS}+"), normalize)
+    return F.array_distinct(F.filter(words, lambda w: F.length(w) > 2))
+
+
+def leading_sentence(x: Column | str) -> Column:
+    """The first sentence of a passage as it stands, link marks included; `(no text)` if there is none, null stays null."""
+    flat = squeeze(F.regexp_replace(_c(x), r"(?m)^#{1,6}[^\n]*$", ""))
+    return F.regexp_replace(F.regexp_replace(flat, r"(?s)^(.*?[.!?]) .*$", "$1"), "^$", "(no text)")
+
+
 def count_tokens(x: Column | str) -> Column:
     """A token estimate: characters by four, halves to the even number."""
     return F.bround(F.length(_c(x)) / 4).cast("int")

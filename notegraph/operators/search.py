@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notegraph.functions import text as T
+from notegraph.functions.names import overlap
 from notegraph.session import written
 
 K1, B = 1.2, 0.75
@@ -230,6 +231,22 @@ def disagreements(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.where(~F.col("page_a").eqNullSafe(F.col("page_b"))).select(F.coalesce("qa", "qb").alias("query_id"), "page_a", "page_b")
 
 
+def near_repeats(searches: DataFrame, seconds: int = 120, alike: float = 0.6, most: int = 5) -> DataFrame:
+    """(search_id, before, stop): earlier searches of the same scope within so many seconds whose words overlap, and whether they are too many.
+
+    searches: (search_id, scope, at, text). The overlap is that of the smaller set of words; searches
+    without words repeat nothing. Pairs meet in stretches of that length, own and preceding, so a
+    scope of very many searches is spread over time.
+    """
+    micros = F.unix_micros(F.col("at").cast("timestamp"))
+    s = searches.where("scope is not null and at is not null").select("search_id", "scope", micros.alias("t"), T.query_words("text").alias("words")).where(F.size("words") > 0)
+    s = s.withColumn("stretch", F.floor(F.col("t") / (seconds * 1_000_000)))
+    past = s.select(F.col("scope").alias("s2"), F.col("t").alias("t2"), F.col("words").alias("w2"), F.explode(F.array(F.col("stretch"), F.col("stretch") + 1)).alias("b2"))
+    on = (F.col("scope") == F.col("s2")) & (F.col("stretch") == F.col("b2")) & (F.col("t2") < F.col("t")) & (F.col("t2") >= F.col("t") - seconds * 1_000_000)
+    near = s.hint("merge").join(past, on).where(overlap(F.col("words"), F.col("w2")) >= alike)
+    return near.groupBy("search_id").agg(F.count(F.lit(1)).alias("before")).withColumn("stop", F.col("before") >= most)
+
+
 def mean_vectors(chunks: DataFrame, vectors: DataFrame, dim: int = 384) -> DataFrame:
     """(path, n, mean): the mean of the usable vectors of each page's chunks.
 

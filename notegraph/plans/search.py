@@ -78,6 +78,13 @@ def queue_plan(spark, d):
     return R.plan_queue(cand, q, table(spark, d, "aliases"), G.mention_counts(pairs, table(spark, d, "links")))
 
 
+def near_repeats(spark, d):
+    """Links of a page as a log of what was looked up there: repeats within a week."""
+    log = table(spark, d, "links").select("source", "target_key", "display", "indexed_at").distinct()
+    ident = F.concat_ws("|", "source", "target_key", "display", F.unix_micros(F.col("indexed_at").cast("timestamp")).cast("string"))
+    return S.near_repeats(log.select(ident.alias("search_id"), F.col("source").alias("scope"), F.col("indexed_at").alias("at"), F.col("display").alias("text")), 7 * 86400)
+
+
 def repeat_guard(spark, d):
     """Events of a user that repeat one of the same type within the last 120 seconds, and how many there were."""
     from pyspark.sql import Window
@@ -125,6 +132,7 @@ QUERIES = {
     "near_misses": lambda s, d: R.near_misses(G.unresolved_counts(resolved(s, d)), "Kamlerhe Centre for Tidal Mechanics"),
     "queue_evidence": lambda s, d: R.evidence(R.latest(table(s, d, "queue")), edges(s, d), table(s, d, "chunks")),
     "repeat_guard": repeat_guard,
+    "near_repeats": near_repeats,
 }
 
 _CHUNK = f"""one AS (SELECT path, seq, max({{'heading': heading, 'content': content, 'is_summary': is_summary, 'stripped_hash': stripped_hash}}) AS c FROM chunks GROUP BY path, seq),
@@ -240,5 +248,9 @@ ORACLES = {
     "judged_aliases": f"""WITH {PAGES}, {_LATEST}, same AS (SELECT least(key_a, key_b) AS a, greatest(key_a, key_b) AS b FROM last WHERE s = 'same' AND key_a <> key_b),
         m AS (SELECT *, a IN (SELECT page_key FROM page WHERE page_key IS NOT NULL) AS pa, b IN (SELECT page_key FROM page WHERE page_key IS NOT NULL) AS pb, (SELECT count(*) FROM links WHERE target_key = a) AS na, (SELECT count(*) FROM links WHERE target_key = b) AS nb FROM same),
         r AS (SELECT *, CASE WHEN pa AND NOT pb THEN true WHEN pb AND NOT pa THEN false ELSE na >= nb END AS x FROM m) SELECT CASE WHEN x THEN b ELSE a END AS alias_key, CASE WHEN x THEN a ELSE b END AS canonical_key FROM r""",
+    "near_repeats": f"""WITH l AS (SELECT DISTINCT source, target_key, display, indexed_at FROM links), w AS (SELECT concat_ws('|', source, target_key, display, epoch_us(indexed_at)::VARCHAR) AS search_id, source AS scope, epoch_us(indexed_at) AS t,
+        list_distinct(list_filter([{norm('x')} FOR x IN string_split_regex(coalesce(display, ''), '{WS}+')], lambda k: length(k) > 2)) AS words FROM l WHERE source IS NOT NULL AND indexed_at IS NOT NULL),
+        p AS (SELECT a.search_id AS search_id FROM w a JOIN w b ON a.scope = b.scope AND b.t < a.t AND b.t >= a.t - 604800000000 WHERE len(a.words) > 0 AND len(b.words) > 0 AND len(list_intersect(a.words, b.words)) / least(len(a.words), len(b.words)) >= 0.6)
+        SELECT search_id, count(*) AS before, count(*) >= 5 AS stop FROM p GROUP BY search_id""",
     "repeat_guard": "SELECT event_id, before FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) RANGE BETWEEN 120000000 PRECEDING AND 1 PRECEDING) AS before FROM events WHERE ts IS NOT NULL) WHERE before > 0",
 }

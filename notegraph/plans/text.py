@@ -94,6 +94,9 @@ QUERIES = {
     "token_counts": lambda s, d: table(s, d, "documents").select("doc_id", T.count_tokens("text").alias("tokens")),
     "yaml_values": lambda s, d: pages(s, d).where("summary is not null").select("path", T.yaml_value("summary").alias("value")),
     "tag_presence": tag_presence,
+    "rendered_pages": lambda s, d: pages(s, d).select("path", F.sha1(T.render_page({"origin": F.col("origin"), "page_key": F.col("page_key"), "summary": F.col("summary"), "type": F.col("type")}, F.coalesce("summary", F.lit("")))).alias("sha1")),
+    "name_signs": lambda s, d: _displays(s, d).select("display", T.write_path("display").alias("path"), T.opaque("display").alias("opaque"), F.array_join(T.query_words("display"), " ").alias("words")),
+    "leading_sentences": lambda s, d: parsed(s, d).select("doc_id", T.leading_sentence("body").alias("sentence")),
     "pending_analysis": pending_analysis,
 }
 
@@ -106,6 +109,10 @@ PARSED = f"""{DOC}, parsed AS (SELECT doc_id, path, mtime, body, nullif({field("
   list_distinct({_TAGLIST}) AS tags, CASE WHEN body IS NOT NULL THEN {_FIRST} END AS sentence FROM doc)"""
 _INNER = r"regexp_extract_all(body, '\[\[([^\]]+)\]\]', 1)"
 
+def _yaml(x: str) -> str:
+    return rf"""CASE WHEN regexp_matches({x}, ': |:$|^[-?\s>|&*!%@`\[\]{{}}#,''"]|#\s|\s$|^$') THEN '"' || replace(replace({x}, '\', '\\'), '"', '\"') || '"' ELSE {x} END"""
+
+
 #: Lines of each body with their number and start, and the sections between headings.
 _LINES = """split AS (SELECT path, length(body) AS total, unnest(string_split(body, chr(10))) AS l, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM doc),
 line AS (SELECT *, sum(length(l) + 1) OVER (PARTITION BY path ORDER BY i) - length(l) - 1 AS start, count(*) FILTER (l LIKE '#%') OVER (PARTITION BY path ORDER BY i) AS sec FROM split)"""
@@ -158,6 +165,11 @@ ORACLES = {
     "split_parts": rf"""WITH RECURSIVE {DOC}, cut AS (SELECT path, 0 AS part, body AS rest, {_cut('body')} AS pos FROM doc WHERE body IS NOT NULL
           UNION ALL SELECT path, part + 1, r, {_cut('r')} FROM (SELECT path, part, substr(rest, abs(pos) + 1) AS r FROM cut WHERE pos <> 0) WHERE r <> '')
         SELECT path, part, CASE WHEN pos = 0 THEN rest ELSE left(rest, abs(pos)) END AS text, pos < 0 AS hard FROM cut""",
+    "rendered_pages": f"""WITH {PAGES} SELECT path, sha1('---' || chr(10) || concat_ws(chr(10), 'type: ' || {_yaml('type')}, 'summary: ' || {_yaml('summary')}, 'origin: ' || {_yaml('origin')}, 'page_key: ' || {_yaml('page_key')}) || chr(10) || '---' || chr(10) || chr(10) || regexp_replace(coalesce(summary, ''), '^{WS}+', '')) AS sha1 FROM page""",
+    "name_signs": f"""SELECT display, CASE WHEN contains(display, '/') THEN display ELSE 'notes/' || display END AS path, regexp_matches(display, '[0-9]{{3,}}') AS opaque,
+        coalesce(array_to_string((SELECT list(k ORDER BY i) FROM (SELECT k, min(i) AS i FROM (SELECT unnest(ks) AS k, generate_subscripts(ks, 1) AS i) WHERE length(k) > 2 GROUP BY k)), ' '), '') AS words FROM (SELECT display, [{norm('x')} FOR x IN string_split_regex(display, '{WS}+')] AS ks FROM {_DISPLAYS})""",
+    "leading_sentences": rf"""WITH {DOC}, f AS (SELECT doc_id, body, trim(regexp_replace(regexp_replace(body, '(?m)^#{{1,6}}[^\n]*$', '', 'g'), '{WS}+', ' ', 'g')) AS flat FROM doc)
+        SELECT doc_id, coalesce(nullif(coalesce(nullif(regexp_extract(flat, '^((?s:.*?)[.!?]) ', 1), ''), flat), ''), CASE WHEN body IS NOT NULL THEN '(no text)' END) AS sentence FROM f""",
     "tag_presence": rf"""WITH {PARSED}, plain AS (SELECT path, tags, {unlink('body')} AS plain FROM parsed WHERE body IS NOT NULL), tag AS (SELECT path, plain, unnest(tags) AS tag FROM plain),
         found AS (SELECT path, count(DISTINCT {norm('tag')}) AS n FROM tag WHERE {norm('tag')} <> '' AND regexp_matches(plain, '(?i)(?:^|[^\[\p{{L}}\p{{M}}\p{{N}}_])' || regexp_replace(regexp_escape({strip('tag')}), '(\?\s)+', '\\s+', 'g') || '(?:$|[^\p{{L}}\p{{M}}\p{{N}}_\]])') GROUP BY path)
         SELECT p.path, coalesce(n, 0) AS survivors, coalesce(n, 0) / greatest({_words('plain')}, 1) < 0.0025 AS low FROM plain p LEFT JOIN found f ON f.path = p.path""",
