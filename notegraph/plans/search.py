@@ -214,8 +214,8 @@ ORACLES = {
         EXISTS (SELECT 1 FROM lit l WHERE l.query_id = g.query_id AND l.path = g.path) AS literal, seqs FROM pg g LEFT JOIN page p ON p.path = g.path""",
     "search_bodies": f"""WITH {_HYBRID}, {_fused('fused', 'lit', 'den')}, {_folded('pg', 'fused')}, e AS (SELECT query_id, rank, path, unnest(seqs) AS seq, generate_subscripts(seqs, 1) AS i FROM pg)
         SELECT query_id, rank, path, sha1(string_agg(coalesce(heading, '-') || '|' || coalesce(content, '-'), '||' ORDER BY i)) AS sha1 FROM e JOIN chunk USING (path, seq) GROUP BY query_id, rank, path""",
-    "retrieval_metrics": f"""WITH {_HYBRID}, {_fused('f1', 'lit')}, {_fused('f2', 'lit', 'den')}, {_folded('p1', 'f1')}, {_folded('p2', 'f2')}, r AS (SELECT 'literal' AS config, * FROM p1 UNION ALL SELECT 'fused', * FROM p2), c AS (SELECT * FROM (VALUES ('literal'), ('fused')) t(config), q)
-        SELECT c.config, count(*) AS queries, count(*) FILTER (rank = 1) AS top1, count(rank) AS topk, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM c LEFT JOIN r ON r.config = c.config AND r.query_id = c.query_id AND r.path = c.page GROUP BY c.config""",
+    "retrieval_metrics": f"""WITH {_HYBRID}, {_fused('f1', 'lit')}, {_fused('f2', 'lit', 'den')}, {_folded('p1', 'f1')}, {_folded('p2', 'f2')}, r AS (SELECT 'literal' AS config, * FROM p1 UNION ALL SELECT 'fused', * FROM p2), c AS (SELECT * FROM (VALUES ('literal'), ('fused')) t(config) LEFT JOIN q ON true)
+        SELECT c.config, count(c.query_id) AS queries, count(*) FILTER (rank = 1) AS top1, count(rank) AS topk, round(avg(CASE WHEN c.query_id IS NOT NULL THEN coalesce(1.0::DOUBLE / rank, 0) END), 6) AS mrr FROM c LEFT JOIN r ON r.config = c.config AND r.query_id = c.query_id AND r.path = c.page GROUP BY c.config""",
     "disagreements": f"""WITH {_HYBRID}, {_fused('f1', 'lit')}, {_fused('f2', 'lit', 'den')}, {_folded('p1', 'f1')}, {_folded('p2', 'f2')}
         SELECT coalesce(a.query_id, b.query_id) AS query_id, a.path AS page_a, b.path AS page_b FROM (SELECT * FROM p1 WHERE rank = 1) a FULL JOIN (SELECT * FROM p2 WHERE rank = 1) b ON a.query_id = b.query_id WHERE a.path IS DISTINCT FROM b.path""",
     "quiet_pages": f"WITH {PAGES} SELECT path AS quiet FROM page WHERE starts_with(path, 'sources/') OR starts_with(path, 'conversations/') OR lower(trim(type)) = 'transcript'",
