@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("references", "graph", "text", "search", "pages", "review")
+MODULES = ("references", "graph", "text", "search", "pages", "review", "read")
 
 
 def _all(attribute: str) -> dict:
