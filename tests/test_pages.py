@@ -193,7 +193,7 @@ def test_write_guards(spark):
     text = {r.path: r.text for r in V.current(v.unionByName(done.versions)).collect()}["notes/a.md"]
     assert "more" in text and "\nx" not in text and "old" in text
     assert V.write(v, "conversations/c.md", "x", seen).status == "STOP" and V.write(v, "wiki/x.md", "x", "new").status == "STOP"
-    assert V.write(v, "notes/a.md", "old", "new").note == "the page says so already" and V.write(v, "notes/zz.md", "x", seen).status == "RETRY"
+    assert V.write(v, "notes/a.md", "old", "new").note == f"the page exists: {seen}" and V.write(v, "notes/zz.md", "x", seen).status == "RETRY"
     assert V.write(v, "notes/n.md", "---\nsummary: mine\n---\nx", "new").status == "STOP"
 
 
