@@ -9,7 +9,8 @@ from notegraph.operators import analysis as A
 from notegraph.operators import graph as G
 from notegraph.operators import linker as L
 from notegraph.operators import pages as V
-from notegraph.plans.common import BODY, DOC, WS, edges, norm, pages, parsed, strip, unlink
+from notegraph.operators import parse as P
+from notegraph.plans.common import BODY, DOC, WS, edges, field, norm, pages, parsed, strip, unlink
 from notegraph.plans.search import ORACLES as _SEARCH
 from notegraph.plans.text import PARSED
 from notegraph.session import scratch, table, written
@@ -93,6 +94,16 @@ def relocate_hub(spark, d):
     return moved.select("path", "removed", F.regexp_count("text", F.lit(r"\[\[Drift of Lanterns\|")).alias("links"))
 
 
+def write_all(spark, d):
+    """A line added to every document by one job: the answers, and the hash and day of the pages that come out."""
+    v = written(_versions(spark, d), "versions")
+    seen = V.current(v).select(F.col("path").alias("p"), F.substring(T.content_hash(P.body_of(F.coalesce("text", F.lit("")))), 1, V.EXPECT).alias("expect"))
+    asked = table(spark, d, "documents").select(F.col("doc_id").alias("request"), "path").join(seen, F.col("path") == F.col("p"), "left")
+    requests = asked.select("request", "path", F.lit("Seen again.").alias("content"), F.lit("end").alias("where"), F.lit(None).cast("string").alias("target"), "expect")
+    out = V.write_pages(v, requests, F.lit("2024-05-06"))
+    return out.select("request", "status", "note", "version", T.content_hash(P.body_of(F.col("text"))).alias("hash"), P.field(P.block_of(F.col("text")), "updated").alias("updated"))
+
+
 def transcript_turns(spark, d):
     """Transcript pages cut into turns and rendered again: number of turns and their text's hash."""
     t = parsed(spark, d).where("type = 'transcript'")
@@ -136,6 +147,7 @@ QUERIES = {
     "analysis_counts": analysis_counts,
     "first_calls": first_calls,
     "relocate_hub": relocate_hub,
+    "write_all": write_all,
     "transcript_turns": transcript_turns,
     "stream_repeats": stream_repeats,
     "stream_ingest": stream_ingest,
@@ -168,6 +180,14 @@ ORACLES = {
     "summarise_pages": f"WITH {PARSED}, {_STUB} SELECT path, CASE WHEN {_PASSES} THEN 'ok' ELSE 'failed' END AS status, CASE WHEN {_PASSES} THEN said END AS summary FROM stub",
     "first_calls": "SELECT min(event_id) AS event_id, count(*) AS calls FROM events GROUP BY user_id, event_type, props",
     "json_repair": "SELECT event_id, (props::JSON ->> 'k')::INT AS k, CASE event_id % 4 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS repairs FROM events",
+    "write_all": rf"""WITH v AS (SELECT path, max({{'m': mtime, 't': text}}) AS r FROM documents WHERE path IS NOT NULL GROUP BY path), b AS (SELECT path, coalesce(r.t, '') AS text FROM v),
+        f AS (SELECT path, {BODY} AS body, list_filter(string_split(regexp_extract(text, '^---\n((?s:.*?))\n---\n?', 1), chr(10)), lambda l: contains(l, ':') AND NOT regexp_matches(l, '^(\s|-|#)')) AS fm FROM b),
+        t AS (SELECT path, body, {field("type")} AS type, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM f), q AS (SELECT DISTINCT folder FROM t WHERE type = 'transcript' AND folder <> ''),
+        a AS (SELECT doc_id, d.path AS path, body, d.path IS NULL AS lost, coalesce(type = 'transcript', false) OR d.path LIKE 'conversations/%' OR folder IN (SELECT folder FROM q) AS rec, doc_id > min(doc_id) OVER (PARTITION BY d.path) AS late FROM documents d LEFT JOIN t ON t.path = CASE WHEN contains(d.path, '/') THEN d.path ELSE 'notes/' || d.path END)
+        SELECT doc_id AS request, CASE WHEN lost THEN 'RETRY' WHEN rec THEN 'STOP' WHEN late OR body IS NULL THEN 'RETRY' ELSE 'DONE' END AS status,
+        CASE WHEN lost THEN 'no path was given' WHEN rec THEN 'records can''t be written' WHEN body IS NULL THEN 'there is no such page' WHEN late THEN 'another request came first' ELSE 'written' END AS note,
+        CASE WHEN NOT (lost OR rec OR late OR body IS NULL) THEN 2 END AS version, CASE WHEN NOT (lost OR rec OR late OR body IS NULL) THEN sha1({strip(unlink(f"regexp_replace(body, '{WS}+$', '') || chr(10) || chr(10) || 'Seen again.'"))}) END AS hash,
+        CASE WHEN NOT (lost OR rec OR late OR body IS NULL) THEN '2024-05-06' END AS updated FROM a""",
     "stream_repeats": _SEARCH["repeat_guard"],
     "stream_ingest": rf"""WITH p AS (SELECT path, max({{'m': mtime, 't': text}}) AS r FROM documents WHERE path IS NOT NULL GROUP BY path)
         SELECT path, {norm(r"regexp_replace(split_part(path, '/', -1), '\.md$', '')")} AS page_key, sha1({strip(unlink(BODY.replace("text", "r.t")))}) AS content_hash FROM p""",
