@@ -14,6 +14,15 @@ def initials(x: Column) -> Column:
     return F.array_join(F.transform(parts, lambda t: F.substring(t, 1, 1)), "")
 
 
+def _singular(x: Column) -> Column:
+    return F.regexp_replace(x, "s+$", "")
+
+
+def loose_initials(x: Column) -> Column:
+    """The initials of a name, a final s aside."""
+    return _singular(initials(x))
+
+
 def acronym_match(short: Column, long: Column) -> Column:
     """Whether `short` is 3 to 6 capitals (a plural s aside) that are the initials of `long`."""
     s = strip_space(short)
@@ -55,9 +64,15 @@ def pair_key(a: Column, b: Column) -> Column:
     return F.concat(F.least(a, b), F.lit("|"), F.greatest(a, b))
 
 
-def looks_like_acronym(x: Column) -> Column:
-    """Two to six letters and nothing else, in any case."""
-    return F.coalesce(strip_space(x).rlike("^[A-Za-z]{2,6}$"), F.lit(False))
+def loose_acronym(x: Column) -> Column:
+    """What a name stands for if it is read as initials: two to six letters in any case, a plural s aside; null for other names."""
+    s = F.lower(strip_space(x))
+    return F.when(s.rlike("^[a-z]{2,6}s?$"), _singular(s))
+
+
+def looks_like_acronym(short: Column, long: Column) -> Column:
+    """Whether `short` read as initials stands for the words of `long`, a final s aside."""
+    return F.coalesce(loose_acronym(short) == loose_initials(long), F.lit(False))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from notegraph.functions import names as N
 from notegraph.functions import text as T
 from notegraph.operators.graph import mention_counts
+from notegraph.operators.skew import salted_join
+from notegraph.session import written
 
 #: A word is rare in at most DF_FLOOR names or DF_SHARE of them.
 DF_FLOOR, DF_SHARE = 3, 0.02
@@ -154,17 +156,42 @@ def revise(aliases: DataFrame, queue: DataFrame, key_a: str, key_b: str, answer:
     return kept, queue.withColumn("status", F.when(F.col("pair_key") == pair, answer).otherwise(F.col("status")))
 
 
-def near_misses(unresolved: DataFrame, name: str, most: int = 3) -> DataFrame:
-    """(target_key, display, n, verdict): what the making of a page of that name means for unresolved names.
+#: Names that are pointed out when a page is made, at most.
+NEAR = 3
 
-    `same` names become aliases; up to `most` undecided ones that look like an acronym or share a
-    word are pointed out, those of most mentions first.
+
+def _handles(x: Column, mine: str, theirs: str) -> Column:
+    """What two names must share to be the same or nearly so: a key, a word, or initials on one side that the other's words have."""
+    marks = [F.concat(F.lit("key "), T.normalize(x)), F.concat(F.lit(mine), N.loose_acronym(x)), F.concat(F.lit(theirs), N.loose_initials(x))]
+    words = F.transform(T.tokens(x), lambda t: F.concat(F.lit("word "), t))
+    return F.array_distinct(F.array_compact(F.concat(F.array(*marks), words)))
+
+
+def pages_created(created: DataFrame, unresolved: DataFrame, aliases: DataFrame, most: int = NEAR) -> DataFrame:
+    """(key, target_key, display, n, verdict): what the making of pages (key, name) means for unresolved names.
+
+    `same` names become aliases of the page; up to `most` undecided ones a page that stand for it
+    as initials, or it for them, or share a word are pointed out as `defer`, those of most mentions first (then
+    by key). Names that are aliases already and the page's own key are left out, as are null names. Names meet
+    in an index of what they have in common, whose hot entries are split over tasks.
     """
-    verdict = N.resolve_pair(F.lit(name), F.col("display"))
-    shared = F.arrays_overlap(T.tokens(F.lit(name)), T.tokens("display"))
-    seen = unresolved.withColumn("verdict", verdict).where((F.col("verdict") == "same") | ((F.col("verdict") == "defer") & (N.looks_like_acronym(F.col("display")) | shared)))
-    at = F.row_number().over(Window.partitionBy("verdict").orderBy(F.desc("n"), "target_key"))
-    return seen.withColumn("at", at).where((F.col("verdict") == "same") | (F.col("at") <= most)).select("target_key", "display", "n", "verdict")
+    taken = aliases.where("alias_key is not null").select(F.col("alias_key").alias("taken")).distinct()
+    open_names = written(unresolved.where("display is not null").join(taken, F.col("target_key") == F.col("taken"), "left_anti").select("target_key", "display", "n"), "unresolved")
+    new = written(created.where("key is not null and name is not null").select("key", "name").distinct(), "created")
+    theirs = open_names.select("target_key", F.explode(_handles(F.col("display"), "short ", "long ")).alias("handle"))
+    mine = new.select("key", "name", F.explode(_handles(F.col("name"), "long ", "short ")).alias("h"))
+    met = salted_join(theirs, mine, "handle", "h", salt_by="target_key").where("key <> target_key").select("key", "name", "target_key").distinct()
+    pairs = met.join(open_names.withColumnRenamed("target_key", "t"), F.col("target_key") == F.col("t")).drop("t")
+    ranked = written(pairs.withColumn("verdict", N.resolve_pair(F.col("name"), F.col("display"))).where("verdict <> 'different'").select("key", "target_key", "display", "n", "verdict").distinct(), "met")
+    at = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "target_key"))
+    near = ranked.where("verdict = 'defer'").withColumn("at", at).where(F.col("at") <= most).drop("at")
+    return ranked.where("verdict = 'same'").unionByName(near)
+
+
+def created_aliases(found: DataFrame) -> DataFrame:
+    """(alias_key, canonical_key, kind): the aliases that `pages_created` decided; a name that is the same as several pages goes to the smallest key."""
+    same = found.where("verdict = 'same'").groupBy(F.col("target_key").alias("alias_key")).agg(F.min("key").alias("canonical_key"))
+    return same.withColumn("kind", F.lit("acronym"))
 
 
 def evidence(pairs: DataFrame, e: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -90,3 +90,33 @@ def survey(pages: DataFrame, links: DataFrame, queue: DataFrame, chunks: DataFra
     e = pending_embed(chunks, vectors).agg(F.count(F.lit(1)).alias("pending_embed"))
     n = links.agg(F.count_distinct("source").alias("citing_pages"))
     return p.crossJoin(F.broadcast(q)).crossJoin(F.broadcast(e)).crossJoin(F.broadcast(n))
+
+
+#: The folders of a collection that its tools have to agree on.
+LAYOUT = ("pages", "concepts", "records", "sources")
+
+
+def layout_drift(recorded: DataFrame, layout: dict[str, str]) -> DataFrame:
+    """(folder, was, now): folders that differ from the recorded ones (folder, path); a folder that was never recorded is no drift.
+
+    Of several records of one folder the smallest path counts; null ones don't.
+    """
+    now = recorded.sparkSession.createDataFrame([(k, layout[k]) for k in LAYOUT if k in layout], "now_folder string, now string")
+    was = recorded.where("folder is not null and path is not null").groupBy("folder").agg(F.min("path").alias("was"))
+    return was.join(F.broadcast(now), (F.col("folder") == F.col("now_folder")) & (F.col("was") != F.col("now"))).select("folder", "was", "now")
+
+
+def health(pages: DataFrame, recorded: DataFrame, gaps: DataFrame, bloated: DataFrame, drift: DataFrame) -> DataFrame:
+    """One row: pages pending analysis, failed ones, folders that drifted, gaps with the names most cited, and bloated concept pages.
+
+    recorded: (path, status) of the last attempts; gaps: (target_key, display, n), a few rows;
+    bloated: (path, sections, bloated). Empty tables count as 0 and give null where nothing can be named.
+    """
+    p = pages.agg(F.count_if(~F.col("analyzed_hash").eqNullSafe(F.col("content_hash"))).alias("pending"))
+    r = recorded.agg(F.count_if(F.col("status") == "failed").alias("failed"))
+    d = drift.agg(F.count(F.lit(1)).alias("drifted"))
+    named = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "target_key", F.coalesce("display", "target_key").alias("shown"), "n")))
+    shown = F.transform(named, lambda x: F.concat(x["shown"], F.lit(" ("), x["n"].cast("string"), F.lit(")")))
+    g = gaps.agg(F.count(F.lit(1)).alias("gaps"), F.nullif(F.array_join(shown, ", "), F.lit("")).alias("undefined"))
+    b = bloated.where("bloated").agg(F.count(F.lit(1)).alias("bloated"), F.max("sections").alias("most_sections"))
+    return p.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(d)).crossJoin(F.broadcast(g)).crossJoin(F.broadcast(b))

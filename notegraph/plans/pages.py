@@ -10,7 +10,8 @@ from notegraph.operators import graph as G
 from notegraph.operators import linker as L
 from notegraph.operators import pages as V
 from notegraph.operators import parse as P
-from notegraph.plans.common import BODY, DOC, WS, edges, field, norm, pages, parsed, strip, unlink
+from notegraph.operators import sync as Y
+from notegraph.plans.common import BODY, DOC, PAGES, RESOLVED, WS, edges, field, norm, pages, parsed, strip, unlink
 from notegraph.plans.search import ORACLES as _SEARCH
 from notegraph.plans.text import PARSED
 from notegraph.session import scratch, table, written
@@ -75,6 +76,26 @@ def analysis_counts(spark, d):
     return A.pass_counts(A.record(none, tried, F.lit("2024-01-01")))
 
 
+def _layout(spark, d):
+    """The folder in which most pages of each kind lie, as the recorded layout."""
+    kinds = {"concept": "concepts", "transcript": "records", "note": "pages", "source": "sources"}
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.lower(T.strip_space("type")))
+    n = pages(spark, d).select(kind.alias("folder"), F.substring_index("path", "/", 1).alias("path")).where("folder is not null").groupBy("folder", "path").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("folder").agg(F.min_by("path", F.struct((-F.col("n")).alias("o"), "path")).alias("path"))
+
+
+#: Folders as a tool might have them, one of them elsewhere.
+FOLDERS = {"pages": "notes", "concepts": "wiki", "records": "talks", "sources": "sources"}
+
+
+def health(spark, d):
+    p, a = _analysed(spark, d)
+    tried = a.select("path", "status")
+    drift = Y.layout_drift(_layout(spark, d), FOLDERS)
+    gaps = G.gaps(G.resolved_edges(edges(spark, d), G.page_names(pages(spark, d), table(spark, d, "aliases"))))
+    return Y.health(pages(spark, d), tried, gaps, G.bloated(p), drift)
+
+
 def first_calls(spark, d):
     """Of events of one user with equal type and properties the first, and how many there are."""
     return I.first_calls(table(spark, d, "events"), "user_id", "event_type", "props", "event_id").select("event_id", "calls")
@@ -147,6 +168,8 @@ QUERIES = {
     "analysis_counts": analysis_counts,
     "first_calls": first_calls,
     "relocate_hub": relocate_hub,
+    "health": health,
+    "layout_drift": lambda s, d: Y.layout_drift(_layout(s, d), FOLDERS),
     "write_all": write_all,
     "transcript_turns": transcript_turns,
     "stream_repeats": stream_repeats,
@@ -170,6 +193,10 @@ live AS (SELECT path, count(*) FILTER (NOT regexp_matches(w, '^{WS}*$')) AS wind
 analysed AS (SELECT c.path AS path, coalesce(n, 0) AS n, CASE WHEN windowed AND windows = 0 THEN 'failed' WHEN NOT windowed AND NOT ({_PASSES}) THEN 'failed'
   WHEN coalesce(n, 0) / greatest(len(list_filter(string_split_regex({unlink("body")}, '{WS}+'), lambda t: t <> '')), 1) < 0.0025 THEN 'low_yield' ELSE 'ok' END AS status FROM cut c LEFT JOIN good g ON g.path = c.path LEFT JOIN live l ON l.path = c.path)"""
 
+_LAYOUT = f"""kind AS (SELECT CASE lower({strip("type")}) WHEN 'concept' THEN 'concepts' WHEN 'transcript' THEN 'records' WHEN 'note' THEN 'pages' WHEN 'source' THEN 'sources' END AS folder, split_part(path, '/', 1) AS path FROM page),
+mostly AS (SELECT folder, path AS was FROM (SELECT folder, path, count(*) AS n FROM kind WHERE folder IS NOT NULL GROUP BY folder, path) QUALIFY row_number() OVER (PARTITION BY folder ORDER BY n DESC, path) = 1),
+drift AS (SELECT m.folder AS folder, was, now FROM mostly m JOIN (VALUES ('pages', 'notes'), ('concepts', 'wiki'), ('records', 'talks'), ('sources', 'sources')) f(folder, now) ON f.folder = m.folder WHERE was <> now)"""
+
 ORACLES = {
     "link_hashes": f"WITH {DOC} SELECT path FROM doc WHERE body IS NOT NULL",
     "repair_brackets": rf"""WITH {DOC}, d AS (SELECT path, regexp_replace(body, '\[\[([^\[\]|]+)\]\]', '[[[\1]]]', 'g') AS body FROM doc), r AS (SELECT *, regexp_replace(body, '({L.VERBATIM})|{L.BRACKETS}', '\1\2\3\4', 'g') AS repaired FROM d)
@@ -180,6 +207,11 @@ ORACLES = {
     "summarise_pages": f"WITH {PARSED}, {_STUB} SELECT path, CASE WHEN {_PASSES} THEN 'ok' ELSE 'failed' END AS status, CASE WHEN {_PASSES} THEN said END AS summary FROM stub",
     "first_calls": "SELECT min(event_id) AS event_id, count(*) AS calls FROM events GROUP BY user_id, event_type, props",
     "json_repair": "SELECT event_id, (props::JSON ->> 'k')::INT AS k, CASE event_id % 4 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS repairs FROM events",
+    "layout_drift": f"WITH {PAGES}, {_LAYOUT} SELECT folder, was, now FROM drift",
+    "health": rf"""WITH {_ANALYSED}, {RESOLVED}, {_LAYOUT}, gap AS (SELECT * FROM (SELECT target_key, min(display) AS display, count(*) AS n FROM res WHERE NOT resolved GROUP BY target_key ORDER BY n DESC, target_key LIMIT 3) WHERE n >= 4),
+        big AS (SELECT len(regexp_extract_all(body, '(?m)^## '))::INT AS n FROM parsed WHERE type = 'concept' AND body IS NOT NULL)
+        SELECT (SELECT count(*) FROM page WHERE analyzed_hash IS DISTINCT FROM content_hash) AS pending, (SELECT count(*) FROM analysed WHERE status = 'failed') AS failed, (SELECT count(*) FROM drift) AS drifted, (SELECT count(*) FROM gap) AS gaps,
+        (SELECT string_agg(coalesce(display, target_key) || ' (' || n || ')', ', ' ORDER BY n DESC, target_key) FROM gap) AS undefined, (SELECT count(*) FROM big WHERE n > 12) AS bloated, (SELECT max(n) FROM big WHERE n > 12) AS most_sections""",
     "write_all": rf"""WITH v AS (SELECT path, max({{'m': mtime, 't': text}}) AS r FROM documents WHERE path IS NOT NULL GROUP BY path), b AS (SELECT path, coalesce(r.t, '') AS text FROM v),
         f AS (SELECT path, {BODY} AS body, list_filter(string_split(regexp_extract(text, '^---\n((?s:.*?))\n---\n?', 1), chr(10)), lambda l: contains(l, ':') AND NOT regexp_matches(l, '^(\s|-|#)')) AS fm FROM b),
         t AS (SELECT path, body, {field("type")} AS type, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM f), q AS (SELECT DISTINCT folder FROM t WHERE type = 'transcript' AND folder <> ''),

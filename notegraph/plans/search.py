@@ -100,6 +100,14 @@ def sync_diff(spark, d):
     return Y.difference(pages(spark, d), disk)
 
 
+def _created(spark, d):
+    """Every page, and every linked name as if its page were made, against the names without a page."""
+    p, e = pages(spark, d), edges(spark, d)
+    stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.md$", "")
+    new = p.select(F.col("page_key").alias("key"), stem.alias("name")).unionByName(e.where("target_key <> ''").select(F.col("target_key").alias("key"), F.col("display").alias("name")))
+    return R.pages_created(new, G.unresolved_counts(resolved(spark, d)), table(spark, d, "aliases"))
+
+
 QUERIES = {
     "postings": lambda s, d: S.document_frequency(S.build_index(_text(s, d))),
     "bm25_topk": lambda s, d: S.top(S.bm25(S.build_index(_text(s, d)), _eval_queries(s, d))),
@@ -129,7 +137,8 @@ QUERIES = {
     "queue_plan": queue_plan,
     "queue_intake": lambda s, d: R.intake(_names(s, d), table(s, d, "queue"), table(s, d, "aliases"), table(s, d, "links")),
     "judged_aliases": lambda s, d: R.judged_aliases(table(s, d, "queue"), pages(s, d), table(s, d, "links")),
-    "near_misses": lambda s, d: R.near_misses(G.unresolved_counts(resolved(s, d)), "Kamlerhe Centre for Tidal Mechanics"),
+    "near_misses": lambda s, d: _created(s, d).select("key", "target_key", "display", "n", "verdict"),
+    "created_aliases": lambda s, d: R.created_aliases(_created(s, d)),
     "queue_evidence": lambda s, d: R.evidence(R.latest(table(s, d, "queue")), edges(s, d), table(s, d, "chunks")),
     "repeat_guard": repeat_guard,
     "near_repeats": near_repeats,
@@ -193,14 +202,24 @@ _VERDICT = f"""CASE WHEN {norm("a")} = {norm("b")} THEN 'same'
 _LATEST = f"""hist AS (SELECT *, try_cast(decided_at AS TIMESTAMPTZ) AS d, try_cast(asked_at AS TIMESTAMPTZ) AS a, lower({strip("status")}) AS s FROM queue WHERE pair_key IS NOT NULL),
 last AS (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY pair_key ORDER BY d DESC NULLS LAST, a DESC NULLS LAST, s DESC NULLS LAST, key_a DESC NULLS LAST, key_b DESC NULLS LAST, display_a DESC NULLS LAST, display_b DESC NULLS LAST, source DESC NULLS LAST, weight DESC NULLS LAST, mentions_at_ask DESC NULLS LAST) = 1)"""
 
+def _loose(short: str, long: str) -> str:
+    s = f"lower({strip(short)})"
+    return rf"""(regexp_matches({s}, '^[a-z]{{2,6}}s?$') AND regexp_replace({s}, 's+$', '') = regexp_replace(array_to_string([left(w, 1) FOR w IN list_filter(string_split_regex(lower({long}), '[^a-z0-9]+'), lambda w: w <> '')], ''), 's+$', ''))"""
+
+
+#: What the making of each page and of one whose name is spelled out means for the names without a page.
+_MADE = f"""{RESOLVED}, u AS (SELECT target_key, min(display) AS display, count(*) AS n FROM res WHERE NOT resolved GROUP BY target_key),
+c AS (SELECT DISTINCT page_key AS key, regexp_replace(split_part(path, '/', -1), '.md$', '') AS name FROM page WHERE page_key IS NOT NULL UNION SELECT target_key, display FROM edge WHERE target_key <> '' AND display IS NOT NULL),
+v AS ({_V} FROM (SELECT c.key AS key, target_key, display, n, name AS a, display AS b, {_toks("name")} AS ta, {_toks("display")} AS tb FROM c JOIN u ON u.target_key <> c.key WHERE display IS NOT NULL AND target_key NOT IN (SELECT alias_key FROM aliases WHERE alias_key IS NOT NULL))),
+w AS (SELECT DISTINCT key, target_key, display, n, {_VERDICT} AS verdict FROM v WHERE {norm("a")} = {norm("b")} OR {_loose("a", "b")} OR {_loose("b", "a")} OR list_has_any(ta, tb)),
+made AS (SELECT * FROM w WHERE verdict = 'same' UNION ALL SELECT * FROM (SELECT * FROM w WHERE verdict = 'defer' QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, target_key) <= 3))"""
+
 ORACLES = {
     "mean_vectors": f"""WITH {_CHUNK}, v AS (SELECT stripped_hash, max(vec) AS vec FROM vectors WHERE len(vec) = 384 AND list_bool_and([isfinite(x) FOR x IN vec]) GROUP BY 1),
         e AS (SELECT path, unnest(vec)::DOUBLE AS x, generate_subscripts(vec, 1) AS i FROM chunk JOIN v USING (stripped_hash)), m AS (SELECT path, i, avg(x) AS x, count(*) AS n FROM e GROUP BY path, i)
         SELECT path, max(n) AS n, list(round(x, 6) ORDER BY i) AS mean FROM m GROUP BY path""",
-    "near_misses": f"""WITH {RESOLVED}, u AS (SELECT target_key, min(display) AS display, count(*) AS n FROM res WHERE NOT resolved GROUP BY target_key),
-        v AS ({_V} FROM (SELECT *, 'Kamlerhe Centre for Tidal Mechanics' AS a, display AS b, {_toks("'Kamlerhe Centre for Tidal Mechanics'")} AS ta, {_toks("display")} AS tb FROM u WHERE display IS NOT NULL)),
-        w AS (SELECT target_key, display, n, {_VERDICT} AS verdict, regexp_matches({strip("display")}, '^[A-Za-z]{{2,6}}$') OR list_has_any(ta, tb) AS near FROM v)
-        SELECT target_key, display, n, verdict FROM w WHERE verdict = 'same' OR (verdict = 'defer' AND near) QUALIFY verdict = 'same' OR row_number() OVER (PARTITION BY verdict ORDER BY n DESC, target_key) <= 3""",
+    "near_misses": f"WITH {_MADE} SELECT key, target_key, display, n, verdict FROM made",
+    "created_aliases": f"WITH {_MADE} SELECT target_key AS alias_key, min(key) AS canonical_key, 'acronym' AS kind FROM made WHERE verdict = 'same' GROUP BY target_key",
     "queue_evidence": f"""WITH {EDGES}, {_LATEST}, o AS (SELECT * FROM last), k AS (SELECT key, min(shown) AS shown FROM (SELECT key_a AS key, display_a AS shown FROM o UNION ALL SELECT key_b, display_b FROM o) WHERE key IS NOT NULL AND shown IS NOT NULL GROUP BY key),
         h AS (SELECT key, path, seq, content FROM edge JOIN k ON key = target_key JOIN chunks c ON c.path = source WHERE NOT coalesce(is_summary, false) AND contains(lower(content), lower(shown)))
         SELECT key, left(trim(regexp_replace(min_by(content, (length(content), path, seq, content)), '{WS}+', ' ', 'g')), 350) AS content FROM h GROUP BY key""",
