@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from notegraph.operators import concepts as C
 from notegraph.operators import embed as E
+from notegraph.operators import resolve as R
 from notegraph.operators import review as V
+from notegraph.operators import sync as Y
 
 QUEUE = "pair_key string, key_a string, key_b string, display_a string, display_b string, source string, status string, weight int, mentions_at_ask int, asked_at string, decided_at string"
 
@@ -77,3 +79,25 @@ def test_concept_pages_need_two_verified_sentences(spark):
     assert [(r.key, r.sentences, r.sources) for r in pages.collect()] == [("jet", 2, ["a.md", "b.md"])] and "origin: derived" in pages.first().text
     more = found.unionByName(spark.createDataFrame([("jet", "Jet", "c.md", 2, "Jet again.")], found.schema))
     assert [tuple(r) for r in C.stale(pages, more).collect()] == [("jet", "c.md")]
+
+
+def test_pages_created(spark):
+    new = spark.createDataFrame([("gammarayburst", "Gamma-ray burst"), ("jetbreak", "Jet break"), (None, "x"), ("nothing", None), ("jetbreak", "Jet break")], "key string, name string")
+    unresolved = spark.createDataFrame([("grb", "GRB", 5), ("gr", "grb", 2), ("jetengine", "jet engine", 3), ("jetlag", "Jet lag", 3), ("jet", "jet", 1), ("breaknote", "break note", 9), ("jetbreak", "jet break", 8), ("known", "Jet known", 7), ("null", None, 9), ("abc", "abc", 4), ("jetbreak2", "Jet break 2", 6)], "target_key string, display string, n bigint")
+    aliases = spark.createDataFrame([("known", "x"), (None, "y")], "alias_key string, canonical_key string")
+    got = R.pages_created(new, unresolved, aliases)
+    assert sorted((r.key, r.target_key, r.verdict) for r in got.collect()) == [("gammarayburst", "gr", "defer"), ("gammarayburst", "grb", "same"), ("jetbreak", "breaknote", "defer"), ("jetbreak", "jetengine", "defer"), ("jetbreak", "jetlag", "defer")]
+    assert [tuple(r) for r in R.created_aliases(got).collect()] == [("grb", "gammarayburst", "acronym")]
+    assert R.pages_created(new.limit(0), unresolved, aliases).count() == 0 and R.pages_created(new, unresolved.limit(0), aliases.limit(0)).count() == 0
+
+
+def test_layout_drift_and_health(spark):
+    recorded = spark.createDataFrame([("pages", "notes"), ("records", "log"), ("records", "talk"), (None, "x"), ("sources", None)], "folder string, path string")
+    drift = Y.layout_drift(recorded, {"pages": "notes", "records": "talks", "concepts": "wiki", "sources": "src"})
+    assert [tuple(r) for r in drift.collect()] == [("records", "log", "talks")]
+    pages = spark.createDataFrame([("a", None), ("a", "a")], "content_hash string, analyzed_hash string")
+    tried = spark.createDataFrame([("p", "failed"), ("q", None)], "path string, status string")
+    gaps = spark.createDataFrame([("b", None, 4), ("a", "A", 9)], "target_key string, display string, n bigint")
+    big = spark.createDataFrame([("p", 13, True), ("q", 2, False)], "path string, sections int, bloated boolean")
+    assert tuple(Y.health(pages, tried, gaps, big, drift).first()) == (1, 1, 1, 2, "A (9), b (4)", 1, 13)
+    assert tuple(Y.health(*(t.limit(0) for t in (pages, tried, gaps, big, drift))).first()) == (0, 0, 0, 0, None, 0, None)
