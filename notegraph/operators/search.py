@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ TOP, RRF_K, PER_PAGE, LIMIT = 50, 60, 2, 5
 LEAST_IDF = 1e-6
 #: Query vectors sent to all tasks at once (3 kB each at 384 dimensions); more are asked in several passes.
 SENT = 4000
+#: Chunks or vectors that a task scores at once.
+SCORED = 1024
 
 
 def indexed_text(chunks: DataFrame) -> DataFrame:
@@ -99,6 +102,121 @@ def top(scored: DataFrame, limit: int = TOP) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).withColumn("rank", F.col("rank") - 1)
 
 
+class Best:
+    """The `limit` best scores of each query that a task has met, so that it gives on only what may be among the best of all.
+
+    Scores, rounded to six places, of `least` or below are none.
+    """
+
+    def __init__(self, queries: int, limit: int, least: float = -np.inf):
+        self.least, self.scores, self.bound = least, np.full((queries, limit), -np.inf), np.full(queries, -np.inf)
+
+    def add(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, column, score) of a block of scores (queries x columns) not below the best so far; equal ones stay."""
+        q, at = np.nonzero((block >= (self.bound - 1e-6)[:, None]) & (block > self.least))
+        raw = block[q, at]
+        score = np.trunc(raw * 1e6 + np.copysign(0.5, raw)) / 1e6
+        rows, mine = np.unique(q, return_inverse=True)
+        both = np.full((len(rows), block.shape[1] + self.scores.shape[1]), -np.inf)
+        both[mine, at] = score
+        both[:, block.shape[1] :] = self.scores[rows]
+        self.scores[rows] = np.partition(both, block.shape[1], axis=1)[:, block.shape[1] :]
+        self.bound[rows] = self.scores[rows].min(axis=1)
+        kept = score >= self.bound[q]
+        return q[kept], at[kept], score[kept]
+
+
+def _few_tasks(df: DataFrame) -> DataFrame:
+    """Two tasks a core at most: each gives on the best of every query."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _passes(asked: DataFrame) -> list[DataFrame]:
+    """The queries in parts of about SENT."""
+    n = max(1, -(-asked.count() // SENT))
+    return [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) if n > 1 else asked for i in range(n)]
+
+
+def _occurrences(words: pa.Array, vocabulary: pa.Array, alone: np.ndarray, several: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, row, f), in order of phrases: how often each phrase stands in each row of a column of words.
+
+    alone: the phrase that each word of the vocabulary makes by itself, or -1; several: phrases of more words.
+    """
+    row = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    ids = pc.fill_null(pc.index_in(words.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    one = np.where(ids >= 0, alone[ids], -1)
+    keys = [one[one >= 0] * len(words) + row[one >= 0]]
+    for phrase, parts in several:
+        at = np.nonzero(ids[: len(ids) - len(parts) + 1] == parts[0])[0]
+        for i, part in enumerate(parts[1:], 1):
+            at = at[(ids[at + i] == part) & (row[at + i] == row[at])]
+        keys.append(phrase * len(words) + row[at])
+    key, f = np.unique(np.concatenate(keys), return_counts=True)
+    return key // max(1, len(words)), key % max(1, len(words)), f
+
+
+def bm25_scan(chunks: DataFrame, queries: DataFrame, limit: int = TOP) -> DataFrame:
+    """(query_id, path, seq, score): what `bm25` gives, of each query at least the `limit` best, without an index.
+
+    For tables of queries that grow with the chunks: every chunk is scored against all queries where it
+    lies, so that hits, which grow with the square, are never written. Chunks are read twice, for the phrases'
+    frequencies and for the scores.
+    """
+    spark = chunks.sparkSession
+    asked = queries.select("query_id", phrases(F.col("text")).alias("phrases")).where(F.size("phrases") > 0)
+    kind = asked.schema["query_id"].dataType.simpleString()
+    words = _few_tasks(chunks.select("path", "seq", terms(F.coalesce("text", F.lit(""))).alias("words")))
+
+    def search(part: DataFrame) -> DataFrame:
+        rows = part.toArrow()  # at most about SENT rows
+        number: dict[tuple[str, ...], int] = {}
+        asking: list[list[int]] = []
+        for q, found in enumerate(rows.column("phrases").to_pylist()):
+            for p in map(tuple, found):
+                if number.setdefault(p, len(number)) == len(asking):
+                    asking.append([])
+                asking[number[p]].append(q)
+        place = {w: i for i, w in enumerate(dict.fromkeys(w for p in number for w in p))}
+        alone = np.array([number.get((w,), -1) for w in place], np.int64)
+        several = [(n, [place[w] for w in p]) for p, n in number.items() if len(p) > 1]
+        ids = rows.column("query_id").combine_chunks()
+        shared = spark.sparkContext.broadcast((list(place), alone, several, [np.array(x) for x in asking], ids))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary, alone, several, asking, _ = shared.value
+            total, length, df = 0, 0, np.zeros(len(asking), np.int64)
+            for b in batches:
+                phrase, _, _ = _occurrences(b.column(2), pa.array(vocabulary, pa.string()), alone, several)
+                df += np.bincount(phrase, minlength=len(df))
+                total, length = total + len(b), length + len(b.column(2).flatten())
+            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([length]), pa.array([df.tobytes()])], names=["total", "length", "df"])
+
+        parts = words.mapInArrow(count, "total bigint, length bigint, df binary").collect() if len(ids) else []
+        total, df = sum(r["total"] for r in parts), sum((np.frombuffer(r["df"], np.int64) for r in parts), np.zeros(len(asking), np.int64))
+        idf = np.log((total - df + 0.5) / (df + 0.5))
+        weight, mean = np.where(idf <= 0, LEAST_IDF, idf), sum(r["length"] for r in parts) / max(1, total)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocabulary, alone, several, asking, ids = shared.value
+            best = Best(len(ids), limit, 0.0)
+            for big in batches if len(ids) else ():
+                for lo in range(0, len(big), SCORED):
+                    b = big.slice(lo, SCORED)
+                    phrase, row, f = _occurrences(b.column(2), pa.array(vocabulary, pa.string()), alone, several)
+                    dl = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+                    part = weight[phrase] * f * (K1 + 1) / (f + K1 * (1 - B + B * dl[row] / (mean or 1)))
+                    scores, (met, starts) = np.zeros((len(ids), len(b))), np.unique(phrase, return_index=True)
+                    for p, i, j in zip(met, starts, [*starts[1:], len(phrase)]):
+                        scores[asking[p][:, None], row[i:j]] += part[i:j]
+                    q, at, score = best.add(scores)
+                    at = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column(0).take(at), b.column(1).take(at), pa.array(score)], names=["query_id", "path", "seq", "score"])
+
+        return words.mapInArrow(run, f"query_id {kind}, path string, seq {chunks.schema['seq'].dataType.simpleString()}, score double")
+
+    return reduce(lambda a, b: a.unionByName(b), [search(part) for part in _passes(asked)])
+
+
 def usable(vec: Column, dim: int) -> Column:
     """Exactly `dim` numbers, all finite, not all zero."""
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -114,14 +232,15 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
 def dense(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, dim: int = 384, limit: int = TOP) -> DataFrame:
     """(query_id, path, seq, score): cosine of chunks that have a usable vector with the query's, at least the `limit` best of each query.
 
-    All vectors are compared, block by block as matrix products; each block keeps what may be among
-    the best. Vectors of another length, with nulls or not finite, are skipped; each hash counts once.
+    All vectors are compared, block by block as matrix products; a task gives on what may be among the
+    best. Only the best hashes, and the first chunks of each, are joined. Vectors of another length, with nulls or
+    not finite, are skipped; each hash counts once.
     """
     spark = vectors.sparkSession
-    used = chunks.where("stripped_hash is not null").select(F.col("stripped_hash").alias("used")).distinct()
+    here = chunks.where("stripped_hash is not null").select("path", "seq", "stripped_hash")
+    used = here.select(F.col("stripped_hash").alias("used")).distinct()
     one = vectors.where(usable(F.col("vec"), dim)).join(used, F.col("stripped_hash") == F.col("used"), "left_semi").groupBy("stripped_hash").agg(F.max("vec").alias("vec"))
     asked = queries.where(usable(F.col("vec"), dim)).select("query_id", "vec")
-    passes = max(1, -(-asked.count() // SENT))
     kind = asked.schema["query_id"].dataType.simpleString()
 
     def search(part: DataFrame) -> DataFrame:
@@ -130,19 +249,21 @@ def dense(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, dim: int =
         shared = spark.sparkContext.broadcast(_unit(rows.column("vec").combine_chunks(), dim) if len(rows) else np.zeros((0, dim)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not len(b) or not len(ids):
-                    continue
-                sims = shared.value @ _unit(b.column(1), dim).T
-                least = np.partition(sims, -limit, axis=1)[:, [-limit]] - 1e-6 if sims.shape[1] > limit else np.full((len(sims), 1), -9.0)
-                q, at = np.nonzero(sims >= least)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column(0).take(pa.array(at)), pa.array(sims[q, at])], names=["query_id", "hash", "sim"])
+            best = Best(len(ids), limit)
+            for big in batches if len(ids) else ():
+                for lo in range(0, len(big), SCORED):
+                    b = big.slice(lo, SCORED)
+                    q, at, score = best.add(shared.value @ _unit(b.column(1), dim).T)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column(0).take(pa.array(at)), pa.array(score)], names=["query_id", "hash", "score"])
 
-        return one.select("stripped_hash", "vec").mapInArrow(run, f"query_id {kind}, hash string, sim double")
+        return _few_tasks(one.select("stripped_hash", "vec")).mapInArrow(run, f"query_id {kind}, hash string, score double")
 
-    found = reduce(lambda a, b: a.unionByName(b), [search(asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)) for i in range(passes)])
-    here = chunks.select("path", "seq", "stripped_hash")
-    return found.join(here, F.col("hash") == F.col("stripped_hash")).select("query_id", "path", "seq", F.round("sim", 6).alias("score"))
+    found = reduce(lambda a, b: a.unionByName(b), [search(part) for part in _passes(asked)])
+    place = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    found = found.withColumn("at", place).where(F.col("at") <= limit).drop("at")
+    first = F.row_number().over(Window.partitionBy("stripped_hash").orderBy("path", "seq"))
+    here = here.withColumn("at", first).where(F.col("at") <= limit)
+    return found.join(here, F.col("hash") == F.col("stripped_hash")).select("query_id", "path", "seq", "score")
 
 
 def fuse(*rankings: DataFrame) -> DataFrame:
@@ -175,17 +296,17 @@ def without_quiet(ranked: DataFrame, pages: DataFrame) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1)
 
 
-def search(text: DataFrame, index: Index, pages: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, depth: str = "summary", limit: int = LIMIT) -> DataFrame:
+def search(text: DataFrame, index: Index | None, pages: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, depth: str = "summary", limit: int = LIMIT) -> DataFrame:
     """(query_id, rank, path, summary, provisional, from_conversation, literal, seqs[, chunks]): the pages found for each query.
 
     Both lists are cut to their best chunks first. At depth `summary` quiet pages are taken out
     afterwards, so they use up places; at depth `body` they stay, and `chunks` has heading and
     content of what was found. Without vectors the literal list stands alone. Pages without a row
-    count as provisional. Scores are not shown.
+    count as provisional. Scores are not shown. Without an index all chunks are read: for many queries.
     """
     if depth not in ("summary", "body"):
         raise ValueError("depth is one of summary, body")
-    lists = [written(top(bm25(index, queries)), "literal")]
+    lists = [written(top(bm25(index, queries) if index else bm25_scan(text, queries)), "literal")]
     if vectors is not None:
         lists.append(written(top(dense(text, vectors, queries)), "dense"))
     literal = lists[0].select(F.col("query_id").alias("lq"), F.col("path").alias("hit")).distinct()
