@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from notegraph.operators import resolve as R
 from notegraph.operators import search as S
 
 
@@ -49,3 +50,29 @@ def test_best_keeps_ties_and_rounds():
     assert best.add(np.array([[0.5, 0.1, 0.5, 0.4]]))[1].tolist() == [0, 2]
     q, at, score = best.add(np.array([[0.4, 0.5000000001, -0.7]]))
     assert (q.tolist(), at.tolist(), score.tolist()) == ([0], [1], [0.5])
+
+
+def test_pages_created_tries_few_names_under_a_word(spark, monkeypatch):
+    rng = random.Random(9)
+    stock = ["jet", "break", "of", "drift", "GRB", "note 2", "note 3", "lamp"]
+    new = [(f"k{i % 40}", " ".join(rng.sample(stock, rng.randrange(1, 4)))) for i in range(60)] + [("gammarayburst", "gamma ray burst")]
+    names = [(f"u{i:03d}", " ".join(rng.sample(stock, rng.randrange(1, 4))), rng.randrange(1, 6)) for i in range(150)] + [("k1", "jet of", 9)]
+    created, unresolved = spark.createDataFrame(new, "key string, name string"), spark.createDataFrame(names, "target_key string, display string, n bigint")
+    aliases = spark.createDataFrame([], "alias_key string, canonical_key string")
+    kept, write = {}, R.written
+
+    def spy(df, label):
+        kept[label] = write(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(R, "written", spy)
+    got = {}
+    for first in (1, 2, 8, 1000):
+        monkeypatch.setattr(R, "FIRST", first)
+        got[first] = sorted(map(tuple, R.pages_created(created, unresolved, aliases).collect()))
+        got[first, "met"] = kept["met"].count()
+        got[first, "again"] = kept["again"].count()
+    assert got[1] == got[2] == got[8] == got[1000] and {r[4] for r in got[1]} == {"same", "defer"}
+    assert got[1, "met"] < got[8, "met"] < got[1000, "met"] and got[1, "again"] > got[1000, "again"] == 0
+    same = sorted(map(tuple, R.pages_created(created, unresolved, aliases, 0).collect()))
+    assert same == [r for r in got[1] if r[4] == "same"]
