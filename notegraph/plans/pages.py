@@ -134,10 +134,13 @@ def transcript_turns(spark, d):
 
 
 def stream_repeats(spark, d):
-    """The repeat guard as a stream over the events, read from files and run until nothing is left."""
+    """The repeat guard as a stream over the events, read from files and run until nothing is left.
+
+    All files are one batch: files need not be in order of time, and in a later batch their events would be late.
+    """
     at = scratch(spark, "stream")
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 8).parquet(f"{d}/events.parquet*")
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     q = I.repeats(source).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("event_id bigint, before bigint").parquet(f"{at}/out")

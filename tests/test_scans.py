@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from notegraph.operators import resolve as R
 from notegraph.operators import search as S
+from notegraph.plans.pages import stream_repeats
 
 
 def chunked(spark, texts):
@@ -76,3 +78,13 @@ def test_pages_created_tries_few_names_under_a_word(spark, monkeypatch):
     assert got[1, "met"] < got[8, "met"] < got[1000, "met"] and got[1, "again"] > got[1000, "again"] == 0
     same = sorted(map(tuple, R.pages_created(created, unresolved, aliases, 0).collect()))
     assert same == [r for r in got[1] if r[4] == "same"]
+
+
+def test_streamed_files_need_no_order(spark, tmp_path):
+    at = str(tmp_path / "events.parquet")
+    for day in range(20, 0, -1):
+        times = [(day * 100 + i, user, kind, f"2024-01-{day:02d} 23:59:{s:02d}") for i, (user, kind, s) in enumerate([(1, "a", 1), (1, "a", 9), (1, "b", 9), (None, "a", 9), (None, "a", 10), (-2, None, 5), (-2, None, 6)])]
+        rows = spark.createDataFrame([*times, (day * 100 + 50, 1, "a", f"2024-01-{day + 1:02d} 00:01:05")], "event_id bigint, user_id bigint, event_type string, ts string")
+        rows.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(at)
+    got = sorted(map(tuple, stream_repeats(spark, str(tmp_path)).collect()))
+    assert got == sorted((day * 100 + i, n) for day in range(1, 21) for i, n in ((1, 1), (4, 1), (6, 1), (50, 1)))
