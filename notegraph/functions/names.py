@@ -23,40 +23,48 @@ def loose_initials(x: Column) -> Column:
     return _singular(initials(x))
 
 
+def _capitals(x: Column) -> Column:
+    """A name of 3 to 6 capitals, a plural s aside, in lower case; null for other names."""
+    s = strip_space(x)
+    s = F.when(s.rlike("^[A-Z]{2,6}s$"), F.substring(s, 1, F.length(s) - 1)).otherwise(s)
+    return F.when(s.rlike("^[A-Z]{3,6}$"), F.lower(s))
+
+
 def acronym_match(short: Column, long: Column) -> Column:
     """Whether `short` is 3 to 6 capitals (a plural s aside) that are the initials of `long`."""
-    s = strip_space(short)
-    s = F.when(s.rlike("^[A-Z]{2,6}s$"), F.substring(s, 1, F.length(s) - 1)).otherwise(s)
-    return F.coalesce(s.rlike("^[A-Z]{3,6}$") & (F.lower(s) == initials(long)), F.lit(False))
+    return F.coalesce(_capitals(short) == initials(long), F.lit(False))
 
 
 def _numbered(t: Column) -> Column:
     return t.rlike("[0-9]")
 
 
-def designation_split(a: Column, b: Column) -> Column:
-    """Whether a number tells two names apart: other numbers on equal words, or a number on one side only."""
-    ta, tb = tokens(a), tokens(b)
-    da, db = F.filter(ta, _numbered), F.filter(tb, _numbered)
-    ra, rb = F.filter(ta, lambda t: ~_numbered(t)), F.filter(tb, lambda t: ~_numbered(t))
-    both = (F.size(da) > 0) & (F.size(db) > 0)
-    only_a, only_b = (F.size(da) > 0) & (F.size(db) == 0), (F.size(da) == 0) & (F.size(db) > 0)
-    return (
-        F.when(both, (ra == rb) & (da != db))
-        .when(only_a, F.size(F.array_except(tb, ra)) == 0)
-        .when(only_b, F.size(F.array_except(ta, rb)) == 0)
+def verdict_parts(x: Column) -> dict[str, Column]:
+    """What verdicts on a name are made from, so that it is worked out once for a name and not for each of its pairs."""
+    t = tokens(x)
+    return {"norm": normalize(x), "numbers": F.filter(t, _numbered), "words": F.filter(t, lambda w: ~_numbered(w)), "capitals": _capitals(x), "initials": initials(x)}
+
+
+def verdict(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """same, different or defer, from the parts of two names; the rule on numbers goes before the one on acronyms. Null if a name is null.
+
+    A number tells two names apart that have other numbers on equal words, or a number on one side only.
+    """
+    in_a, in_b = F.size(a["numbers"]) > 0, F.size(b["numbers"]) > 0
+    split = (
+        F.when(in_a & in_b, (a["words"] == b["words"]) & (a["numbers"] != b["numbers"]))
+        .when(in_a, F.size(F.array_except(b["words"], a["words"])) == 0)
+        .when(in_b, F.size(F.array_except(a["words"], b["words"])) == 0)
         .otherwise(F.lit(False))
     )
+    acronym = F.coalesce(a["capitals"] == b["initials"], F.lit(False)) | F.coalesce(b["capitals"] == a["initials"], F.lit(False))
+    known = a["norm"].isNotNull() & b["norm"].isNotNull()
+    return F.when(known, F.when(a["norm"] == b["norm"], F.lit("same")).when(split, F.lit("different")).when(acronym, F.lit("same")).otherwise(F.lit("defer")))
 
 
 def resolve_pair(a: Column, b: Column) -> Column:
-    """same, different or defer; the rule on numbers goes before the one on acronyms. Null if a side is null."""
-    return F.when(a.isNotNull() & b.isNotNull(), (
-        F.when(normalize(a) == normalize(b), F.lit("same"))
-        .when(designation_split(a, b), F.lit("different"))
-        .when(acronym_match(a, b) | acronym_match(b, a), F.lit("same"))
-        .otherwise(F.lit("defer"))
-    ))
+    """same, different or defer for two names, as `verdict` says. Null if a side is null."""
+    return verdict(verdict_parts(a), verdict_parts(b))
 
 
 def pair_key(a: Column, b: Column) -> Column:
