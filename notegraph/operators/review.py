@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from notegraph.functions import names as N
 from notegraph.functions import text as T
 from notegraph.operators.analysis import Answer, ask, repair_json
-from notegraph.operators.resolve import latest, plan_queue
+from notegraph.operators.graph import mention_counts
+from notegraph.operators.resolve import latest, plan_queue, queued_pairs, structural_among, structural_pairs
 from notegraph.operators.skew import salted_join
 from notegraph.session import written
 
 COLUMNS = ("pair_key", "key_a", "key_b", "status", "source", "weight", "mentions_at_ask")
 #: Neighbours of a name, and the least cosine of their letter groups for which neighbours are looked for.
 NEAREST, ALIKE = 3, 0.6
+#: Names with one letter group that a task pairs with others; a longer list is split, which changes no result.
+LISTED = 4000
 
 
 def trigrams(name: Column) -> Column:
@@ -28,21 +31,35 @@ def trigrams(name: Column) -> Column:
 def mutual_nearest(names: DataFrame, k: int = NEAREST, least: float = ALIKE) -> DataFrame:
     """(key_a, key_b, cosine): pairs each of which is among the k nearest of the other, by cosine of their letter groups.
 
-    Only pairs of at least `least` are looked for: two names of n groups can reach it only if they
-    share one of the rarest n - ceil(least^2 n) + 1, so each is found under those alone, in an
-    inverted index. Equal cosines are ordered by key.
+    Only pairs of at least `least` are looked for: of two names of m <= n groups that reach it at least least * m
+    are shared, so they share one of the m - ceil(least * m) + 1 rarest of the smaller and of the n - ceil(least^2 * n) + 1
+    rarest of the larger name. Each pair is compared where it is met under the rarest group that it shares;
+    only near ones leave the join. Equal cosines are ordered by key.
     """
-    grams = names.select("key", trigrams(F.col("name")).alias("grams"))
-    each = grams.select("key", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    code = lambda g: F.ascii(g).cast("long") * (1 << 42) + F.ascii(F.substring(g, 2, 1)).cast("long") * (1 << 21) + F.ascii(F.substring(g, 3, 1))
+    grams = written(names.select("key", F.transform(trigrams(F.col("name")), code).alias("grams")), "grams")
+    each = grams.select("key", F.explode("grams").alias("gram"))
     df = each.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("df"))
-    ranked = salted_join(each, df, "gram", "g", salt_by="key").withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("df", "gram")))
-    lead = written(ranked.where(F.col("at") <= F.col("n") - F.ceil(F.lit(least * least) * F.col("n")) + 1).select("key", "gram"), "lead")
-    pairs = lead.hint("merge").join(lead.select(F.col("key").alias("other"), "gram"), "gram").where("key < other").select("key", "other").distinct()
-    a, b = grams.select(F.col("key").alias("ka"), F.col("grams").alias("ga")), grams.select(F.col("key").alias("kb"), F.col("grams").alias("gb"))
-    cosine = F.round(F.size(F.array_intersect("ga", "gb")) / F.sqrt(F.size("ga") * F.size("gb")), 6)
-    near = pairs.join(a, F.col("key") == F.col("ka")).join(b, F.col("other") == F.col("kb")).select("key", "other", cosine.alias("cosine")).where(F.col("cosine") >= least)
-    both = written(near.unionByName(near.select(F.col("other").alias("key"), F.col("key").alias("other"), "cosine")), "near")
-    best = both.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "other"))).where(F.col("at") <= k)
+    ordered = salted_join(each, df, "gram", "g", salt_by="key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
+    ordered = written(ordered.select("key", F.size("o").alias("n"), F.col("o.gram").alias("grams"), F.col("o.df").alias("dfs")), "ordered")
+
+    def leads(side: str, share: float) -> DataFrame:
+        kept = F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.lit(share) * F.col("n")) + 1).cast("int"))
+        out = ordered.select("key", "n", "grams", "dfs", F.posexplode(kept).alias("at", "gram"))
+        parts = F.ceil(F.element_at("dfs", F.col("at") + 1) / LISTED).cast("int")
+        part = F.pmod(F.xxhash64("key"), parts).cast("int") if side == "a" else F.explode(F.sequence(F.lit(0), parts - 1))
+        return out.select("gram", part.alias("part"), *[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "grams", "at")])
+
+    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") < F.col("key_b")))
+    # what lies behind the place where they meet is all that they can share
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    enough = most.cast("double") * most >= F.lit(least * least - 1e-5) * F.col("n_a") * F.col("n_b")
+    met = leads("a", least - 1e-6).hint("merge").join(leads("b", least * least), ["gram", "part"]).where(smaller & enough)
+    met = met.select("key_a", "key_b", "n_a", "n_b", "gram", F.array_intersect("grams_a", "grams_b").alias("both")).where(F.get("both", F.lit(0)) == F.col("gram"))
+    near = met.select("key_a", "key_b", F.round(F.size("both") / F.sqrt(F.col("n_a") * F.col("n_b")), 6).alias("cosine")).where(F.col("cosine") >= least)
+    ways = F.explode(F.array(F.struct(F.col("key_a").alias("key"), F.col("key_b").alias("other")), F.struct(F.col("key_b").alias("key"), F.col("key_a").alias("other"))))
+    both = near.select(ways.alias("w"), "cosine").select("w.*", "cosine")
+    best = written(both.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "other"))).where(F.col("at") <= k), "near")
     back = best.select(F.col("key").alias("k2"), F.col("other").alias("o2"))
     mutual = best.where("key < other").join(back, (F.col("key") == F.col("o2")) & (F.col("other") == F.col("k2")), "left_semi")
     return mutual.select(F.col("key").alias("key_a"), F.col("other").alias("key_b"), "cosine")
@@ -75,6 +92,24 @@ def queue_after(queue: DataFrame, candidates: DataFrame, aliases: DataFrame, men
     return kept.unionByName(added)
 
 
+def all_candidates(names: DataFrame, proximity: DataFrame) -> DataFrame:
+    """candidate_pairs of all structural pairs of described names and of proximity; those of structure alone are given on where they are met."""
+    alone = structural_pairs(names, proximity).select(N.pair_key(F.col("key_a"), F.col("key_b")).alias("pair_key"), "key_a", "key_b", F.lit("structure").alias("source"))
+    return alone.unionByName(candidate_pairs(structural_among(names, proximity), proximity))
+
+
+def queue_after_all(queue: DataFrame, names: DataFrame, proximity: DataFrame, aliases: DataFrame, links: DataFrame) -> DataFrame:
+    """queue_after with all_candidates. names: described, with their mentions (`with_mentions`). Pairs that the queue can't know are decided where they are met."""
+    apart = written(proximity.select("key_a", "key_b").unionByName(queued_pairs(queue)), "apart")
+    few = written(candidate_pairs(structural_among(names, apart), proximity), "candidates")
+    keyed = few.select("pair_key", "key_a", "key_b").unionByName(queue.select("pair_key", "key_a", "key_b"))
+    weight = (F.col("n_a") + F.col("n_b")).cast("int")
+    new = structural_pairs(names, apart).where(~(F.col("aliased_a") | F.col("aliased_b"))).select(
+        N.pair_key(F.col("key_a"), F.col("key_b")).alias("pair_key"), "key_a", "key_b", F.lit("open").alias("status"), F.lit("structure").alias("source"), weight.alias("weight"), weight.alias("mentions_at_ask")
+    )
+    return new.unionByName(queue_after(queue, few, aliases, mention_counts(keyed, links)))
+
+
 def decided(queue: DataFrame) -> DataFrame:
     """(pair_key, status, weight, rank): the pairs that are decided, by status and then weight, the heaviest first."""
     rank = F.row_number().over(Window.partitionBy("status").orderBy(F.desc_nulls_last("weight"), "pair_key"))

@@ -17,15 +17,15 @@ from notegraph.session import table, written
 
 
 def _candidates(spark, d):
+    """Described names with their mentions, and the pairs by proximity."""
     names = written(R.candidate_names(edges(spark, d), pages(spark, d)), "names")
     seeds = resolved(spark, d).where("not resolved").select(F.col("target_key").alias("key"))
-    return V.candidate_pairs(R.structural_pairs(names), V.proximity_pairs(names, seeds))
+    known = R.described(R.with_mentions(names, table(spark, d, "aliases"), table(spark, d, "links")))
+    return known, written(V.proximity_pairs(names, seeds), "proximity")
 
 
 def queue_after(spark, d):
-    c, q = written(_candidates(spark, d), "candidates"), table(spark, d, "queue")
-    keyed = c.select("pair_key", "key_a", "key_b").unionByName(q.select("pair_key", "key_a", "key_b"))
-    return V.queue_after(q, c, table(spark, d, "aliases"), G.mention_counts(keyed, table(spark, d, "links"))).select("pair_key", "status", "weight")
+    return V.queue_after_all(table(spark, d, "queue"), *_candidates(spark, d), table(spark, d, "aliases"), table(spark, d, "links")).select("pair_key", "status", "weight")
 
 
 def stub_judge(prompt):
@@ -73,7 +73,7 @@ def concept_pages(spark, d):
 
 QUERIES = {
     "mutual_knn": lambda s, d: V.mutual_nearest(R.candidate_names(edges(s, d), pages(s, d))),
-    "candidate_sources": lambda s, d: _candidates(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("n")),
+    "candidate_sources": lambda s, d: V.all_candidates(*_candidates(s, d)).groupBy("source").agg(F.count(F.lit(1)).alias("n")),
     "queue_after": queue_after,
     "decided": lambda s, d: V.decided(table(s, d, "queue")),
     "confirmed_answers": _answers,

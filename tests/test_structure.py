@@ -58,3 +58,35 @@ def test_partners_are_counted_where_they_meet(spark, tmp_path):
     report = S.structural_report(spark, str(tmp_path))
     assert above_the_join(report).count("Exchange") == 1  # of the counts
     assert report.collect() == []  # a word of all names is not rare
+
+
+def test_the_queue_takes_in_pairs_where_they_meet(spark, monkeypatch):
+    from notegraph.operators import review as V
+    from notegraph.operators.graph import mention_counts
+
+    monkeypatch.setattr(R, "DF_SHARE", 0.3)
+    names = named(spark, 60)
+    keys = sorted(r.key for r in names.collect())
+    rows = [(f"{a}|{b}", b, a, "unclear" if i % 2 else "same", i % 3) for i, (a, b) in enumerate(zip(keys, keys[3:])) if i % 4 == 0] + [(f"{keys[0]}|{keys[5]}", None, None, "open", 1)]
+    queue = spark.createDataFrame([(p, a, b, a, b, "structure", s, 1, n, "2024-01-01T00:00:00Z", None) for p, a, b, s, n in rows], "pair_key string, key_a string, key_b string, display_a string, display_b string, source string, status string, weight int, mentions_at_ask int, asked_at string, decided_at string")
+    aliases = spark.createDataFrame([(k,) for k in keys[::9]], "alias_key string")
+    links = spark.createDataFrame([(k,) for i, k in enumerate(keys) for _ in range(i % 4)], "target_key string")
+    proximity = spark.createDataFrame([(a, b) for a, b in zip(keys, keys[1:]) if hash(a) % 2], "key_a string, key_b string")
+    every = R.structural_pairs(names).select("key_a", "key_b")
+    tidy = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=repr)
+
+    pairs = every.unionByName(queue.where("key_a is not null").select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"))).distinct()
+    counts = mention_counts(pairs.select(N.pair_key(F.col("key_a"), F.col("key_b")).alias("pair_key"), "key_a", "key_b"), links)
+    got = R.intake(names, queue, aliases, links)
+    assert "Exchange" not in above_the_join(got)
+    assert tidy(got, "pair_key", "action") == tidy(R.plan_queue(pairs, queue, aliases, counts), "pair_key", "action")
+
+    d = R.described(R.with_mentions(names, aliases, links))
+    want = V.candidate_pairs(every, proximity)
+    got = V.all_candidates(d, proximity)
+    assert "Exchange" not in above_the_join(got)
+    assert tidy(got, "pair_key", "key_a", "key_b", "source") == tidy(want, "pair_key", "key_a", "key_b", "source")
+    counts = mention_counts(want.select("pair_key", "key_a", "key_b").unionByName(queue.select("pair_key", "key_a", "key_b")), links)
+    got = V.queue_after_all(queue, d, proximity, aliases, links)
+    assert "Exchange" not in above_the_join(got)
+    assert tidy(got, *V.COLUMNS) == tidy(V.queue_after(queue, want, aliases, counts), *V.COLUMNS)
