@@ -28,6 +28,12 @@ def trigrams(name: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, 3)))
 
 
+def _bits(half: str) -> Column:
+    """64 of the 128 bits to which the letter groups of a name are spread."""
+    at = "cast(pmod(xxhash64(g), 128) as int)"
+    return F.expr(f"aggregate(grams, 0L, (s, g) -> s | if({at} {half}, shiftleft(1L, {at} % 64), 0L))")
+
+
 def mutual_nearest(names: DataFrame, k: int = NEAREST, least: float = ALIKE) -> DataFrame:
     """(key_a, key_b, cosine): pairs each of which is among the k nearest of the other, by cosine of their letter groups.
 
@@ -41,19 +47,22 @@ def mutual_nearest(names: DataFrame, k: int = NEAREST, least: float = ALIKE) ->
     each = grams.select("key", F.explode("grams").alias("gram"))
     df = each.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("df"))
     ordered = salted_join(each, df, "gram", "g", salt_by="key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
-    ordered = written(ordered.select("key", F.size("o").alias("n"), F.col("o.gram").alias("grams"), F.col("o.df").alias("dfs")), "ordered")
+    ordered = ordered.select("key", F.size("o").alias("n"), F.col("o.gram").alias("grams"), F.col("o.df").alias("dfs"))
+    ordered = written(ordered.select("*", _bits("< 64").alias("low"), _bits(">= 64").alias("high")), "ordered")
 
     def leads(side: str, share: float) -> DataFrame:
         kept = F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.lit(share) * F.col("n")) + 1).cast("int"))
-        out = ordered.select("key", "n", "grams", "dfs", F.posexplode(kept).alias("at", "gram"))
+        out = ordered.select("key", "n", "grams", "dfs", "low", "high", F.posexplode(kept).alias("at", "gram"))
         parts = F.ceil(F.element_at("dfs", F.col("at") + 1) / LISTED).cast("int")
         part = F.pmod(F.xxhash64("key"), parts).cast("int") if side == "a" else F.explode(F.sequence(F.lit(0), parts - 1))
-        return out.select("gram", part.alias("part"), *[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "grams", "at")])
+        return out.select("gram", part.alias("part"), *[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "grams", "at", "low", "high")])
 
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") < F.col("key_b")))
-    # what lies behind the place where they meet is all that they can share
-    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    enough = most.cast("double") * most >= F.lit(least * least - 1e-5) * F.col("n_a") * F.col("n_b")
+    # what lies behind the place where they meet, and groups whose bits the other has, are all that they can share
+    alien = lambda x, y: F.bit_count(F.col(f"low_{x}").bitwiseAND(F.bitwise_not(f"low_{y}"))) + F.bit_count(F.col(f"high_{x}").bitwiseAND(F.bitwise_not(f"high_{y}")))
+    enough = F.lit(True)
+    for most in (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")), F.col("n_a") - alien("a", "b"), F.col("n_b") - alien("b", "a")):
+        enough = enough & (most.cast("double") * most >= F.lit(least * least - 1e-5) * F.col("n_a") * F.col("n_b"))
     met = leads("a", least - 1e-6).hint("merge").join(leads("b", least * least), ["gram", "part"]).where(smaller & enough)
     met = met.select("key_a", "key_b", "n_a", "n_b", "gram", F.array_intersect("grams_a", "grams_b").alias("both")).where(F.get("both", F.lit(0)) == F.col("gram"))
     near = met.select("key_a", "key_b", F.round(F.size("both") / F.sqrt(F.col("n_a") * F.col("n_b")), 6).alias("cosine")).where(F.col("cosine") >= least)

@@ -90,3 +90,14 @@ def test_the_queue_takes_in_pairs_where_they_meet(spark, monkeypatch):
     got = V.queue_after_all(queue, d, proximity, aliases, links)
     assert "Exchange" not in above_the_join(got)
     assert tidy(got, *V.COLUMNS) == tidy(V.queue_after(queue, want, aliases, counts), *V.COLUMNS)
+
+
+def test_only_nearest_names_are_written(spark, monkeypatch):
+    from notegraph.operators import review as V
+
+    kept, plain = {}, V.written
+    monkeypatch.setattr(V, "LISTED", 7)
+    monkeypatch.setattr(V, "written", lambda df, label: kept.setdefault(label, plain(df, label)))
+    names = spark.createDataFrame([(f"lantern drift {i}", f"lantern drift {i}") for i in range(10, 40)], "key string, name string")
+    found = V.mutual_nearest(names).collect()
+    assert found and kept["near"].count() <= 30 * V.NEAREST
