@@ -126,6 +126,52 @@ class Best:
         return q[kept], at[kept], score[kept]
 
 
+class Held:
+    """What `Best` lets through, held in its task until the end: only the best of all that the task met leave it.
+
+    Rows are (q, columns, score); of equal scores all stay, or at most `limit` rows a query, ordered by the columns.
+    """
+
+    def __init__(self, best: Best, names: list[str], ordered: bool):
+        self.best, self.names, self.ordered = best, names, ordered
+        self.limit, self.most, self.rows, self.n = best.scores.shape[1], 2 * best.scores.size + 100_000, [], 0
+
+    def add(self, block: np.ndarray, columns: list[pa.Array]) -> None:
+        q, at, score = self.best.add(block)
+        if len(q):
+            self._put(pa.table([pa.array(q, pa.int32()), *[c.take(pa.array(at)) for c in columns], pa.array(score)], names=["q", *self.names, "score"]))
+        if self.n > self.most:
+            self._put(self._above(), anew=True)
+            if self.ordered and 2 * self.n > self.most:
+                self._put(self._first(), anew=True)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            self._put(self._above(), anew=True)
+            yield from (self._first() if self.ordered else self.rows[0]).to_batches(max_chunksize=16_384)
+
+    def _put(self, t: pa.Table, anew: bool = False) -> None:
+        self.rows, self.n = ([t], len(t)) if anew else ([*self.rows, t], self.n + len(t))
+
+    def _above(self) -> pa.Table:
+        t = pa.concat_tables(self.rows).combine_chunks()
+        return t.filter(pa.array(t.column("score").to_numpy() >= self.best.bound[t.column("q").to_numpy()]))
+
+    def _first(self) -> pa.Table:
+        t = self.rows[0]
+        keys = [("q", "ascending"), ("score", "descending"), *[(c, "ascending") for c in self.names]]
+        t = t.take(pc.sort_indices(t, sort_keys=keys, null_placement="at_start"))
+        q = t.column("q").to_numpy()
+        return t.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < self.limit)).combine_chunks()
+
+
+def _named(found: DataFrame, ids: pa.Array, limit: int, place: Column) -> DataFrame:
+    """The best of each query by `place`, under its id instead of its number; numbers keep the shuffle small."""
+    few = found.withColumn("at", place.over(Window.partitionBy("q").orderBy(F.desc("score"), *[c for c in ("path", "seq") if c in found.columns]))).where(F.col("at") <= limit)
+    names = found.sparkSession.createDataFrame(pa.table([pa.array(np.arange(len(ids)), pa.int32()), ids], names=["number", "query_id"]))
+    return few.join(F.broadcast(names), F.col("q") == F.col("number")).select("query_id", *[c for c in found.columns if c != "q"])
+
+
 def _few_tasks(df: DataFrame) -> DataFrame:
     """Two tasks a core at most: each gives on the best of every query."""
     return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
@@ -164,7 +210,6 @@ def bm25_scan(chunks: DataFrame, queries: DataFrame, limit: int = TOP) -> DataFr
     """
     spark = chunks.sparkSession
     asked = queries.select("query_id", phrases(F.col("text")).alias("phrases")).where(F.size("phrases") > 0)
-    kind = asked.schema["query_id"].dataType.simpleString()
     words = _few_tasks(chunks.select("path", "seq", terms(F.coalesce("text", F.lit(""))).alias("words")))
 
     def search(part: DataFrame) -> DataFrame:
@@ -180,10 +225,11 @@ def bm25_scan(chunks: DataFrame, queries: DataFrame, limit: int = TOP) -> DataFr
         alone = np.array([number.get((w,), -1) for w in place], np.int64)
         several = [(n, [place[w] for w in p]) for p, n in number.items() if len(p) > 1]
         ids = rows.column("query_id").combine_chunks()
-        shared = spark.sparkContext.broadcast((list(place), alone, several, [np.array(x) for x in asking], ids))
+        n = len(ids)
+        shared = spark.sparkContext.broadcast((list(place), alone, several, [np.array(x) for x in asking]))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary, alone, several, asking, _ = shared.value
+            vocabulary, alone, several, asking = shared.value
             total, length, df = 0, 0, np.zeros(len(asking), np.int64)
             for b in batches:
                 phrase, _, _ = _occurrences(b.column(2), pa.array(vocabulary, pa.string()), alone, several)
@@ -197,22 +243,22 @@ def bm25_scan(chunks: DataFrame, queries: DataFrame, limit: int = TOP) -> DataFr
         weight, mean = np.where(idf <= 0, LEAST_IDF, idf), sum(r["length"] for r in parts) / max(1, total)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary, alone, several, asking, ids = shared.value
-            best = Best(len(ids), limit, 0.0)
-            for big in batches if len(ids) else ():
+            vocabulary, alone, several, asking = shared.value
+            held = Held(Best(n, limit, 0.0), ["path", "seq"], True)
+            for big in batches if n else ():
                 for lo in range(0, len(big), SCORED):
                     b = big.slice(lo, SCORED)
                     phrase, row, f = _occurrences(b.column(2), pa.array(vocabulary, pa.string()), alone, several)
                     dl = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
                     part = weight[phrase] * f * (K1 + 1) / (f + K1 * (1 - B + B * dl[row] / (mean or 1)))
-                    scores, (met, starts) = np.zeros((len(ids), len(b))), np.unique(phrase, return_index=True)
+                    scores, (met, starts) = np.zeros((n, len(b))), np.unique(phrase, return_index=True)
                     for p, i, j in zip(met, starts, [*starts[1:], len(phrase)]):
                         scores[asking[p][:, None], row[i:j]] += part[i:j]
-                    q, at, score = best.add(scores)
-                    at = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column(0).take(at), b.column(1).take(at), pa.array(score)], names=["query_id", "path", "seq", "score"])
+                    held.add(scores, [b.column(0), b.column(1)])
+            yield from held.end()
 
-        return words.mapInArrow(run, f"query_id {kind}, path string, seq {chunks.schema['seq'].dataType.simpleString()}, score double")
+        found = words.mapInArrow(run, f"q int, path string, seq {chunks.schema['seq'].dataType.simpleString()}, score double")
+        return _named(found, ids, limit, F.row_number())
 
     return reduce(lambda a, b: a.unionByName(b), [search(part) for part in _passes(asked)])
 
@@ -241,26 +287,24 @@ def dense(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, dim: int =
     used = here.select(F.col("stripped_hash").alias("used")).distinct()
     one = vectors.where(usable(F.col("vec"), dim)).join(used, F.col("stripped_hash") == F.col("used"), "left_semi").groupBy("stripped_hash").agg(F.max("vec").alias("vec"))
     asked = queries.where(usable(F.col("vec"), dim)).select("query_id", "vec")
-    kind = asked.schema["query_id"].dataType.simpleString()
 
     def search(part: DataFrame) -> DataFrame:
         rows = part.toArrow()  # at most about SENT rows
         ids = rows.column("query_id").combine_chunks()
+        n = len(ids)
         shared = spark.sparkContext.broadcast(_unit(rows.column("vec").combine_chunks(), dim) if len(rows) else np.zeros((0, dim)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = Best(len(ids), limit)
-            for big in batches if len(ids) else ():
+            held = Held(Best(n, limit), ["hash"], False)
+            for big in batches if n else ():
                 for lo in range(0, len(big), SCORED):
                     b = big.slice(lo, SCORED)
-                    q, at, score = best.add(shared.value @ _unit(b.column(1), dim).T)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column(0).take(pa.array(at)), pa.array(score)], names=["query_id", "hash", "score"])
+                    held.add(shared.value @ _unit(b.column(1), dim).T, [b.column(0)])
+            yield from held.end()
 
-        return _few_tasks(one.select("stripped_hash", "vec")).mapInArrow(run, f"query_id {kind}, hash string, score double")
+        return _named(_few_tasks(one.select("stripped_hash", "vec")).mapInArrow(run, "q int, hash string, score double"), ids, limit, F.rank())
 
     found = reduce(lambda a, b: a.unionByName(b), [search(part) for part in _passes(asked)])
-    place = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-    found = found.withColumn("at", place).where(F.col("at") <= limit).drop("at")
     first = F.row_number().over(Window.partitionBy("stripped_hash").orderBy("path", "seq"))
     here = here.withColumn("at", first).where(F.col("at") <= limit)
     return found.join(here, F.col("hash") == F.col("stripped_hash")).select("query_id", "path", "seq", "score")

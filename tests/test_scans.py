@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from notegraph.operators import resolve as R
@@ -54,6 +55,29 @@ def test_best_keeps_ties_and_rounds():
     assert (q.tolist(), at.tolist(), score.tolist()) == ([0], [1], [0.5])
 
 
+def test_a_task_gives_on_no_more_than_the_best(spark):
+    texts = [("same word" if i % 3 == 0 else "") + " more" * (500 - i // 6) for i in range(3000)]
+    chunks = chunked(spark, texts).coalesce(1)
+    asked = spark.createDataFrame([(i, "same word") for i in range(20)], "query_id int, text string")
+    found = S.bm25_scan(chunks, asked, 10)
+    assert found.count() == 20 * 10 and sorted(found.where("query_id = 0").select("path").toPandas()["path"]) == [f"p{i:04d}" for i in range(2970, 3000, 3)]
+
+
+def test_held_rows_are_those_of_a_full_sort():
+    rng = np.random.default_rng(3)
+    scores, paths = np.round(rng.random((4, 3000)), 2), [None if i % 97 == 0 else f"p{i % 50:02d}" for i in range(3000)]
+    for ordered in (True, False):
+        held = S.Held(S.Best(4, 5, 0.0), ["path", "seq"], ordered)
+        held.most = 40
+        for lo in range(0, 3000, 100):
+            held.add(scores[:, lo : lo + 100], [pa.array(paths[lo : lo + 100]), pa.array(range(lo, lo + 100))])
+        got = [(r["q"], r["path"], r["seq"], r["score"]) for b in held.end() for r in b.to_pylist()]
+        for q in range(4):
+            full = sorted(range(3000), key=lambda i: (-scores[q, i], paths[i] or "", i))
+            want = full[:5] if ordered else [i for i in full if scores[q, i] >= scores[q, full[4]]]
+            assert sorted(r[2] for r in got if r[0] == q) == sorted(want)
+
+
 def test_pages_created_tries_few_names_under_a_word(spark, monkeypatch):
     rng = random.Random(9)
     stock = ["jet", "break", "of", "drift", "GRB", "note 2", "note 3", "lamp"]
