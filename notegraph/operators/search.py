@@ -29,10 +29,18 @@ SENT = 4000
 SCORED = 1024
 
 
+def once(chunks: DataFrame) -> DataFrame:
+    """Chunks, each (path, seq) once. Those with one row, which are most, pass without a shuffle of their texts."""
+    columns = ["path", "seq", "heading", "content", "is_summary", "stripped_hash"]
+    odd = chunks.groupBy(F.col("path").alias("p"), F.col("seq").alias("s")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    here = F.col("path").eqNullSafe(F.col("p")) & F.col("seq").eqNullSafe(F.col("s"))
+    several = chunks.join(odd, here, "left_semi").groupBy("path", "seq").agg(F.max(F.struct(*columns[2:])).alias("c")).select("path", "seq", "c.*")
+    return chunks.join(odd, here, "left_anti").select(columns).unionByName(several)
+
+
 def indexed_text(chunks: DataFrame) -> DataFrame:
     """Chunks, each (path, seq) once, with `text`: heading and content without link marks."""
-    one = chunks.groupBy("path", "seq").agg(F.max(F.struct("heading", "content", "is_summary", "stripped_hash")).alias("c")).select("path", "seq", "c.*")
-    return one.withColumn("text", T.strip_links(F.concat_ws("\n", F.nullif("heading", F.lit("")), F.nullif("content", F.lit("")))))
+    return once(chunks).withColumn("text", T.strip_links(F.concat_ws("\n", F.nullif("heading", F.lit("")), F.nullif("content", F.lit("")))))
 
 
 def terms(x: Column) -> Column:
@@ -340,13 +348,14 @@ def without_quiet(ranked: DataFrame, pages: DataFrame) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1)
 
 
-def search(text: DataFrame, index: Index | None, pages: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, depth: str = "summary", limit: int = LIMIT) -> DataFrame:
+def search(text: DataFrame, index: Index | None, pages: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, depth: str = "summary", limit: int = LIMIT, chunks: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, path, summary, provisional, from_conversation, literal, seqs[, chunks]): the pages found for each query.
 
     Both lists are cut to their best chunks first. At depth `summary` quiet pages are taken out
     afterwards, so they use up places; at depth `body` they stay, and `chunks` has heading and
     content of what was found. Without vectors the literal list stands alone. Pages without a row
     count as provisional. Scores are not shown. Without an index all chunks are read: for many queries.
+    If `text` has no heading and content, they are taken from `chunks`, as stored, for what was found only.
     """
     if depth not in ("summary", "body"):
         raise ValueError("depth is one of summary, body")
@@ -356,7 +365,7 @@ def search(text: DataFrame, index: Index | None, pages: DataFrame, queries: Data
     literal = lists[0].select(F.col("query_id").alias("lq"), F.col("path").alias("hit")).distinct()
     if depth == "summary":
         lists = [without_quiet(x, pages) for x in lists]
-    found = fold(fuse(*lists), limit)
+    found = written(fold(fuse(*lists), limit), "found")
     meta = pages.select(F.col("path").alias("page"), "summary", "summary_provisional", "origin")
     out = found.join(meta, F.col("path") == F.col("page"), "left").join(literal, (F.col("path") == F.col("hit")) & (F.col("query_id") == F.col("lq")), "left")
     shown = out.select(
@@ -366,6 +375,9 @@ def search(text: DataFrame, index: Index | None, pages: DataFrame, queries: Data
     if depth == "summary":
         return shown
     each = shown.select(F.col("query_id").alias("q"), F.col("path").alias("p"), F.posexplode("seqs").alias("at", "s"))
+    if chunks is not None:
+        wanted = found.select(F.col("path").alias("p"), F.explode("seqs").alias("s")).distinct()
+        text = once(chunks.join(wanted, (F.col("path") == F.col("p")) & (F.col("seq") == F.col("s")), "left_semi"))
     bodies = each.join(text.select("path", "seq", "heading", "content"), (F.col("p") == F.col("path")) & (F.col("s") == F.col("seq")))
     lists = bodies.groupBy("q", "p").agg(F.array_sort(F.collect_list(F.struct("at", "heading", "content"))).alias("c"))
     chunks = F.transform("c", lambda x: F.struct(x["heading"].alias("heading"), x["content"].alias("content")))
