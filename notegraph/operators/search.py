@@ -25,14 +25,18 @@ TOP, RRF_K, PER_PAGE, LIMIT = 50, 60, 2, 5
 LEAST_IDF = 1e-6
 #: Query vectors sent to all tasks at once (3 kB each at 384 dimensions); more are asked in several passes.
 SENT = 4000
+#: Keys of repeated chunks sent to all tasks, at most (60 bytes each); more are joined by a shuffle.
+ODD = 200_000
 #: Chunks or vectors that a task scores at once.
 SCORED = 1024
 
 
 def once(chunks: DataFrame) -> DataFrame:
-    """Chunks, each (path, seq) once. Those with one row, which are most, pass without a shuffle of their texts."""
+    """Chunks, each (path, seq) once. Those with one row, which are most, pass without a shuffle of their texts if there are few others."""
     columns = ["path", "seq", "heading", "content", "is_summary", "stripped_hash"]
     odd = chunks.groupBy(F.col("path").alias("p"), F.col("seq").alias("s")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    odd = written(odd, "odd")
+    odd = F.broadcast(odd) if odd.count() <= ODD else odd
     here = F.col("path").eqNullSafe(F.col("p")) & F.col("seq").eqNullSafe(F.col("s"))
     several = chunks.join(odd, here, "left_semi").groupBy("path", "seq").agg(F.max(F.struct(*columns[2:])).alias("c")).select("path", "seq", "c.*")
     return chunks.join(odd, here, "left_anti").select(columns).unionByName(several)
