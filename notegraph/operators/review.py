@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,62 +14,176 @@ from notegraph.functions import text as T
 from notegraph.operators.analysis import Answer, ask, repair_json
 from notegraph.operators.graph import mention_counts
 from notegraph.operators.resolve import latest, plan_queue, queued_pairs, structural_among, structural_pairs
-from notegraph.operators.skew import salted_join
 from notegraph.session import written
 
 COLUMNS = ("pair_key", "key_a", "key_b", "status", "source", "weight", "mentions_at_ask")
 #: Neighbours of a name, and the least cosine of their letter groups for which neighbours are looked for.
 NEAREST, ALIKE = 3, 0.6
-#: Names with one letter group that a task pairs with others; a longer list is split, which changes no result.
-LISTED = 4000
-
-
-def trigrams(name: Column) -> Column:
-    """The different groups of three letters of a name in lower case, between blanks."""
-    padded = F.concat(F.lit(" "), F.lower(name), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, 3)))
-
-
-def _bits(half: str) -> Column:
-    """64 of the 128 bits to which the letter groups of a name are spread."""
-    at = "cast(pmod(xxhash64(g), 128) as int)"
-    return F.expr(f"aggregate(grams, 0L, (s, g) -> s | if({at} {half}, shiftleft(1L, {at} % 64), 0L))")
+#: Names that a task compares with as many others, and meetings that it judges at once.
+LISTED, AT_ONCE = 32_768, 1 << 17
+#: Bits to which the letter groups of a name are spread, in words of 64, and groups of a name up to which many pairs are counted at once.
+WORDS, WIDE = 4, 64
+
+
+def _once(x: np.ndarray) -> np.ndarray:
+    """The different numbers in order."""
+    x = np.sort(x)
+    return x[np.diff(x, prepend=-1) > 0]
+
+
+def _groups(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The different groups of three letters of names in lower case, between blanks: the names' places and numbers of the groups, the rarest first."""
+    padded = [f" {x} " if x else "  \0" for x in names]
+    size = np.array([len(x) for x in padded])
+    ends, rows = np.cumsum(size), np.repeat(np.arange(len(padded)), size)
+    text = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    starts = np.ones(len(text), bool)
+    starts[ends - 1] = starts[ends - 2] = False
+    at = np.flatnonzero(starts)
+    codes, number = np.unique(text[at] << 42 | text[at + 1] << 21 | text[at + 2], return_inverse=True)
+    row, number = np.divmod(_once(rows[at] * len(codes) + number), len(codes))
+    rank = np.empty(len(codes), np.int64)
+    rank[np.argsort(np.bincount(number), kind="stable")] = np.arange(len(codes))
+    row, number = np.divmod(np.sort(row * len(codes) + rank[number]), len(codes))
+    return row, number
+
+
+class Block:
+    """Names that meet in one task, in order of their numbers of letter groups, and the k nearest of each so far."""
+
+    def __init__(self, names: list[str], k: int, least: float):
+        row, group = _groups(names)
+        n = np.bincount(row)
+        self.order = np.argsort(n, kind="stable")
+        place = np.empty(len(n), np.int64)
+        place[self.order] = np.arange(len(n))
+        both = np.sort(place[row] * (group.max() + 1) + group)
+        self.row, self.group = np.divmod(both, group.max() + 1)
+        self.n, self.k, self.least, self.t = n[self.order], k, least, max(least - 1e-6, 1e-6)
+        # groups are numbered by frequency, so the most frequent ones have a bit of their own
+        self.bits = np.zeros((WORDS, len(n)), np.uint64)
+        np.bitwise_or.at(self.bits, (self.group // 64 % WORDS, self.row), np.uint64(1) << (self.group % 64).astype(np.uint64))
+        self.spare = (self.n - np.bitwise_count(self.bits).sum(0, dtype=np.int64)).astype(np.float32)
+        self.root = np.sqrt(self.t * self.n).astype(np.float32)
+        self.begin = np.cumsum(self.n) - self.n
+        self.at = np.arange(len(both)) - self.begin[self.row]
+        low = self.at < WIDE
+        self.padded = np.full((min(WIDE, self.n.max()), len(n)), -1, np.int32)
+        self.padded[self.at[low], self.row[low]] = self.group[low]
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+        self.best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def listed(self, share: float, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Names under the rarest of their groups, of which one must be shared, by group: the names, how many of their groups are left from there on, and where each group's names begin and how many they are."""
+        kept = of[self.row] & (self.at <= (self.n - np.ceil(share * self.n))[self.row])
+        o = np.flatnonzero(kept)[np.argsort(self.group[kept], kind="stable")]
+        many = np.bincount(self.group[o], minlength=self.group.max() + 1)
+        return self.row[o], (self.n[self.row[o]] - self.at[o]).astype(np.float32), np.cumsum(many) - many, many
+
+    def meet(self, smaller: np.ndarray, larger: np.ndarray) -> None:
+        """Compares the names `smaller` with those `larger` (both masks) that come later and may be near."""
+        a, rest_a, from_a, many_a = self.listed(self.t, smaller)
+        b, rest_b, from_b, many_b = self.listed(self.t * self.t, larger)
+        # of groups with few meetings many at once
+        few = many_a * many_b <= AT_ONCE // 32
+        group = np.repeat(np.arange(len(many_a)), many_a)
+        mine = np.flatnonzero(few[group] & (many_b[group] > 0))
+        met = many_b[group[mine]]
+        ends = np.cumsum(met)
+        cuts = np.searchsorted(ends, np.arange(AT_ONCE, ends[-1] if len(ends) else 0, AT_ONCE))
+        for part in np.split(np.arange(len(mine)), cuts):
+            n = met[part]
+            at = np.arange(n.sum()) + np.repeat(from_b[group[mine[part]]] - np.cumsum(n) + n, n)
+            x = np.repeat(mine[part], n)
+            later = a[x] < b[at]
+            x, at = x[later], at[later]
+            self.judge(a[x], rest_a[x], b[at], rest_b[at])
+        for g in np.flatnonzero(~few):
+            y, rest_y = b[from_b[g] : from_b[g] + many_b[g]], rest_b[from_b[g] : from_b[g] + many_b[g]]
+            step = max(1, AT_ONCE // many_b[g])
+            for i in range(from_a[g], from_a[g] + many_a[g], step):
+                x = a[i : min(i + step, from_a[g] + many_a[g])]
+                # names come in order of their sizes, and those that are too large can't be near
+                lo, hi = np.searchsorted(y, x[0], "right"), np.searchsorted(self.n[y], self.n[x[-1]] / self.t**2 + 1e-6, "right")
+                for j in range(lo, hi, AT_ONCE):
+                    part = slice(j, min(j + AT_ONCE, hi))
+                    self.judge(x[:, None], rest_a[i : i + len(x), None], y[part], rest_y[part])
+        self.settle()
+
+    def judge(self, x: np.ndarray, rest_x: np.ndarray, y: np.ndarray, rest_y: np.ndarray) -> None:
+        """Puts by those of the pairs that may be near by the groups that are left and by the bits that both have."""
+        need = self.root[x] * self.root[y] - np.float32(1e-3)
+        ok = np.minimum(rest_x, rest_y) >= need
+        ok &= x < y
+        need -= np.minimum(self.spare[x], self.spare[y])
+        shared = np.zeros(need.shape, np.uint16)
+        for word in self.bits:
+            shared += np.bitwise_count(word[x] & word[y])
+        ok &= shared >= need
+        at = np.nonzero(ok)
+        self.waiting.append((x[at[0]].ravel(), y[at[-1]]))
+        self.held += len(at[0])
+        if self.held > 8 * AT_ONCE:
+            self.settle()
+
+    def settle(self) -> None:
+        """Counts what the waiting pairs share and keeps the k nearest of each name, of equal ones those that came first."""
+        if not self.waiting:
+            return
+        a, b = np.divmod(_once(np.concatenate([x * len(self.n) + y for x, y in self.waiting])), len(self.n))
+        self.waiting, self.held = [], 0
+        shared = np.zeros(len(a), np.int64)
+        for i in range(0, len(a), AT_ONCE // 8):
+            part = slice(i, i + AT_ONCE // 8)
+            x, y = self.padded[: self.n[a[part]].max(), a[part]], self.padded[: self.n[b[part]].max(), b[part]]
+            for group in x:
+                shared[part] += ((y == group) & (group >= 0)).sum(0, dtype=np.uint8)
+        for i in np.flatnonzero(np.maximum(self.n[a], self.n[b]) > WIDE):
+            x, y = (self.group[self.begin[r] : self.begin[r] + self.n[r]] for r in (a[i], b[i]))
+            shared[i] = len(np.intersect1d(x, y, assume_unique=True))
+        cosine = np.floor(shared / np.sqrt(self.n[a] * self.n[b]) * 1e6 + 0.5) / 1e6
+        near = cosine >= self.least
+        a, b, cosine = a[near], b[near], cosine[near]
+        key, other = np.concatenate([self.best[0], a, b]), np.concatenate([self.best[1], b, a])
+        cosine = np.concatenate([self.best[2], cosine, cosine])
+        _, once = np.unique(key * len(self.n) + other, return_index=True)
+        key, other, cosine = key[once], other[once], cosine[once]
+        o = np.lexsort((self.order[other], -cosine, key))
+        key, other, cosine = key[o], other[o], cosine[o]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        kept = np.arange(len(key)) - np.repeat(first, np.diff(first, append=len(key))) < self.k
+        self.best = (key[kept], other[kept], cosine[kept])
 
 
 def mutual_nearest(names: DataFrame, k: int = NEAREST, least: float = ALIKE) -> DataFrame:
     """(key_a, key_b, cosine): pairs each of which is among the k nearest of the other, by cosine of their letter groups.
 
-    Only pairs of at least `least` are looked for: of two names of m <= n groups that reach it at least least * m
-    are shared, so they share one of the m - ceil(least * m) + 1 rarest of the smaller and of the n - ceil(least^2 * n) + 1
-    rarest of the larger name. Each pair is compared where it is met under the rarest group that it shares;
-    only near ones leave the join. Equal cosines are ordered by key.
+    Names are dealt to blocks of about LISTED; a task compares two blocks, or one with itself, and gives on the k nearest
+    of each name there. Only pairs of at least `least` are looked for: of two names of m <= n groups that reach it at least
+    least * m are shared, so they share one of the m - ceil(least * m) + 1 rarest of the smaller and of the
+    n - ceil(least^2 * n) + 1 rarest of the larger name, and are met under one of these. Equal cosines are ordered by key.
     """
-    code = lambda g: F.ascii(g).cast("long") * (1 << 42) + F.ascii(F.substring(g, 2, 1)).cast("long") * (1 << 21) + F.ascii(F.substring(g, 3, 1))
-    grams = written(names.select("key", F.transform(trigrams(F.col("name")), code).alias("grams")), "grams")
-    each = grams.select("key", F.explode("grams").alias("gram"))
-    df = each.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("df"))
-    ordered = salted_join(each, df, "gram", "g", salt_by="key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("o"))
-    ordered = ordered.select("key", F.size("o").alias("n"), F.col("o.gram").alias("grams"), F.col("o.df").alias("dfs"))
-    ordered = written(ordered.select("*", _bits("< 64").alias("low"), _bits(">= 64").alias("high")), "ordered")
-
-    def leads(side: str, share: float) -> DataFrame:
-        kept = F.slice("grams", F.lit(1), (F.col("n") - F.ceil(F.lit(share) * F.col("n")) + 1).cast("int"))
-        out = ordered.select("key", "n", "grams", "dfs", "low", "high", F.posexplode(kept).alias("at", "gram"))
-        parts = F.ceil(F.element_at("dfs", F.col("at") + 1) / LISTED).cast("int")
-        part = F.pmod(F.xxhash64("key"), parts).cast("int") if side == "a" else F.explode(F.sequence(F.lit(0), parts - 1))
-        return out.select("gram", part.alias("part"), *[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "grams", "at", "low", "high")])
-
-    smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("key_a") < F.col("key_b")))
-    # what lies behind the place where they meet, and groups whose bits the other has, are all that they can share
-    alien = lambda x, y: F.bit_count(F.col(f"low_{x}").bitwiseAND(F.bitwise_not(f"low_{y}"))) + F.bit_count(F.col(f"high_{x}").bitwiseAND(F.bitwise_not(f"high_{y}")))
-    enough = F.lit(True)
-    for most in (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")), F.col("n_a") - alien("a", "b"), F.col("n_b") - alien("b", "a")):
-        enough = enough & (most.cast("double") * most >= F.lit(least * least - 1e-5) * F.col("n_a") * F.col("n_b"))
-    met = leads("a", least - 1e-6).hint("merge").join(leads("b", least * least), ["gram", "part"]).where(smaller & enough)
-    met = met.select("key_a", "key_b", "n_a", "n_b", "gram", F.array_intersect("grams_a", "grams_b").alias("both")).where(F.get("both", F.lit(0)) == F.col("gram"))
-    near = met.select("key_a", "key_b", F.round(F.size("both") / F.sqrt(F.col("n_a") * F.col("n_b")), 6).alias("cosine")).where(F.col("cosine") >= least)
-    ways = F.explode(F.array(F.struct(F.col("key_a").alias("key"), F.col("key_b").alias("other")), F.struct(F.col("key_b").alias("key"), F.col("key_a").alias("other"))))
-    both = near.select(ways.alias("w"), "cosine").select("w.*", "cosine")
+    lowered = written(names.where("key is not null and name is not null").select("key", F.lower("name").alias("name")), "lowered")
+    blocks = max(1, -(-lowered.count() // LISTED))
+    mine = lowered.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    cells = mine.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = cells.select(F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "key", "name")
+
+    def compared(cell: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        lo, hi = (x.as_py() for x in cell)
+        t = t.sort_by("key")
+        found = Block(t["name"].to_pylist(), k, least)
+        first = (t["block"].to_numpy() == lo)[found.order]
+        found.meet(first, first if lo == hi else ~first)
+        if lo != hi:
+            found.meet(~first, first)
+        key, other, cosine = found.best
+        return pa.table({"key": t["key"].take(found.order[key]), "other": t["key"].take(found.order[other]), "cosine": cosine})
+
+    # more partitions than cells: few cells fall on one another
+    spread = cells.repartition(blocks * (blocks + 1), "lo", "hi").groupBy("lo", "hi")
+    both = spread.applyInArrow(compared, "key string, other string, cosine double")
     best = written(both.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cosine"), "other"))).where(F.col("at") <= k), "near")
     back = best.select(F.col("key").alias("k2"), F.col("other").alias("o2"))
     mutual = best.where("key < other").join(back, (F.col("key") == F.col("o2")) & (F.col("other") == F.col("k2")), "left_semi")

@@ -101,3 +101,29 @@ def test_only_nearest_names_are_written(spark, monkeypatch):
     names = spark.createDataFrame([(f"lantern drift {i}", f"lantern drift {i}") for i in range(10, 40)], "key string, name string")
     found = V.mutual_nearest(names).collect()
     assert found and kept["near"].count() <= 30 * V.NEAREST
+
+
+def test_names_are_compared_within_tasks(spark, monkeypatch):
+    from notegraph.operators import review as V
+
+    plans, plain = {}, V.written
+
+    def spy(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, label)
+
+    monkeypatch.setattr(V, "written", spy)
+    monkeypatch.setattr(V, "LISTED", 40)
+    monkeypatch.setattr(V, "AT_ONCE", 64)
+    rng = random.Random(8)
+    stems = ["Lantern", "drift", "Ünü", "ßa", "\U0001d4b3y", "12", "x" * 300, "kettle kettle"]
+    long = "".join(rng.choices("abcdefgh", k=200))
+    names = ["", long, f"{long} 1", long[:150]] + sorted({" ".join(rng.choices(stems, k=rng.randrange(1, 4))) + str(rng.randrange(30)) for _ in range(150)})
+    keys = [f"{rng.randrange(1000):03d}{i}" for i in range(len(names))]
+    grams = {k: {f" {n.lower()} "[i : i + 3] for i in range(max(1, len(n)))} for k, n in zip(keys, names)}
+    cos = lambda a, b: round(len(grams[a] & grams[b]) / (len(grams[a]) * len(grams[b])) ** 0.5, 6)
+    best = {a: [b for _, b in sorted((-cos(a, b), b) for b in keys if b != a and cos(a, b) >= 0.6)[:3]] for a in keys}
+    want = sorted((a, b, cos(a, b)) for a in keys for b in best[a] if a < b and a in best[b])
+    df = spark.createDataFrame([*zip(keys, names), ("none", None), (None, "lantern12")], "key string, name string")
+    assert sorted(map(tuple, V.mutual_nearest(df).collect())) == want and len(want) > 30
+    assert "Join" not in plans["near"]  # no row for each meeting under a group
