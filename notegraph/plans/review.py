@@ -13,13 +13,16 @@ from notegraph.operators import resolve as R
 from notegraph.operators import review as V
 from notegraph.plans import search as S
 from notegraph.plans.common import EDGES, PAGES, RESOLVED, WS, edges, pages, resolved, unlink
+from notegraph.plans.common import names as page_names
 from notegraph.session import table, written
 
 
 def _candidates(spark, d):
     """Described names with their mentions, and the pairs by proximity."""
     names = written(R.candidate_names(edges(spark, d), pages(spark, d)), "names")
-    seeds = resolved(spark, d).where("not resolved").select(F.col("target_key").alias("key"))
+    # of the keys alone, each once: links need not be shuffled again for it
+    linked = table(spark, d, "links").where("target_key is not null").select(F.col("target_key").alias("key")).distinct()
+    seeds = linked.join(page_names(spark, d), F.col("key") == F.col("name"), "left_anti")
     known = R.described(R.with_mentions(names, table(spark, d, "aliases"), table(spark, d, "links")))
     return known, written(V.proximity_pairs(names, seeds), "proximity")
 

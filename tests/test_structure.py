@@ -127,3 +127,17 @@ def test_names_are_compared_within_tasks(spark, monkeypatch):
     df = spark.createDataFrame([*zip(keys, names), ("none", None), (None, "lantern12")], "key string, name string")
     assert sorted(map(tuple, V.mutual_nearest(df).collect())) == want and len(want) > 30
     assert "Join" not in plans["near"]  # no row for each meeting under a group
+
+
+def test_seeds_are_found_without_the_links_displays(spark, monkeypatch):
+    from notegraph.operators import review as V
+    from notegraph.plans import review as PV
+    from notegraph.plans.common import resolved
+
+    d, got = "/root/testdata/sf0.001", {}
+    monkeypatch.setattr(V, "proximity_pairs", lambda names, seeds: got.setdefault("seeds", seeds).sparkSession.createDataFrame([], "key_a string, key_b string"))
+    PV._candidates(spark, d)
+    want = {r[0] for r in resolved(spark, d).where("not resolved").select("target_key").collect()}
+    found = [r.key for r in got["seeds"].collect()]
+    assert set(found) == want and len(found) == len(want) > 5
+    assert "display" not in got["seeds"]._jdf.queryExecution().executedPlan().toString()
