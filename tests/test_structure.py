@@ -141,3 +141,18 @@ def test_seeds_are_found_without_the_links_displays(spark, monkeypatch):
     found = [r.key for r in got["seeds"].collect()]
     assert set(found) == want and len(found) == len(want) > 5
     assert "display" not in got["seeds"]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_queue_meets_no_names_by_join(spark, monkeypatch):
+    from notegraph.operators import review as V
+    from notegraph.plans import review as PV
+
+    plans, plain = {}, V.written
+
+    def spy(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, label)
+
+    monkeypatch.setattr(V, "written", spy)
+    after = PV.queue_after(spark, "/root/testdata/sf0.001")
+    assert "FlatMapGroupsInArrow" in plans["near"] and "Join" not in plans["near"] and after.columns == ["pair_key", "status", "weight"]
